@@ -1,0 +1 @@
+"""gaugeworks.streaming"""
