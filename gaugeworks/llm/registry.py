@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op6_token_id_files": token_files.op6_token_id_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
