@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, token_files
+from . import packing, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op6_token_id_files": token_files.op6_token_id_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": quality.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
