@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries that a worker's table holds before it starts afresh.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 400_000
 #: Text that is cut up at a time.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 PACK = [struct.Struct(f"<{n}H") for n in range(64)]
 
 #: Fixed values of the tokenizer file word_bpe_49k.json: its split pattern on characters that need no
