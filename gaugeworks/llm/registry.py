@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, quality, token_counts, token_files
+from . import chat, media, mixing, packing, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_media_columns": media.op2_media_columns,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_token_id_files": token_files.op6_token_id_files,
+    "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_mixing_sources": mixing.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
