@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, quality, shards, token_counts, token_files
+from . import chat, media, mixing, packing, quality, shards, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_media_columns": media.op2_media_columns,
     "op3_sharding": shards.op3_sharding,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_id_files": token_files.op6_token_id_files,
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
