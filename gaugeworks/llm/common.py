@@ -12,6 +12,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that a Python worker gets at a time; rows alone would not bound it.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
@@ -34,6 +37,8 @@ def ship(spark: SparkSession) -> None:
     with open(path, "wb") as out:
         out.write(packed.getvalue())
     sc.addPyFile(path)
+    if not sc.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     _shipped.add(sc.applicationId)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, quality, shards, simhash, token_counts, token_files
+from . import chat, media, mixing, packing, quality, shards, simhash, suffixes, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_id_files": token_files.op6_token_id_files,
+    "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
