@@ -58,8 +58,11 @@ def _targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_no", "source_size", F.coalesce(F.col("first") * F.col("weight"), F.col("limit")).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, whole: bool) -> DataFrame:
+    """row (a number for each row, fixed by writing the table), doc_id, source, size and, for the whole, the row itself as doc."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *row)
 
 
 def slots(sources: DataFrame) -> DataFrame:
@@ -76,13 +79,9 @@ def slots(sources: DataFrame) -> DataFrame:
     return k.select("source_no", "k", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks")).alias("block"), slot.alias("slot"), F.floor(slot / SHARD_SLOTS).alias("shard"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
-
-    Null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
-    order.  Repeated rows and null doc_ids are documents like any other.  All targets are 0 where all
-    sizes are 0.  Only doc_id, text and source are read; an empty table gives no rows."""
-    sizes = common.write_table(sized(docs), "mix-sizes")
+def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(documents: row, doc_id, size, source_no, source_size, target, start in the source's stream;
+    taken blocks of documents: row, size, first and last word taken from the document (from 0), times)."""
     count = sizes.count()
     named = _targets(sizes)
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -93,22 +92,51 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     # where a document starts in its source's stream: summed within stretches, then over stretches
     stretches = max(1, -(-count // STRETCH_ROWS))
     cut = sizes.withColumn("stretch", F.coalesce(F.pmod(F.col("doc_id"), F.lit(stretches)), F.lit(0)))
-    inside = Window.partitionBy("source", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     lengths = cut.groupBy("source", "stretch").agg(F.sum("size").alias("n")).select("source", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     same = lambda a, b, *more: [a[c].eqNullSafe(b[c]) for c in ("source", *more)]
-    d = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("row", F.monotonically_increasing_id())
-    d = d.join(lengths, same(d, lengths, "stretch")).select(d["doc_id"], d["source"], d["size"], d["row"], (F.col("earlier") + F.col("inside")).alias("start"))
+    d = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = d.join(lengths, same(d, lengths, "stretch")).select(d["row"], d["doc_id"], d["source"], d["size"], (F.col("earlier") + F.col("inside")).alias("start"))
     d = d.join(sources, same(d, sources)).select("row", "doc_id", "size", "source_no", "source_size", "target", "start")
     d = common.write_table(d, "mix-documents")
 
     times = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = d.where("size > 0").select("row", "size", "source_no", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = parts.join(times, ["source_no", "block"]).groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
+    begin = F.greatest("start", F.col("block") * block_words) - F.col("start")
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start")
+    return d, parts.join(times, ["source_no", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken.
+
+    Null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
+    order.  Repeated rows and null doc_ids are documents like any other.  All targets are 0 where all
+    sizes are 0.  Only doc_id, text and source are read; an empty table gives no rows."""
+    d, parts = drawn(common.write_table(sized(docs, False), "mix-sizes"), block_words)
+    taken = parts.groupBy("row").agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
     return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself, in docs' columns: the first copy of a document holds the words taken at least once, the
+    second those taken twice.  A copy of all words keeps the text as it is; other copies have single spaces."""
+    table = common.write_table(sized(docs, True), "mix-rows")
+    _, parts = drawn(table.drop("doc"), block_words)
+    # of one document: a range for each of its own blocks
+    ranges = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "times"))).alias("ranges"))
+    copies = ranges.select("row", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))
+    held = copies.select("row", F.filter("ranges", lambda r: r["times"] >= F.col("copy")).alias("ranges"))
+    held = held.withColumn("words", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"]))
+    both = table.join(held, "row")
+    # split once for a document, not for each range
+    part = F.concat_ws(" ", F.flatten(F.transform(F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))), lambda words: F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))))))
+    text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(part)
+    new = both.select("doc", text.alias("new"))
+    return new.select(*((F.col("new") if c == "text" else F.length("new").cast("long") if c == "n_chars" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir))
 

@@ -148,6 +148,15 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFra
     return measured.select("doc_id", *FEATURES, base.alias("base_failed"), (~base & ~verdict(found)).alias("kept"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps; columns may have any names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), row.alias("row"))
+    measured = common.write_table(measure(narrow, ["doc_id", "stratum", "row"]), "quality")
+    found = thresholds(measured.drop("row"), labels, rules)
+    return measured.where(~F.coalesce(failed(rules), F.lit(True)) & ~verdict(found)).select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("n_loud_words")
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -217,5 +217,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, one row for each; rows without a doc_id stay."""
+    first = near_duplicates(docs, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return named.withColumn("_again", again).where("_again = 1").drop("_again").unionByName(docs.where("doc_id is null"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
