@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import series, spatial  # noqa: F401
+from . import audits, quality_control, series, spatial  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
