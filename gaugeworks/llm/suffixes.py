@@ -4,10 +4,11 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 
 1. Documents are packed, as they are scanned, into units of a few MB.  A unit is one row of a table
    bucketed by unit, so later joins by unit move no text.
+   Later copies of a whole text go as a whole, and take no part in the rest: what they hold, the first has.
 2. Every window of LENGTH bytes has an anchor: the leftmost smallest hash of the GRAM-byte strings in
    it.  Equal windows have equal anchors, so a window can only occur in two documents if its anchor's
-   gram does.  Each unit sends its distinct anchor grams (8 bytes each) and learns which of them
-   other units have.
+   gram does.  Each unit sends its distinct anchor grams (4 bytes of their hash each) and learns
+   which of them other units have.
 3. For anchors that occur in two documents a unit sends the stretch of text that their windows cover,
    each distinct stretch once with the smallest doc_id that has it.  The suffixes that start at its
    windows are sorted, by LENGTH bytes: multikey quicksort on 8-byte characters to a shallow depth,
@@ -15,8 +16,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 4. Units learn their hits, and cut the covered bytes out.
 
 Copies inside a unit are combined before anything is shuffled, so what a group of copies sends grows
-with the units it is in, not with its documents.  All comparisons of windows are of their bytes; hashes
-only choose candidates.
+with the units it is in, not with its documents.  All comparisons of windows are of their bytes; their
+hashes only choose candidates.  Whole texts are compared by SHA-256.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 UNIT_BYTES = 3 << 20
 #: Text of a bucket of units, which one task reads.
 BUCKET_BYTES = 16 << 20
@@ -94,25 +95,25 @@ def _units(unit_bytes: int):
 def _grams(raw: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each position on."""
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).copy()
-    a, b = words[: len(raw) - GRAM + 1], words[GRAM - 8 : GRAM - 8 + len(raw) - GRAM + 1]
-    h = a * np.uint64(0x9E3779B97F4A7C15)
-    h ^= b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29))
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    n = len(raw) - GRAM + 1
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for offset in range(8, GRAM, 8):
+        h ^= words[offset : offset + n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, skip_from: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, first window, number of windows) of each run of windows with one anchor; documents from skip_from on have none."""
+def anchors(raw: np.ndarray, ends: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, first window, number of windows) of each run of windows with one anchor; only documents marked live have any."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    limit = int(ends[skip_from - 1]) if skip_from else 0
-    valid = np.zeros(limit + 1, np.int32)
-    starts = np.concatenate([[0], ends[: max(skip_from, 1) - 1]]) if skip_from else np.zeros(0, np.int64)
-    last = ends[:skip_from] - LENGTH + 1
-    long = last > starts
+    starts = np.concatenate([[0], ends[:-1]])
+    long = live & (ends - LENGTH + 1 > starts)
+    limit = int(ends[long].max()) if long.any() else 0
+    valid = np.zeros(len(raw) + 1, np.int32)
     np.add.at(valid, starts[long], 1)
-    np.add.at(valid, last[long], -1)
+    np.add.at(valid, ends[long] - LENGTH + 1, -1)
     valid = np.cumsum(valid) > 0
     for at in range(0, max(0, limit - LENGTH + 1), SLAB):
         n = min(SLAB, limit - LENGTH + 1 - at)
@@ -134,11 +135,26 @@ def anchors(raw: np.ndarray, ends: np.ndarray, skip_from: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, ends, doc_ids of the documents that have one) of a unit."""
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, ends, doc_ids, which documents take part) of a unit: not those without a doc_id, nor later copies of a whole text."""
     raw = np.frombuffer(batch.column("bytes")[row].as_buffer(), np.uint8)
     ids = batch.column("doc_ids")[row].values
-    return raw, batch.column("ends")[row].values.to_numpy(), ids.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    live = ids.is_valid().to_numpy(zero_copy_only=False)
+    if "copies" in batch.schema.names:
+        live = live.copy()
+        live[batch.column("copies")[row].as_py() or []] = False
+    return raw, batch.column("ends")[row].values.to_numpy(), ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), live
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SHA-256 of every text that windows fit in, with its place."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            raw, ends, ids, live = _opened(batch, row)
+            text, begins = memoryview(raw), np.concatenate([[0], ends[:-1]])
+            at = np.flatnonzero(live & (ends - begins >= LENGTH))
+            found = [hashlib.sha256(text[begins[i] : ends[i]]).digest() for i in at]
+            yield pa.record_batch([pa.array([batch.column("unit")[row].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(ids[at]), pa.array(found, pa.binary())], names=["unit", "place", "doc_id", "digest"])
 
 
 def _shared_inside(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -150,11 +166,20 @@ def _shared_inside(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return g[first][low != high]
 
 
-def _packed(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, rows) of grams dealt to n buckets."""
-    bucket = ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(n + 1))
+def _bucket(grams: np.ndarray, n: int) -> np.ndarray:
+    return ((grams >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+
+
+def _keys(grams: np.ndarray, n: int) -> np.ndarray:
+    """Bucket and 32 bits of the hash: what units tell each other about a gram.  In a bucket, which has as
+    many grams whatever the corpus, another gram has the same 32 bits once in some thousands."""
+    return (_bucket(grams, n).astype(np.uint64) << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF))
+
+
+def _packed(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) of what goes to each bucket."""
+    order = np.argsort(buckets, kind="stable")
+    cut = np.searchsorted(buckets[order], np.arange(n + 1))
     for k in range(n):
         if cut[k] < cut[k + 1]:
             yield k, order[cut[k] : cut[k + 1]]
@@ -164,11 +189,11 @@ def _sent_grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw, ends, ids = _opened(batch, row)
-                grams = np.unique(anchors(raw, ends, len(ids))[0])
-                parts = list(_packed(grams, n))
+                raw, ends, _, live = _opened(batch, row)
+                keys = np.unique(_keys(anchors(raw, ends, live)[0], n))
+                parts = list(_packed((keys >> np.uint64(32)).astype(np.int64), n))
                 if parts:
-                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), pa.array([batch.column("unit")[row].as_py()] * len(parts), pa.int64()), pa.array([grams[i].tobytes() for _, i in parts], pa.binary())], names=["bucket", "unit", "grams"])
+                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), pa.array([batch.column("unit")[row].as_py()] * len(parts), pa.int64()), pa.array([keys[i].astype("<u4").tobytes() for _, i in parts], pa.binary())], names=["bucket", "unit", "grams"])
 
     return run
 
@@ -176,7 +201,7 @@ def _sent_grams(n: int):
 def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
     """Of a bucket: the grams of each unit that another unit has too."""
     units = table["unit"].to_numpy()
-    sent = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+    sent = [np.frombuffer(x, "<u4") for x in table["grams"].to_pylist()]
     grams, who = np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(x) for x in sent])
     order = np.argsort(grams)
     g = grams[order]
@@ -186,7 +211,8 @@ def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
     by = np.argsort(w, kind="stable")
     cut = np.searchsorted(w[by], np.arange(len(sent) + 1))
     rows = [k for k in range(len(sent)) if cut[k] < cut[k + 1]]
-    return pa.table([pa.array(units[rows], pa.int64()), pa.array([g[by[cut[k] : cut[k + 1]]].tobytes() for k in rows], pa.binary())], names=["unit", "grams"])
+    bucket = pa.array([key[0].as_py()] * len(rows), pa.int32())
+    return pa.table([pa.array(units[rows], pa.int64()), bucket, pa.array([g[by[cut[k] : cut[k + 1]]].tobytes() for k in rows], pa.binary())], names=["unit", "bucket", "grams"])
 
 
 # stretches
@@ -194,13 +220,15 @@ def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
 SENT = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("owners", pa.binary()), ("grams", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 
 
-def _stretches(raw: np.ndarray, ends: np.ndarray, ids: np.ndarray, shared: list[bytes]):
+def _stretches(raw: np.ndarray, ends: np.ndarray, ids: np.ndarray, live: np.ndarray, shared: list[dict], n_buckets: int):
     """(first window, windows, number of the stretch, whether its owner is another document) of each kept anchor,
     and of each stretch: its gram, owner, windows, text."""
-    gram, first, n = anchors(raw, ends, len(ids))
+    gram, first, n = anchors(raw, ends, live)
     doc = np.searchsorted(ends, first, "right")
-    kept = np.unique(np.concatenate([_shared_inside(gram, ids[doc]), *(np.frombuffer(x, np.uint64) for x in shared)]))
-    some = np.flatnonzero(np.isin(gram, kept, kind="sort")) if len(kept) else np.zeros(0, np.int64)
+    key = _keys(gram, n_buckets)
+    told = [np.frombuffer(x["grams"], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in shared]
+    kept = np.unique(np.concatenate([_shared_inside(key, ids[doc]), *told]))
+    some = np.flatnonzero(np.isin(key, kept, kind="sort")) if len(kept) else np.zeros(0, np.int64)
     gram, first, n, doc = gram[some], first[some], n[some], doc[some]
     text = raw.tobytes()
     numbers: dict[bytes, int] = {}
@@ -216,11 +244,12 @@ def _sent_stretches(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw, ends, ids = _opened(batch, row)
-                *_, gram, owner, n, texts = _stretches(raw, ends, ids, batch.column("shared")[row].as_py() or [])
+                raw, ends, ids, live = _opened(batch, row)
+                *_, gram, owner, n, texts = _stretches(raw, ends, ids, live, batch.column("shared")[row].as_py() or [], n_buckets)
                 unit = batch.column("unit")[row].as_py()
-                for k, i in _packed(gram, n_buckets):
-                    yield pa.record_batch([[unit], [k], [i.astype("<u4").tobytes()], [owner[i].tobytes()], [gram[i].tobytes()], [n[i].astype("<u2").tobytes()], [b"".join([texts[j] for j in i.tolist()])]], schema=SENT)
+                for k, i in _packed(_bucket(gram, n_buckets), n_buckets):
+                    text = pa.compress(b"".join([texts[j] for j in i.tolist()]), "zstd", asbytes=True)  # short stretches: only entropy coding makes them smaller
+                    yield pa.record_batch([[unit], [k], [i.astype("<u4").tobytes()], [owner[i].tobytes()], [(gram[i] >> np.uint64(16)).astype("<u2").tobytes()], [n[i].astype("<u2").tobytes()], [text]], schema=SENT)
 
     return run
 
@@ -298,14 +327,14 @@ def _hits(key: tuple, table: pa.Table) -> pa.Table:
     """Of a bucket of stretches: which windows a smaller doc_id has too, as bits in the order they were sent."""
     columns = {c: table[c].to_pylist() for c in ("unit", "numbers", "owners", "grams", "sizes", "text")}
     sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in columns["sizes"]]
-    size, owner, gram = np.concatenate(sizes), np.frombuffer(b"".join(columns["owners"]), np.int64), np.frombuffer(b"".join(columns["grams"]), np.uint64)
-    text = np.frombuffer(b"".join(columns["text"]), np.uint8)
+    size, owner, gram = np.concatenate(sizes), np.frombuffer(b"".join(columns["owners"]), np.int64), np.frombuffer(b"".join(columns["grams"]), "<u2")
+    text = np.frombuffer(b"".join([pa.decompress(x, int((s + LENGTH - 1).sum()), "zstd", asbytes=True) for x, s in zip(columns["text"], sizes, strict=True)]), np.uint8)
     begin = np.cumsum(size + LENGTH - 1) - (size + LENGTH - 1)
     bit = np.cumsum(size) - size
     hit = np.zeros(int(size.sum()), bool)
     # equal windows have equal grams, so the stretches can be taken by classes of their grams
     classes = max(1, int(size.sum()) // SLAB)
-    kind = ((gram >> np.uint64(44)) % np.uint64(classes)).astype(np.int64)
+    kind = gram.astype(np.int64) % classes
     for k in range(classes):
         rows = np.flatnonzero(kind == k)
         if not len(rows):
@@ -328,7 +357,7 @@ def _hits(key: tuple, table: pa.Table) -> pa.Table:
 # cutting
 
 
-def cut(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def cut(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which bytes are covered by the windows from `starts` on."""
     edge = np.bincount(starts, minlength=len(raw) + 1) - np.bincount(starts + LENGTH, minlength=len(raw) + 1)
     return np.cumsum(edge)[: len(raw)] > 0
@@ -344,12 +373,12 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(all_gone, np.diff(np.append(first, len(raw))))
 
 
-def _results(with_text: bool, schema: pa.Schema):
+def _results(with_text: bool, schema: pa.Schema, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw, ends, ids = _opened(batch, row)
-                first, n, number, other, _, _, windows, _ = _stretches(raw, ends, ids, batch.column("shared")[row].as_py() or [])
+                raw, ends, ids, live = _opened(batch, row)
+                first, n, number, other, _, _, windows, _ = _stretches(raw, ends, ids, live, batch.column("shared")[row].as_py() or [], n_buckets)
                 offset = np.cumsum(windows) - windows
                 hit = np.zeros(int(windows.sum()), bool)
                 for x in batch.column("hits")[row].as_py() or []:
@@ -359,7 +388,9 @@ def _results(with_text: bool, schema: pa.Schema):
                     hit[np.repeat(offset[i], windows[i]) + step] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=total).astype(bool)
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 bad = np.repeat(other, n) | hit[np.repeat(offset[number], n) + step]
-                gone = cut(raw, ends, (np.repeat(first, n) + step)[bad])
+                gone = cut(raw, (np.repeat(first, n) + step)[bad])
+                for i in batch.column("copies")[row].as_py() or []:
+                    gone[ends[i - 1] if i else 0 : ends[i]] = True
                 rest = pa.ipc.open_stream(batch.column("rest")[row].as_buffer()).read_all().combine_chunks()
                 out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
                 begin = 0
@@ -401,19 +432,26 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     rounds = max(1, -(-total // ROUND_BYTES))
     units = _bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), buckets)
 
-    grams = units.drop("rest").mapInArrow(_sent_grams(rounds), "bucket int, unit long, grams binary")
-    shared = common.write_table(grams.groupBy("bucket").applyInArrow(_shared_grams, "unit long, grams binary"), "shared-grams")
-    by_unit = shared.groupBy("unit").agg(F.collect_list("grams").alias("shared"))  # of one unit: bounded by its bytes
-    known = units.drop("rest").hint("shuffle_merge").join(by_unit, "unit", "left")
+    narrow = units.drop("rest")
+    texts = common.write_table(narrow.mapInArrow(_digests, "unit long, place int, doc_id long, digest binary"), "digests")
+    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    later = texts.join(firsts, "digest").where("doc_id > first")
+    copies = common.write_table(later.groupBy("unit").agg(F.collect_list("place").alias("copies")), "copies")  # of one unit: bounded by its documents
+    live = narrow.hint("shuffle_merge").join(copies, "unit", "left")
+
+    grams = live.mapInArrow(_sent_grams(rounds), "bucket int, unit long, grams binary")
+    shared = common.write_table(grams.groupBy("bucket").applyInArrow(_shared_grams, "unit long, bucket int, grams binary"), "shared-grams")
+    by_unit = shared.groupBy("unit").agg(F.collect_list(F.struct("bucket", "grams")).alias("shared"))  # of one unit: bounded by its bytes
+    known = live.hint("shuffle_merge").join(by_unit, "unit", "left")
     sent = known.mapInArrow(_sent_stretches(rounds), "unit long, bucket int, numbers binary, owners binary, grams binary, sizes binary, text binary")
     hits = common.write_table(sent.groupBy("bucket").applyInArrow(_hits, "unit long, numbers binary, bits binary"), "window-hits")
 
     hits_of = hits.groupBy("unit").agg(F.collect_list(F.struct("numbers", "bits")).alias("hits"))
-    full = units.hint("shuffle_merge").join(by_unit, "unit", "left").join(hits_of.hint("shuffle_merge"), "unit", "left")
+    full = units.hint("shuffle_merge").join(copies, "unit", "left").join(by_unit.hint("shuffle_merge"), "unit", "left").join(hits_of.hint("shuffle_merge"), "unit", "left")
     fields = rows.drop("text").schema
     schema = pa.schema([*_arrow(rows.drop("text")), ("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_n_spans", pa.int64()), ("_kept", pa.string())])
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_n_bytes long, _n_removed long, _n_spans long, _kept string"])
-    return full.mapInArrow(_results(with_text, schema), ddl)
+    return full.mapInArrow(_results(with_text, schema, rounds), ddl)
 
 
 def _bucketed(units: DataFrame, buckets: int) -> DataFrame:
