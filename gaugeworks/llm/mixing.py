@@ -105,7 +105,8 @@ def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame,
     parts = d.where("size > 0").select("row", "size", "source_no", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     begin = F.greatest("start", F.col("block") * block_words) - F.col("start")
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start")
-    return d, parts.join(times, ["source_no", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
+    # a plan's guess of a size doesn't see what explode makes of a few rows, so the joins are asked for by name
+    return d, parts.hint("shuffle_merge").join(times, ["source_no", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     sizes are 0.  Only doc_id, text and source are read; an empty table gives no rows."""
     d, parts = drawn(common.write_table(sized(docs, False), "mix-sizes"), block_words)
     taken = parts.groupBy("row").agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
-    return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return d.hint("shuffle_merge").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -129,7 +130,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     copies = ranges.select("row", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))
     held = copies.select("row", F.filter("ranges", lambda r: r["times"] >= F.col("copy")).alias("ranges"))
     held = held.withColumn("words", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"]))
-    both = table.join(held, "row")
+    both = table.hint("shuffle_merge").join(held, "row")
     # split once for a document, not for each range
     part = F.concat_ws(" ", F.flatten(F.transform(F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))), lambda words: F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))))))
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(part)
