@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import models as M
 from ..operators import series as S
@@ -176,7 +177,7 @@ def ml_persist(spark, sf):
     return _score(test, model)
 
 
-@F.pandas_udf("crps double, lo double, hi double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("crps", "lo", "hi")]))
 def ziln_scores(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """CRPS by quadrature on a fixed grid, and PIT bounds, of a point mass at zero with log-normal amounts."""
     import numpy as np

@@ -1 +1 @@
-"""gaugeworks.streaming"""
+"""Nothing to do here yet: none of the jobs that this library covers is a stream (see README)."""
