@@ -20,13 +20,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
-WORD_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_loud_words long"
-#: What is kept of a document besides its counts for the rules: words without a small letter but with two capitals.
-FEATURES = [f.split()[0] for f in WORD_FEATURES.split(", ")]
+#: Counts of a document.  Loud words have two bytes or more, a capital letter and no small one (ASCII).
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_loud_words"]
 
 
 @dataclass(frozen=True)
@@ -75,8 +75,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs' columns `keep` and the features of its texts; a null text has no words."""
     common.ship(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select("text", *keep).mapInArrow(_features, f"{schema}, {WORD_FEATURES}")
+    schema = T.StructType([*docs.select(*keep).schema, *(T.StructField(f, T.LongType()) for f in FEATURES)])
+    return docs.select("text", *keep).mapInArrow(_features, schema)
 
 
 def score(name: str) -> Column:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -54,7 +55,7 @@ UNIT = pa.schema([("unit", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("end
 
 
 def _units(unit_bytes: int):
-    """Batches of (doc_id, text, other columns) -> rows of UNIT, documents by doc_id (null last), then text."""
+    """Batches of (doc_id, text, row) -> rows of UNIT, documents by doc_id (null last), then text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -65,7 +66,7 @@ def _units(unit_bytes: int):
             ids = t.column(0).to_pylist()
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
             out = pa.BufferOutputStream()
-            rest = t.take(order).drop_columns([t.column_names[1]])
+            rest = t.select([2]).take(order)
             with pa.ipc.new_stream(out, rest.schema) as w:
                 w.write_table(rest)
             ends = np.cumsum([len(texts[i]) for i in order])
@@ -147,14 +148,16 @@ def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The SHA-256 of every text that windows fit in, with its place."""
+    """For each different text of a unit that windows fit in: its SHA-256, and the places and doc_ids that have it."""
     for batch in batches:
         for row in range(batch.num_rows):
             raw, ends, ids, live = _opened(batch, row)
             text, begins = memoryview(raw), np.concatenate([[0], ends[:-1]])
-            at = np.flatnonzero(live & (ends - begins >= LENGTH))
-            found = [hashlib.sha256(text[begins[i] : ends[i]]).digest() for i in at]
-            yield pa.record_batch([pa.array([batch.column("unit")[row].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(ids[at]), pa.array(found, pa.binary())], names=["unit", "place", "doc_id", "digest"])
+            found: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(live & (ends - begins >= LENGTH)).tolist():
+                found.setdefault(hashlib.sha256(text[begins[i] : ends[i]]).digest(), []).append(i)
+            at = list(found.values())
+            yield pa.record_batch([pa.array([batch.column("unit")[row].as_py()] * len(at), pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array([ids[i] for i in at], pa.list_(pa.int64())), pa.array(list(found), pa.binary())], names=["unit", "places", "doc_ids", "digest"])
 
 
 def _shared_inside(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -373,7 +376,7 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(all_gone, np.diff(np.append(first, len(raw))))
 
 
-def _results(with_text: bool, schema: pa.Schema, n_buckets: int):
+def _results(with_text: bool, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -392,30 +395,24 @@ def _results(with_text: bool, schema: pa.Schema, n_buckets: int):
                 for i in batch.column("copies")[row].as_py() or []:
                     gone[ends[i - 1] if i else 0 : ends[i]] = True
                 rest = pa.ipc.open_stream(batch.column("rest")[row].as_buffer()).read_all().combine_chunks()
-                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+                out: dict[str, list] = {"_n_bytes": [], "_n_removed": [], "_n_spans": [], "_kept": []}
                 begin = 0
                 for end in ends.tolist():
                     g, r = gone[begin:end], raw[begin:end]
-                    out["n_bytes"].append(end - begin)
-                    out["n_removed"].append(int(g.sum()))
-                    out["n_spans"].append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
+                    out["_n_bytes"].append(end - begin)
+                    out["_n_removed"].append(int(g.sum()))
+                    out["_n_spans"].append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
                     if with_text:
-                        out["kept"].append(r[~whole_characters(r, g)].tobytes().decode("utf-8", "replace"))
+                        out["_kept"].append(r[~whole_characters(r, g)].tobytes().decode("utf-8", "replace"))
                     else:
-                        out["kept"].append(hashlib.sha256(r[~g].tobytes()).hexdigest())
+                        out["_kept"].append(hashlib.sha256(r[~g].tobytes()).hexdigest())
                     begin = end
-                table = pa.table([*rest.columns, *(pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items())], schema=schema)
+                table = pa.table([*rest.columns, *(pa.array(v, pa.string() if k == "_kept" else pa.int64()) for k, v in out.items())], names=["row", *out])
                 yield from table.to_batches()
 
     return run
 
 
-def _arrow(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """One row per row of docs: all its columns but text, and _n_bytes, _n_removed, _n_spans, _kept.
 
@@ -425,18 +422,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     byte.  Rows of null doc_id neither lose bytes nor count.  An empty table gives no rows."""
     spark = docs.sparkSession
     common.ship(spark)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(f"`{c}`" for c in rest))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     total = common.text_bytes(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     rounds = max(1, -(-total // ROUND_BYTES))
     units = _bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), buckets)
 
     narrow = units.drop("rest")
-    texts = common.write_table(narrow.mapInArrow(_digests, "unit long, place int, doc_id long, digest binary"), "digests")
-    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    later = texts.join(firsts, "digest").where("doc_id > first")
-    copies = common.write_table(later.groupBy("unit").agg(F.collect_list("place").alias("copies")), "copies")  # of one unit: bounded by its documents
+    texts = common.write_table(narrow.mapInArrow(_digests, "unit long, places array<int>, doc_ids array<long>, digest binary"), "digests")
+    firsts = texts.groupBy("digest").agg(F.min(F.array_min("doc_ids")).alias("first"), F.max(F.array_max("doc_ids")).alias("last")).where("first < last").select("digest", "first")
+    later = texts.join(firsts, "digest").select("unit", F.transform(F.filter(F.arrays_zip("places", "doc_ids"), lambda x: x["doc_ids"] > F.col("first")), lambda x: x["places"]).alias("later"))
+    copies = common.write_table(later.groupBy("unit").agg(F.flatten(F.collect_list("later")).alias("copies")), "copies")  # of one unit: bounded by its documents
     live = narrow.hint("shuffle_merge").join(copies, "unit", "left")
 
     grams = live.mapInArrow(_sent_grams(rounds), "bucket int, unit long, grams binary")
@@ -448,10 +445,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
 
     hits_of = hits.groupBy("unit").agg(F.collect_list(F.struct("numbers", "bits")).alias("hits"))
     full = units.hint("shuffle_merge").join(copies, "unit", "left").join(by_unit.hint("shuffle_merge"), "unit", "left").join(hits_of.hint("shuffle_merge"), "unit", "left")
-    fields = rows.drop("text").schema
-    schema = pa.schema([*_arrow(rows.drop("text")), ("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_n_spans", pa.int64()), ("_kept", pa.string())])
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_n_bytes long, _n_removed long, _n_spans long, _kept string"])
-    return full.mapInArrow(_results(with_text, schema, rounds), ddl)
+    numbers = [T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *numbers, T.StructField("_kept", T.StringType())])
+    return full.mapInArrow(_results(with_text, rounds), schema).select("row.*", *(c for c in schema.names if c != "row"))
 
 
 def _bucketed(units: DataFrame, buckets: int) -> DataFrame:
