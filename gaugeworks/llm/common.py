@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import os
 import tempfile
@@ -67,18 +68,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def clean_scratch() -> None:
-    """Delete the scratch tables written so far; call it once their readers' results are written."""
+    """Delete the scratch tables written so far; call it once what reads them is written."""
     while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            delete(spark, path)
-        except Exception as e:  # the session may be gone at exit
-            if "JavaError" not in type(e).__name__ and "Connection" not in type(e).__name__ and not isinstance(e, (AttributeError, TypeError)):
-                raise
+        delete(*_scratch.pop())
 
 
 def _at_exit() -> None:
-    if _scratch and _scratch[-1][0].sparkContext._jsc is not None:
+    with contextlib.suppress(Exception):  # the sessions may be gone by now; then their owner cleans the folder
         clean_scratch()
 
 
