@@ -44,6 +44,7 @@ def nearest(stations: DataFrame, k: int, start_km: float = 4.0, widest_km: float
     """The k nearest other stations of each, ties by id, with weights 1 / max(km, 0.05) and offsets in km.
 
     The radius doubles until every station has k neighbours within it; fails where the network has fewer."""
+    stations = stations.cache()  # a row per station; without it every radius would read the readings again
     n = stations.count()
     if n <= k:
         raise ValueError(f"{n} stations can't have {k} neighbours each")

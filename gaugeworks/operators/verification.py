@@ -85,7 +85,7 @@ def block_bootstrap(daily: DataFrame, reps: int) -> DataFrame:
     days = daily.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     count = days.agg(F.count(F.lit(1)).alias("days"))
     spark = daily.sparkSession
-    r = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(count))
+    r = spark.range(reps).select(F.col("id").alias("rep"), count.scalar().alias("days"))
     draws = r.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("days") - 1)))
     picked = draws.withColumn("i", F.pmod(F.shiftright(F.pmod((F.col("rep") * 1000003 + F.col("d")) * 1103515245 + 12345, F.lit(2147483648)), 12), F.col("days")))
     means = picked.join(days, "i").groupBy("rep").agg((F.sum("value") / F.sum("n")).alias("mean"))

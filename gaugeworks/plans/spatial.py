@@ -37,8 +37,8 @@ def _pairs(spark, sf):
 @query("fn_haversine", _sql("select a.station_id, b.station_id as nb, round(" + HAVERSINE + ", 6) as km from stations a join stations b on b.station_id = 'S0'", V.STATION_SQL))
 def fn_haversine(spark, sf):
     s = V.stations(spark, sf)
-    b = s.where("station_id = 'S0'").select(F.col("station_id").alias("nb"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return s.join(F.broadcast(b)).select("station_id", "nb", F.round(C.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
+    b = s.where("station_id = 'S0'")
+    return s.select("station_id", F.lit("S0").alias("nb"), F.round(C.haversine_km(F.col("lat"), F.col("lon"), b.select("lat").scalar(), b.select("lon").scalar()), 6).alias("km"))
 
 
 @query("fn_offset_km", _sql("select station_id, nb, dx, dy from pairs", PAIRS))
@@ -247,7 +247,7 @@ def agg_persistence(spark, sf):
 def agg_coverage(spark, sf):
     s = V.slots(spark, sf)
     expected = s.agg(F.count_distinct("slot").alias("expected"))
-    return s.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(expected)).select("station_id", "n", F.round(F.col("n") / F.col("expected"), 6).alias("share"))
+    return s.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).select("station_id", "n", F.round(F.col("n") / expected.scalar(), 6).alias("share"))
 
 
 @query("agg_diurnal", _sql("select hour % 24 as hour_of_day, cast(sum(n) as bigint) as n_slots, cast(sum(n_wet) as bigint) as n_wet, round(sum(total), 4) as total, count(*) as n_hours, count(*) filter (total > 10) as heavy from hours group by 1", HOURS))
