@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -217,6 +217,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_key() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def kept_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Of docs, for each component in firsts (doc_id, key, component: texts that may stand for it) the row of the smallest text; rows without a doc_id stay."""
+    named = docs.withColumn("_first", F.col("doc_id").cast("long")).withColumn("_key", text_key())
+    named = named.join(firsts.select(F.col("doc_id").alias("_first"), F.col("key").alias("_key"), F.col("component").alias("_component")).distinct(), ["_first", "_key"])
+    again = F.row_number().over(Window.partitionBy("_component").orderBy("text"))
+    rest = docs.where("doc_id is null")
+    return named.withColumn("_again", again).where("_again = 1").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(rest)
+
+
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component, one row for each; rows without a doc_id stay."""
     first = near_duplicates(docs, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
