@@ -62,7 +62,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
     return run
 
@@ -208,13 +208,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     empty texts have fingerprint zero and are linked like any other; repeated rows get a row each; a
     null doc_id is linked but is no component_id unless its whole component has none.  Only doc_id and
     text are read; an empty table gives no rows."""
+    return _named(docs, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, shingle: int, keyed: bool = False) -> DataFrame:
+    """doc_id, key of the text where asked for, fp, component (a fingerprint; no two components share one), component_id."""
     common.ship(docs.sparkSession)
-    fps = common.write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([text_key().alias("key")] if keyed else []))
+    fps = common.write_table(own.mapInArrow(_fingerprints(shingle), "doc_id long, fp long" + (", key binary" if keyed else "")), "fingerprints")
     distinct = common.write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     joined = components.components(links(distinct))
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", F.col("root").alias("component"), "component_id")
+    return fps.join(named, "fp")
 
 
 def text_key() -> Column:
@@ -231,11 +237,8 @@ def kept_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, one row for each; rows without a doc_id stay."""
-    first = near_duplicates(docs, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("_again", again).where("_again = 1").drop("_again").unionByName(docs.where("doc_id is null"))
+    """One row of docs for each component, that of the smallest (doc_id, text); rows without a doc_id stay."""
+    return kept_rows(docs, _named(docs, shingle, keyed=True).where("doc_id = component_id"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

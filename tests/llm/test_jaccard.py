@@ -1,4 +1,4 @@
-"""The pipeline's near-duplicate stage against all pairs."""
+"""The pipeline's near-duplicate stage against all pairs, and one row for each component."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from cases import awkward, documents, frame, words
 from test_texts import split
 
-from gaugeworks.llm import jaccard
+from gaugeworks.llm import jaccard, simhash
 
 
 def grams(text):
@@ -65,3 +65,12 @@ def test_pipeline_stage_finds_edited_copies(spark):
     rows = edited()
     got = corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "").collect()
     assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == least_of_components(rows)
+
+
+@pytest.mark.parametrize("stage", [jaccard, simhash])
+def test_one_doc_id_with_two_texts(spark, stage):
+    rnd = random.Random(1)
+    a, b = words(rnd, 80), words(rnd, 80)
+    rows = [(2, a, "en", "s1", 0), (5, a, "en", "s1", 0), (5, b, "en", "s1", 0), (9, b, "en", "s1", 0), (9, words(rnd, 80), "en", "s1", 0)]
+    got = stage.representatives(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(2, a), (5, b), (9, rows[4][1])])
