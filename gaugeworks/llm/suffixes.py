@@ -13,6 +13,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
    each distinct stretch once with the smallest doc_id that has it.  The suffixes that start at its
    windows are sorted, by LENGTH bytes: multikey quicksort on 8-byte characters to a shallow depth,
    then blind tries for the groups that still agree.  A window that a smaller doc_id has too is a hit.
+   A gram with over HOT_WINDOWS windows is hot: there each window is a stretch of its own, and goes to a task by
+   a hash of its bytes, so that equal windows still meet and no task takes a whole gram.
 4. Units learn their hits, and cut the covered bytes out.
 
 Copies inside a unit are combined before anything is shuffled, so what a group of copies sends grows
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ BUCKET_BYTES = 16 << 20
 ROUND_BYTES = 8 << 20
 #: Windows for which hashes are computed, or suffixes sorted, at a time.
 SLAB = 1 << 19
+#: Windows of one anchor gram, of all units together, over which its windows are sent one by one.
+HOT_WINDOWS = SLAB
 #: 8-byte characters that the multikey quicksort looks at.
 SHALLOW = 2
 _SPAN = LENGTH - GRAM + 1
@@ -193,29 +198,39 @@ def _sent_grams(n: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 raw, ends, _, live = _opened(batch, row)
-                keys = np.unique(_keys(anchors(raw, ends, live)[0], n))
+                gram, _, windows = anchors(raw, ends, live)
+                keys, which = np.unique(_keys(gram, n), return_inverse=True)
+                count = np.bincount(which, windows, len(keys)).astype(np.uint32)
                 parts = list(_packed((keys >> np.uint64(32)).astype(np.int64), n))
                 if parts:
-                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), pa.array([batch.column("unit")[row].as_py()] * len(parts), pa.int64()), pa.array([keys[i].astype("<u4").tobytes() for _, i in parts], pa.binary())], names=["bucket", "unit", "grams"])
+                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), pa.array([batch.column("unit")[row].as_py()] * len(parts), pa.int64()), pa.array([keys[i].astype("<u4").tobytes() for _, i in parts], pa.binary()), pa.array([count[i].astype("<u4").tobytes() for _, i in parts], pa.binary())], names=["bucket", "unit", "grams", "counts"])
 
     return run
 
 
-def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a bucket: the grams of each unit that another unit has too."""
-    units = table["unit"].to_numpy()
-    sent = [np.frombuffer(x, "<u4") for x in table["grams"].to_pylist()]
-    grams, who = np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(x) for x in sent])
-    order = np.argsort(grams)
-    g = grams[order]
-    same = np.concatenate([[False], g[1:] == g[:-1], [False]])
-    many = same[:-1] | same[1:]
-    g, w = g[many], who[order][many]
-    by = np.argsort(w, kind="stable")
-    cut = np.searchsorted(w[by], np.arange(len(sent) + 1))
-    rows = [k for k in range(len(sent)) if cut[k] < cut[k + 1]]
-    bucket = pa.array([key[0].as_py()] * len(rows), pa.int32())
-    return pa.table([pa.array(units[rows], pa.int64()), bucket, pa.array([g[by[cut[k] : cut[k + 1]]].tobytes() for k in rows], pa.binary())], names=["unit", "bucket", "grams"])
+def _shared_grams(hot_windows: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of a bucket: the grams of each unit that another unit has too, and which of them are hot."""
+        units = table["unit"].to_numpy()
+        sent = [np.frombuffer(x, "<u4") for x in table["grams"].to_pylist()]
+        grams, who = np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(x) for x in sent])
+        count = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")
+        order = np.argsort(grams)
+        g = grams[order]
+        same = np.concatenate([[False], g[1:] == g[:-1], [False]])
+        many = same[:-1] | same[1:]
+        g, w, c = g[many], who[order][many], count[order][many]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        total = np.add.reduceat(c.astype(np.int64), first) if len(g) else first
+        hot = np.repeat(total > hot_windows, np.diff(np.append(first, len(g))))
+        by = np.argsort(w, kind="stable")
+        cut = np.searchsorted(w[by], np.arange(len(sent) + 1))
+        rows = [k for k in range(len(sent)) if cut[k] < cut[k + 1]]
+        mine = [by[cut[k] : cut[k + 1]] for k in rows]
+        bucket = pa.array([key[0].as_py()] * len(rows), pa.int32())
+        return pa.table([pa.array(units[rows], pa.int64()), bucket, pa.array([g[i].tobytes() for i in mine], pa.binary()), pa.array([g[i[hot[i]]].tobytes() for i in mine], pa.binary())], names=["unit", "bucket", "grams", "hot"])
+
+    return run
 
 
 # stretches
@@ -225,7 +240,7 @@ SENT = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.b
 
 def _stretches(raw: np.ndarray, ends: np.ndarray, ids: np.ndarray, live: np.ndarray, shared: list[dict], n_buckets: int):
     """(first window, windows, number of the stretch, whether its owner is another document) of each kept anchor,
-    and of each stretch: its gram, owner, windows, text."""
+    and of each stretch: its gram (of a hot window: a hash of it), owner, windows, text."""
     gram, first, n = anchors(raw, ends, live)
     doc = np.searchsorted(ends, first, "right")
     key = _keys(gram, n_buckets)
@@ -234,6 +249,13 @@ def _stretches(raw: np.ndarray, ends: np.ndarray, ids: np.ndarray, live: np.ndar
     some = np.flatnonzero(np.isin(key, kept, kind="sort")) if len(kept) else np.zeros(0, np.int64)
     gram, first, n, doc = gram[some], first[some], n[some], doc[some]
     text = raw.tobytes()
+    hot = np.isin(key[some], np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x["hot"], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in shared)]))
+    if hot.any():
+        # each window by itself, under a hash of its bytes: equal windows have equal anchors, so all or none are hot
+        times = np.where(hot, n, 1)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        gram, first, n, doc, hot = np.repeat(gram, times), np.repeat(first, times) + step, np.repeat(np.where(hot, 1, n), times), np.repeat(doc, times), np.repeat(hot, times)
+        gram[hot] = [xxhash.xxh64_intdigest(text[a : a + LENGTH]) for a in first[hot].tolist()]
     numbers: dict[bytes, int] = {}
     number = np.fromiter((numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)), np.int64, len(first))
     # the first of a stretch has its smallest doc_id: documents stand by doc_id
@@ -413,7 +435,7 @@ def _results(with_text: bool, n_buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = UNIT_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """One row per row of docs: all its columns but text, and _n_bytes, _n_removed, _n_spans, _kept.
 
     _kept is the SHA-256 of the remaining bytes or, with_text, the remaining text; there a character stays
@@ -436,9 +458,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     copies = common.write_table(later.groupBy("unit").agg(F.flatten(F.collect_list("later")).alias("copies")), "copies")  # of one unit: bounded by its documents
     live = narrow.hint("shuffle_merge").join(copies, "unit", "left")
 
-    grams = live.mapInArrow(_sent_grams(rounds), "bucket int, unit long, grams binary")
-    shared = common.write_table(grams.groupBy("bucket").applyInArrow(_shared_grams, "unit long, bucket int, grams binary"), "shared-grams")
-    by_unit = shared.groupBy("unit").agg(F.collect_list(F.struct("bucket", "grams")).alias("shared"))  # of one unit: bounded by its bytes
+    grams = live.mapInArrow(_sent_grams(rounds), "bucket int, unit long, grams binary, counts binary")
+    shared = common.write_table(grams.groupBy("bucket").applyInArrow(_shared_grams(hot_windows), "unit long, bucket int, grams binary, hot binary"), "shared-grams")
+    by_unit = shared.groupBy("unit").agg(F.collect_list(F.struct("bucket", "grams", "hot")).alias("shared"))  # of one unit: bounded by its bytes
     known = live.hint("shuffle_merge").join(by_unit, "unit", "left")
     sent = known.mapInArrow(_sent_stretches(rounds), "unit long, bucket int, numbers binary, owners binary, grams binary, sizes binary, text binary")
     hits = common.write_table(sent.groupBy("bucket").applyInArrow(_hits, "unit long, numbers binary, bits binary"), "window-hits")
