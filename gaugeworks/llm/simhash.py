@@ -147,29 +147,15 @@ def _placed(trees: tuple[Tree, Tree]):
 
 
 def _close(fp: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of pairs within RADIUS; i below `own`, j > i.  A pair for each link of a spanning forest of the rows."""
-    parent = np.arange(len(fp))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
+    """Links (i, j) of rows that pairs within RADIUS join, one of each pair below `own`: each row to the smallest it is joined with."""
+    root = np.arange(len(fp))
     step = max(1, (1 << 22) // max(1, len(fp)))
     for at in range(0, own, step):
         rows = np.arange(at, min(at + step, own))
-        near = bits(fp[rows, None] ^ fp[None, at:]) <= RADIUS
-        i, j = np.nonzero(near)
-        i, j = i + at, j + at
-        for a, b in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
-            p, q = root(a), root(b)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((a, b))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+        i, j = np.nonzero((bits(fp[rows, None] ^ fp[None, at:]) <= RADIUS) & (root[rows, None] != root[None, at:]))
+        root = components.labels(root[i + at], root[j + at], len(fp))[root]
+    more = np.flatnonzero(root != np.arange(len(fp)))
+    return more, root[more]
 
 
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
@@ -228,16 +214,19 @@ def text_key() -> Column:
 
 
 def kept_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Of docs, for each component in firsts (doc_id, key, component: texts that may stand for it) the row of the smallest text; rows without a doc_id stay."""
-    named = docs.withColumn("_first", F.col("doc_id").cast("long")).withColumn("_key", text_key())
-    named = named.join(firsts.select(F.col("doc_id").alias("_first"), F.col("key").alias("_key"), F.col("component").alias("_component")).distinct(), ["_first", "_key"])
-    again = F.row_number().over(Window.partitionBy("_component").orderBy("text"))
-    rest = docs.where("doc_id is null")
-    return named.withColumn("_again", again).where("_again = 1").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(rest)
+    """Of docs one row for each component in firsts (doc_id, key, component: the texts that may stand for it), that of the
+    smallest (doc_id, key); of rows equal in both any, the same each time.  Rows without a doc_id stay."""
+    chosen = firsts.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("it")).select("it.doc_id", "it.key")
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # its columns may have any names
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), doc)
+    named = rows.where("doc_id is not null").hint("shuffle_merge").join(chosen, ["doc_id", "key"])
+    again = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.xxhash64("doc")))
+    kept = named.withColumn("again", again).where("again = 1").select("doc")
+    return kept.unionByName(rows.where("doc_id is null").select("doc")).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, that of the smallest (doc_id, text); rows without a doc_id stay."""
+    """One row of docs for each component, of its smallest doc_id; rows without a doc_id stay."""
     return kept_rows(docs, _named(docs, shingle, keyed=True).where("doc_id = component_id"))
 
 

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from cases import awkward, documents, frame, words
 from test_texts import split
 
-from gaugeworks.llm import jaccard, simhash
+from gaugeworks.llm import components, jaccard, simhash
 
 
 def grams(text):
@@ -74,3 +75,45 @@ def test_one_doc_id_with_two_texts(spark, stage):
     rows = [(2, a, "en", "s1", 0), (5, a, "en", "s1", 0), (5, b, "en", "s1", 0), (9, b, "en", "s1", 0), (9, words(rnd, 80), "en", "s1", 0)]
     got = stage.representatives(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(2, a), (5, b), (9, rows[4][1])])
+
+
+def test_similar_against_all_pairs():
+    rnd = np.random.default_rng(3)
+    for size, n in ((1, 30), (6, 80), (40, 120)):
+        base = rnd.integers(0, 1 << 62, size)
+        sets = []
+        for _ in range(n):
+            now = base.copy()
+            at = rnd.integers(0, size, rnd.integers(0, max(1, size // 5) + 1))
+            now[at] = rnd.integers(0, 1 << 62, len(at))
+            sets.append(np.unique(now[: rnd.integers(max(1, size * 3 // 4), size + 1)]).astype(np.uint64))
+        want = np.arange(n)
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j], True))
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    want[want == want[i]] = want[j]
+        least = {w: int(np.flatnonzero(want == w).min()) for w in set(want.tolist())}
+        assert jaccard.similar(sets).tolist() == [least[w] for w in want.tolist()]
+
+
+def test_components_of_chains_and_hubs(spark):
+    rnd = random.Random(7)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(200)] + [(5000 + rnd.randrange(80), 5000 + rnd.randrange(80)) for _ in range(60)] + [(7, 7)]
+    graph = {}
+    for a, b in links:
+        if a != b:
+            graph.setdefault(a, set()).add(b)
+            graph.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(graph):
+        stack = [node] if node not in want else []
+        while stack:
+            x = stack.pop()
+            if x not in want:
+                want[x] = node
+                stack += graph[x]
+    rnd.shuffle(links)
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
