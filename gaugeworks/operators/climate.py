@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def rate_totals(station_months: DataFrame, expected: Column, least_share: float) -> DataFrame:
     """Monthly totals as if every slot had been observed; months under the least coverage are left out."""
@@ -12,18 +14,22 @@ def rate_totals(station_months: DataFrame, expected: Column, least_share: float)
     return m.withColumn("full_total", F.col("total") / F.col("n_slots") * expected)
 
 
-def ranks(df: DataFrame, column: str) -> Column:
-    """Average ranks of ties."""
-    w = Window.orderBy(column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2
+def ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """column, name: the average rank of each of its values."""
+    by = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return ordered.running(by, column, ["n"]).select(column, (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    return df.select(ranks(df, x).alias("rx"), ranks(df, y).alias("ry")).agg(F.round(F.corr("rx", "ry"), 6).alias(name))
+    """Rank correlation of the rows that have both values."""
+    both = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.join(ranks(both, x, "rx"), x).join(ranks(both, y, "ry"), y).agg(F.round(F.corr("rx", "ry"), 6).alias(name))
 
 
 def trend(series: DataFrame, at: str, value: str) -> DataFrame:
-    """Kendall's tau (a) and the Theil-Sen slope of one short series: all ordered pairs of its points."""
+    """Kendall's tau (a) and the Theil-Sen slope of one series of a point per day or year: all ordered pairs of its points.
+
+    The series grows with time, not with stations or readings: a century of years has 4,950 pairs."""
     b = series.select(F.col(at).alias("tb"), F.col(value).alias("vb"))
     pairs = series.join(b, F.col(at) < F.col("tb"))
     return pairs.agg(F.round(F.avg(F.signum(F.col("vb") - F.col(value))), 6).alias("tau"), F.round(F.percentile((F.col("vb") - F.col(value)) / (F.col("tb") - F.col(at)), F.lit(0.5)), 6).alias("slope"))

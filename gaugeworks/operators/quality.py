@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
@@ -40,12 +40,26 @@ def station_days(slots: DataFrame, pairs: DataFrame) -> DataFrame:
     return d.join(seen, ["station_id", "day"], "left").select("station_id", "day", "total", "wet_hours", F.coalesce("n_nb", F.lit(0)).alias("n_nb"), "nb_max")
 
 
+def _extreme(t: Thresholds) -> Column:
+    return (F.col("total") >= t.extreme) & (F.col("n_nb") >= t.extreme_neighbours) & (F.col("nb_max") < t.extreme_share * F.col("total"))
+
+
+def _phantom(t: Thresholds) -> Column:
+    return (F.col("total") >= t.phantom) & (F.col("wet_hours") >= t.phantom_hours) & (F.col("n_nb") >= t.phantom_neighbours) & (F.col("nb_max") <= t.phantom_share * F.col("total"))
+
+
 def isolated_extreme(days: DataFrame, t: Thresholds) -> DataFrame:
-    return days.where((F.col("total") >= t.extreme) & (F.col("n_nb") >= t.extreme_neighbours) & (F.col("nb_max") < t.extreme_share * F.col("total")))
+    return days.where(_extreme(t))
 
 
 def phantom_rain(days: DataFrame, t: Thresholds) -> DataFrame:
-    return days.where((F.col("total") >= t.phantom) & (F.col("wet_hours") >= t.phantom_hours) & (F.col("n_nb") >= t.phantom_neighbours) & (F.col("nb_max") <= t.phantom_share * F.col("total")))
+    return days.where(_phantom(t))
+
+
+def day_flags(days: DataFrame, t: Thresholds) -> DataFrame:
+    """The days with each rule that flags them, both rules in one pass."""
+    rules = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in (("extreme", _extreme(t)), ("phantom", _phantom(t)))))
+    return days.withColumn("rule", F.explode(F.array_compact(rules)))
 
 
 def stuck_zero(days: DataFrame, t: Thresholds) -> DataFrame:
@@ -77,11 +91,10 @@ def spikes(slots: DataFrame, pairs: DataFrame, slot_s: int, t: Thresholds) -> Da
 
 def masks(days: DataFrame, t: Thresholds) -> DataFrame:
     """station_id, first_day, last_day, rule: flagged days widened by one day, and spans as they are."""
-    wide = lambda d, rule: d.select("station_id", (F.col("day") - 1).alias("first_day"), (F.col("day") + 1).alias("last_day"), F.lit(rule).alias("rule"))
     span = lambda d, rule: d.select("station_id", "first_day", "last_day", F.lit(rule).alias("rule"))
-    extreme, phantom = isolated_extreme(days, t), phantom_rain(days, t)
-    both = extreme.select("station_id", "day").unionByName(phantom.select("station_id", "day"))
-    return span(stuck_zero(days, t), "stuck_zero").unionByName(wide(extreme, "extreme")).unionByName(wide(phantom, "phantom")).unionByName(span(repeats(both, t), "repeat"))
+    flags = day_flags(days, t)
+    wide = flags.select("station_id", (F.col("day") - 1).alias("first_day"), (F.col("day") + 1).alias("last_day"), "rule")
+    return span(stuck_zero(days, t), "stuck_zero").unionByName(wide).unionByName(span(repeats(flags, t), "repeat"))
 
 
 def mask_effect(slots: DataFrame, spans: DataFrame) -> DataFrame:

@@ -11,25 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import scratch
 
 
-def _celled(stations: DataFrame, km: float) -> tuple[DataFrame, DataFrame]:
-    """Stations in cells of `km`; the second frame has each station in its cell and the eight around it."""
+def _celled(stations: DataFrame, targets: DataFrame, km: float) -> tuple[DataFrame, DataFrame]:
+    """Stations in cells of `km`; the second frame has each target in its cell and the eight around it."""
     dlat = km / C.KM_PER_DEGREE
-    cy = F.floor(F.col("lat") / dlat)
     # cells of a row of latitude are as wide as at the row's far edge, so they are never under `km`
-    edge = F.greatest(F.cos(F.radians((F.abs(cy) + 2) * dlat)), F.lit(0.01))
-    own = stations.select("station_id", "lat", "lon", cy.alias("cy"))
-    at = own.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("gy", F.col("cy") + F.col("d"))
-    width = dlat / F.greatest(F.cos(F.radians((F.abs(F.col("gy")) + 2) * dlat)), F.lit(0.01))
-    spread = at.withColumn("e", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(F.col("station_id").alias("target"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("gy").alias("cy"), (F.floor(F.col("lon") / width) + F.col("e")).alias("cx"))
-    homes = own.withColumn("cx", F.floor(F.col("lon") / (dlat / edge)))
+    width = lambda cy: dlat / F.greatest(F.cos(F.radians((F.abs(cy) + 2) * dlat)), F.lit(0.01))
+    cy = F.floor(F.col("lat") / dlat)
+    beside = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    at = targets.select("station_id", "lat", "lon", cy.alias("cy")).withColumn("d", beside).withColumn("gy", F.col("cy") + F.col("d"))
+    spread = at.withColumn("e", beside).select(F.col("station_id").alias("target"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("gy").alias("cy"), (F.floor(F.col("lon") / width(F.col("gy"))) + F.col("e")).alias("cx"))
+    homes = stations.select("station_id", "lat", "lon", cy.alias("cy"), F.floor(F.col("lon") / width(cy)).alias("cx"))
     return homes, spread
 
 
-def within(stations: DataFrame, km: float) -> DataFrame:
-    """station_id, nb, km: ordered pairs of different stations within `km` of each other."""
-    homes, spread = _celled(stations, km)
+def within(stations: DataFrame, km: float, targets: DataFrame | None = None) -> DataFrame:
+    """station_id, nb, km: ordered pairs of a station (of targets, if given) and another within `km` of it."""
+    homes, spread = _celled(stations, stations if targets is None else targets, km)
     pairs = spread.join(homes.withColumnRenamed("station_id", "nb"), ["cy", "cx"]).where("target <> nb")
     d = C.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
     return pairs.select(F.col("target").alias("station_id"), "nb", d.alias("km"), "lat1", "lon1", "lat", "lon").where(F.col("km") <= km)
@@ -43,22 +43,25 @@ def radius_pairs(stations: DataFrame, km: float) -> DataFrame:
 def nearest(stations: DataFrame, k: int, start_km: float = 4.0, widest_km: float = 1000.0) -> DataFrame:
     """The k nearest other stations of each, ties by id, with weights 1 / max(km, 0.05) and offsets in km.
 
-    The radius doubles until every station has k neighbours within it; fails where the network has fewer."""
-    stations = stations.cache()  # a row per station; without it every radius would read the readings again
+    The radius doubles for the stations that have fewer than k neighbours within it, and for these only;
+    fails where the network has fewer.  Stations farther than widest_km from others keep what they have."""
+    stations = scratch.table(stations, "stations")  # a row per station; without it every radius would read the readings again
     n = stations.count()
     if n <= k:
         raise ValueError(f"{n} stations can't have {k} neighbours each")
-    km = start_km
-    while True:
-        near = within(stations, km)
-        enough = near.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).count()
-        if enough == n or km > widest_km:
-            break
-        km *= 2
     east, north = C.offset_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
     w = Window.partitionBy("station_id").orderBy("km", "nb")
-    ranked = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
-    return ranked.select("station_id", "nb", "k", F.round("km", 6).alias("km"), (1 / F.greatest("km", F.lit(0.05))).alias("weight"), F.round(east, 6).alias("dx"), F.round(north, 6).alias("dy"))
+    km, rest, found = start_km, stations, None
+    while True:
+        near = scratch.table(within(stations, km, rest).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k), "near")
+        full = near.where(F.col("k") == k).select("station_id")
+        last = km > widest_km
+        part = near if last else near.join(full, "station_id", "left_semi")
+        found = part if found is None else found.unionByName(part)
+        if last or full.count() == rest.count():
+            break
+        rest, km = scratch.table(rest.join(full, "station_id", "left_anti"), "far-stations"), 2 * km
+    return found.select("station_id", "nb", "k", F.round("km", 6).alias("km"), (1 / F.greatest("km", F.lit(0.05))).alias("weight"), F.round(east, 6).alias("dx"), F.round(north, 6).alias("dy"))
 
 
 def lagged_neighbours(slots: DataFrame, pairs: DataFrame, slot_s: int) -> DataFrame:
@@ -85,16 +88,18 @@ def neighbour_columns(lagged: DataFrame, k: int) -> DataFrame:
 
 
 def storm_geometry(slots: DataFrame, pairs: DataFrame, slot_s: int) -> DataFrame:
-    """Rain-weighted centroid of the neighbours' rain one and two slots ago, its movement, spread, and approach."""
-    def centroid(lag: int, name: str) -> DataFrame:
-        nb = slots.select(F.col("station_id").alias("nb"), (F.col("slot") + lag * slot_s).alias("slot"), F.col("y").alias("r"))
-        j = slots.select("station_id", "slot").join(pairs, "station_id").join(nb, ["nb", "slot"])
-        m = j.groupBy("station_id", "slot").agg(F.sum("r").alias("rain"), F.sum(F.col("r") * F.col("dx")).alias("x"), F.sum(F.col("r") * F.col("dy")).alias("y0"), F.sum(F.col("r") * (F.pow("dx", 2) + F.pow("dy", 2))).alias("q"))
-        x, y = F.try_divide(F.col("x"), F.col("rain")), F.try_divide(F.col("y0"), F.col("rain"))
-        return m.where("rain > 0").select("station_id", "slot", x.alias(f"{name}_x"), y.alias(f"{name}_y"), F.sqrt(F.greatest(F.try_divide(F.col("q"), F.col("rain")) - x * x - y * y, F.lit(0.0))).alias(f"{name}_spread"))
-
-    now, before = centroid(1, "now"), centroid(2, "old").drop("old_spread")
-    j = slots.select("station_id", "slot").join(now, ["station_id", "slot"], "left").join(before, ["station_id", "slot"], "left")
+    """Rain-weighted centroid of the neighbours' rain one and two slots ago, its movement, spread, and approach.
+
+    Each wet reading goes to the slots one and two later of the stations that have it as a neighbour; both lags
+    are one aggregate, which the stations' own slots join once."""
+    told = slots.where("y > 0").select(F.col("station_id").alias("nb"), "slot", F.col("y").alias("r")).join(pairs.select("station_id", "nb", "dx", "dy"), "nb")
+    each = told.select("station_id", "r", "dx", "dy", "slot", F.explode(F.array(F.lit(1), F.lit(2))).alias("lag")).withColumn("slot", F.col("slot") + F.col("lag") * slot_s)
+    sums = [F.sum(F.when(F.col("lag") == k, v)).alias(f"{name}_{n}") for k, name in ((1, "now"), (2, "old")) for n, v in (("rain", F.col("r")), ("x0", F.col("r") * F.col("dx")), ("y0", F.col("r") * F.col("dy")), ("q", F.col("r") * (F.pow("dx", 2) + F.pow("dy", 2))))]
+    m = each.groupBy("station_id", "slot").agg(*sums)
+    for name in ("now", "old"):
+        x, y = F.try_divide(F.col(f"{name}_x0"), F.col(f"{name}_rain")), F.try_divide(F.col(f"{name}_y0"), F.col(f"{name}_rain"))
+        m = m.withColumn(f"{name}_x", x).withColumn(f"{name}_y", y).withColumn(f"{name}_spread", F.when(x.isNotNull(), F.sqrt(F.greatest(F.try_divide(F.col(f"{name}_q"), F.col(f"{name}_rain")) - x * x - y * y, F.lit(0.0)))))
+    j = slots.select("station_id", "slot").join(m, ["station_id", "slot"], "left")
     far = lambda p: F.sqrt(F.pow(f"{p}_x", F.lit(2)) + F.pow(f"{p}_y", F.lit(2)))
     r = lambda c: F.round(c, 4) + 0.0
     return j.select("station_id", "slot", r(F.col("now_x")).alias("x"), r(F.col("now_y")).alias("y"), r(F.col("now_spread")).alias("spread"), r(F.col("now_x") - F.col("old_x")).alias("move_x"), r(F.col("now_y") - F.col("old_y")).alias("move_y"), r(far("old") - far("now")).alias("approach"))

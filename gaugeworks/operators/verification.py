@@ -1,4 +1,4 @@
-"""Scores of probability and grid forecasts.  Everything is conditional sums, or windows over bins, never over raw rows."""
+"""Scores of probability and grid forecasts: conditional sums, windows over bins, or sums along ranges of an order."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import ordered
 
 
 def confusion(df: DataFrame, predicted: Column, observed: Column, *keys: str) -> DataFrame:
@@ -35,13 +36,12 @@ def brier(df: DataFrame, p: Column, observed: Column, *keys: str) -> DataFrame:
 
 
 def auc(df: DataFrame, p: str, observed: Column) -> DataFrame:
-    """ROC-AUC by midranks and PR-AUC by steps; equal scores are one step.  Windows see distinct scores."""
+    """ROC-AUC by midranks and PR-AUC by steps; equal scores are one step."""
     by = df.groupBy(p).agg(F.count_if(observed).alias("pos"), F.count_if(~observed).alias("neg"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    s = by.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0))).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    roc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
-    pr = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")
+    s = ordered.running(by, p, ["pos", "neg"])
+    tp, fp = F.col("all_pos") - F.col("before_pos"), F.col("all_neg") - F.col("before_neg")
+    roc = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
+    pr = F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")
     return s.agg(F.round(roc, 6).alias("roc_auc"), F.round(pr, 6).alias("pr_auc"))
 
 
@@ -67,12 +67,9 @@ def grid_scores(df: DataFrame, grid: Sequence[float]) -> DataFrame:
 def climatology_crps(train: DataFrame, test: DataFrame) -> DataFrame:
     """Mean CRPS of the training values as one empirical forecast, exactly, from (value, count) tables.
 
-    E|X - y| - E|X - X'| / 2 by running sums over distinct values; the test values join by equality after
-    a fill-down over the union of both value sets."""
+    E|X - y| - E|X - X'| / 2 by sums along the values of both."""
     both = train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.lit(0).cast("long")).unionByName(test.groupBy("y").agg(F.count(F.lit(1)).alias("m")).withColumn("n", F.lit(0).cast("long"))).groupBy("y").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    to = Window.orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("y").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = both.withColumn("cn", F.sum("n").over(to)).withColumn("cs", F.sum(F.col("n") * F.col("y")).over(to)).withColumn("all_n", F.sum("n").over(every)).withColumn("all_s", F.sum(F.col("n") * F.col("y")).over(every))
+    s = ordered.running(both.withColumn("s", F.col("n") * F.col("y")), "y", ["n", "s"]).withColumn("cn", F.col("before_n") + F.col("n")).withColumn("cs", F.col("before_s") + F.col("s"))
     dist = (F.col("y") * F.col("cn") - F.col("cs")) + (F.col("all_s") - F.col("cs") - F.col("y") * (F.col("all_n") - F.col("cn")))
     t = s.agg(F.sum(F.col("m") * dist).alias("d"), F.sum(F.col("n") * dist).alias("dd"), F.sum("m").alias("all_m"), F.max("all_n").alias("all_n"))
     return t.select(F.round(F.col("d") / (F.col("all_m") * F.col("all_n")) - F.col("dd") / (2 * F.col("all_n") * F.col("all_n")), 4).alias("crps"))

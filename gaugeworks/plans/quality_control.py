@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as R
+from ..sources import scratch
 from . import spatial as G
 from . import views as V
 from .registry import query
@@ -30,8 +31,10 @@ def _sql(body: str) -> str:
     return f"with {V.SLOTS}{DAYS}\n{body}"
 
 
-def _days(spark, sf):
-    return R.station_days(V.slots(spark, sf), G._pairs(spark, sf))
+def _days(spark, sf, slots=None, pairs=None):
+    """Written once: every rule reads them."""
+    s = V.slots_once(spark, sf) if slots is None else slots
+    return scratch.table(R.station_days(s, G._pairs(spark, sf) if pairs is None else pairs), "station-days")
 
 
 @query("qc_isolated_extreme", _sql("select station_id, day, total, n_nb, nb_max from extreme"))
@@ -51,8 +54,7 @@ def win_stuck_zero(spark, sf):
 
 @query("win_repeat_spans", _sql("select * from repeats"))
 def win_repeat_spans(spark, sf):
-    d = _days(spark, sf)
-    return R.repeats(R.isolated_extreme(d, T).select("station_id", "day").unionByName(R.phantom_rain(d, T).select("station_id", "day")), T)
+    return R.repeats(R.day_flags(_days(spark, sf), T), T)
 
 
 @query("win_topk_ranked", _sql("select station_id, day, nb, k from (select o.station_id, o.day, p.nb, row_number() over (partition by o.station_id, o.day order by p.k) as k from d0 o join pairs p using (station_id) join d0 n on n.station_id = p.nb and n.day = o.day) where k <= 2"))
@@ -66,7 +68,7 @@ def win_topk_ranked(spark, sf):
 
 @query("qc_spike", _sql("select * from spikes"))
 def qc_spike(spark, sf):
-    return R.spikes(V.slots(spark, sf), G._pairs(spark, sf), V.SLOT_S, T)
+    return R.spikes(V.slots_once(spark, sf), G._pairs(spark, sf), V.SLOT_S, T)
 
 
 @query("qc_masks", _sql("select * from masks"))
@@ -80,27 +82,29 @@ union all select 'stuck_zero', station_id, first_day, last_day, 'days=' || cast(
 union all select 'repeat', station_id, first_day, last_day, 'days=' || cast(n_days as varchar) from repeats
 union all select 'spike', station_id, slot // 86400, slot // 86400, 'y=' || cast(cast(round(y * 10) as bigint) as varchar) from spikes order by 1, 2, 3"""))
 def qc_flag_table(spark, sf):
-    d = _days(spark, sf)
+    s, pairs = V.slots_once(spark, sf), G._pairs(spark, sf)
+    d = _days(spark, sf, s, pairs)
     tenths = lambda c: F.round(F.col(c) * 10).cast("long").cast("string")
-    day = lambda f, rule: f.select(F.lit(rule).alias("rule"), "station_id", F.col("day").alias("first_day"), F.col("day").alias("last_day"), F.concat(F.lit("total="), tenths("total"), F.lit(" nb="), F.col("n_nb").cast("string")).alias("evidence"))
     span = lambda f, rule: f.select(F.lit(rule).alias("rule"), "station_id", "first_day", "last_day", F.concat(F.lit("days="), F.col("n_days").cast("string")).alias("evidence"))
-    extreme, phantom = R.isolated_extreme(d, T), R.phantom_rain(d, T)
+    flags = R.day_flags(d, T)
+    days = flags.select("rule", "station_id", F.col("day").alias("first_day"), F.col("day").alias("last_day"), F.concat(F.lit("total="), tenths("total"), F.lit(" nb="), F.col("n_nb").cast("string")).alias("evidence"))
     at = F.floor(F.col("slot") / 86400)
-    spike = qc_spike(spark, sf).select(F.lit("spike").alias("rule"), "station_id", at.alias("first_day"), at.alias("last_day"), F.concat(F.lit("y="), tenths("y")).alias("evidence"))
-    flagged = extreme.select("station_id", "day").unionByName(phantom.select("station_id", "day"))
-    return day(extreme, "extreme").unionByName(day(phantom, "phantom")).unionByName(span(R.stuck_zero(d, T), "stuck_zero")).unionByName(span(R.repeats(flagged, T), "repeat")).unionByName(spike).orderBy("rule", "station_id", "first_day")
+    spike = R.spikes(s, pairs, V.SLOT_S, T).select(F.lit("spike").alias("rule"), "station_id", at.alias("first_day"), at.alias("last_day"), F.concat(F.lit("y="), tenths("y")).alias("evidence"))
+    return days.unionByName(span(R.stuck_zero(d, T), "stuck_zero")).unionByName(span(R.repeats(flags, T), "repeat")).unionByName(spike).orderBy("rule", "station_id", "first_day")
 
 
 @query("agg_masked_days", _sql("select rule, count(*) as n_days from (select distinct m.rule, s.station_id, s.slot // 86400 as day from slots s join masks m on m.station_id = s.station_id and s.slot // 86400 between first_day and last_day) group by 1"))
 def agg_masked_days(spark, sf):
-    m = R.masks(_days(spark, sf), T).select("rule", "station_id", F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    d = V.slots(spark, sf).select("station_id", F.floor(F.col("slot") / 86400).alias("day")).distinct()
+    s = V.slots_once(spark, sf)
+    m = R.masks(_days(spark, sf, s), T).select("rule", "station_id", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    d = s.select("station_id", F.floor(F.col("slot") / 86400).alias("day")).distinct()
     return m.join(d, ["station_id", "day"]).distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("n_days"))
 
 
 @query("agg_mask_effect", _sql("select strftime(make_timestamp(slot * 1000000), '%Y-%m') as month, count(*) as before, count(*) filter (m) as removed, count(*) filter (not m) as left from (select s.*, exists (select 1 from masks k where k.station_id = s.station_id and s.slot // 86400 between first_day and last_day) as m from slots s) group by 1".replace(" as left", ' as "left"')))
 def agg_mask_effect(spark, sf):
-    return R.mask_effect(V.slots(spark, sf), R.masks(_days(spark, sf), T))
+    s = V.slots_once(spark, sf)
+    return R.mask_effect(s, R.masks(_days(spark, sf, s), T))
 
 
 @query("snk_mask_rewrite", _sql("select station_id, slot, y from slots s where not exists (select 1 from masks k where k.station_id = s.station_id and s.slot // 86400 between first_day and last_day)"))
@@ -108,5 +112,5 @@ def snk_mask_rewrite(spark, sf):
     """The masked copy: same columns, masked days left out by an anti join."""
     from ..operators import spatial as P
 
-    s = V.slots(spark, sf).withColumn("day", F.floor(F.col("slot") / 86400))
-    return P.masked(s, R.masks(_days(spark, sf), T), keep=False).select("station_id", "slot", "y")
+    s = V.slots_once(spark, sf)
+    return P.masked(s.withColumn("day", F.floor(F.col("slot") / 86400)), R.masks(_days(spark, sf, s), T), keep=False).select("station_id", "slot", "y")

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import series as S
 from ..operators import spatial as P
+from ..sources import scratch
 from . import series as Q
 from . import views as V
 from .registry import query
@@ -31,7 +32,16 @@ def _sql(body: str, more: str = "") -> str:
 
 
 def _pairs(spark, sf):
-    return P.nearest(V.stations(spark, sf), K)
+    return scratch.table(P.nearest(V.stations(spark, sf), K), "pairs")
+
+
+#: Stations farther apart than this make no pair: pairs would grow with the square of the stations.
+PAIR_KM = 20.0
+PAIRED = f"join pairs0 p on p.station_id = a.station_id and p.nb = b.station_id and p.km0 <= {PAIR_KM}"
+
+
+def _paired(spark, sf):
+    return P.within(scratch.table(V.stations(spark, sf), "stations"), PAIR_KM).where("station_id < nb").select("station_id", "nb")
 
 
 @query("fn_haversine", _sql("select a.station_id, b.station_id as nb, round(" + HAVERSINE + ", 6) as km from stations a join stations b on b.station_id = 'S0'", V.STATION_SQL))
@@ -57,7 +67,7 @@ def jn_radius_pairs(spark, sf):
 
 
 def _lagged(spark, sf):
-    return P.lagged_neighbours(V.slots(spark, sf), _pairs(spark, sf), SLOT)
+    return P.lagged_neighbours(V.slots_once(spark, sf), _pairs(spark, sf), SLOT)
 
 
 @query("jn_lagged_neighbour", _sql("select station_id, slot, k, nb, nb_y from lagged", LAGGED))
@@ -91,7 +101,7 @@ c0 as (select s.station_id, s.slot, lag, sum(n.y) as rain, sum(n.y * dx) / sum(n
   from slots s join pairs p using (station_id), (values (1), (2)) l(lag) join slots n on n.station_id = p.nb and n.slot = s.slot - lag * {SLOT} group by all having sum(n.y) > 0),
 c as (select station_id, slot, lag, x, y, sqrt(greatest(q - x * x - y * y, 0.0)) as spread from c0)"""))
 def agg_storm_geometry(spark, sf):
-    return P.storm_geometry(V.slots(spark, sf), _pairs(spark, sf), SLOT)
+    return P.storm_geometry(V.slots_once(spark, sf), _pairs(spark, sf), SLOT)
 
 
 HOURS = f""", hours as (select station_id, (slot - {SLOT}) // 3600 as hour, count(*) as n, round(sum(y), 4) as total, count(*) filter (y > 0) as n_wet, max(y) as peak from slots group by 1, 2)"""
@@ -99,27 +109,26 @@ HOURS = f""", hours as (select station_id, (slot - {SLOT}) // 3600 as hour, coun
 
 @query("jn_same_hour", _sql("select h.station_id, h.hour, p.nb, h.total, n.total as nb_total from hours h join pairs p using (station_id) join hours n on n.station_id = p.nb and n.hour = h.hour", PAIRS + HOURS))
 def jn_same_hour(spark, sf):
-    h = A.hourly(V.slots(spark, sf), SLOT)
+    h = scratch.table(A.hourly(V.slots(spark, sf), SLOT), "hours")
     nb = h.select(F.col("station_id").alias("nb"), "hour", F.col("total").alias("nb_total"))
     return h.join(_pairs(spark, sf).select("station_id", "nb"), "station_id").join(nb, ["nb", "hour"]).select("station_id", "hour", "nb", "total", "nb_total")
 
 
 @query("jn_adjacent", _sql(f"select s.station_id, s.slot, s.y, b.y as before, a.y as after from slots s left join slots b on b.station_id = s.station_id and b.slot = s.slot - {SLOT} left join slots a on a.station_id = s.station_id and a.slot = s.slot + {SLOT}"))
 def jn_adjacent(spark, sf):
-    return P.adjacent(V.slots(spark, sf), SLOT)
+    return P.adjacent(V.slots_once(spark, sf), SLOT)
 
 
 @query("jn_window_lookup", _sql(f"select s.station_id, s.slot, p.nb, count(*) as n, max(n.y) as nb_max from slots s join pairs p using (station_id) join slots n on n.station_id = p.nb and n.slot between s.slot - {2 * SLOT} and s.slot + {2 * SLOT} where s.y > 20 group by all", PAIRS))
 def jn_window_lookup(spark, sf):
-    s = V.slots(spark, sf)
+    s = V.slots_once(spark, sf)
     return P.around(s.where("y > 20"), _pairs(spark, sf), s, 2, SLOT).groupBy("station_id", "slot", "nb").agg(F.count(F.lit(1)).alias("n"), F.max("nb_y").alias("nb_max"))
 
 
 SPANS = """, spans as (select station_id, day - 1 as first_day, day + 1 as last_day from (select station_id, slot // 86400 as day, max(y) as peak from slots group by 1, 2) where peak >= 25)"""
 
 
-def _spans(spark, sf):
-    d = _days(spark, sf)
+def _spans(d):
     return d.groupBy("station_id", "day").agg(F.max("y").alias("peak")).where("peak >= 25").select("station_id", (F.col("day") - 1).alias("first_day"), (F.col("day") + 1).alias("last_day"))
 
 
@@ -132,17 +141,19 @@ IN_SPAN = "exists (select 1 from spans p where p.station_id = s.station_id and s
 
 @query("jn_interval_semi", _sql(f"select station_id, slot from slots s where {IN_SPAN}", SPANS))
 def jn_interval_semi(spark, sf):
-    return P.masked(_days(spark, sf), _spans(spark, sf), keep=True).select("station_id", "slot")
+    d = scratch.table(_days(spark, sf), "days")
+    return P.masked(d, _spans(d), keep=True).select("station_id", "slot")
 
 
 @query("jn_interval_anti", _sql(f"select station_id, slot from slots s where not {IN_SPAN}", SPANS))
 def jn_interval_anti(spark, sf):
-    return P.masked(_days(spark, sf), _spans(spark, sf), keep=False).select("station_id", "slot")
+    d = scratch.table(_days(spark, sf), "days")
+    return P.masked(d, _spans(d), keep=False).select("station_id", "slot")
 
 
 @query("jn_slot_semi_anti", _sql("select station_id, slot, y >= 25 as flagged from slots"))
 def jn_slot_semi_anti(spark, sf):
-    s = V.slots(spark, sf)
+    s = V.slots_once(spark, sf)
     flagged = s.where("y >= 25").select("station_id", "slot")
     keys = ["station_id", "slot"]
     return s.join(flagged, keys, "left_semi").select(*keys, F.lit(True).alias("flagged")).unionByName(s.join(flagged, keys, "left_anti").select(*keys, F.lit(False).alias("flagged")))
@@ -150,15 +161,17 @@ def jn_slot_semi_anti(spark, sf):
 
 @query("jn_interval_inner", _sql("select s.station_id, count(distinct s.slot // 86400) as n_days from slots s join spans p on p.station_id = s.station_id and s.slot // 86400 between first_day and last_day group by 1", SPANS))
 def jn_interval_inner(spark, sf):
-    d, p = _days(spark, sf).select("station_id", "day").distinct(), _spans(spark, sf)
+    every = scratch.table(_days(spark, sf), "days")
+    d, p = every.select("station_id", "day").distinct(), _spans(every)
     return d.join(p, "station_id").where("day between first_day and last_day").groupBy("station_id").agg(F.count_distinct("day").alias("n_days"))
 
 
-@query("jn_time_pairs", _sql("select a.station_id as a, b.station_id as b, count(*) as n, count(*) filter (a.y > 0 and b.y > 0) as both_wet from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id group by 1, 2"))
+@query("jn_time_pairs", _sql("select a.station_id as a, b.station_id as b, count(*) as n, count(*) filter (a.y > 0 and b.y > 0) as both_wet from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id " + PAIRED + " group by 1, 2", PAIRS))
 def jn_time_pairs(spark, sf):
-    s = V.slots(spark, sf)
+    s = V.slots_once(spark, sf)
     b = s.select("slot", F.col("station_id").alias("b"), F.col("y").alias("yb"))
-    return s.select("slot", F.col("station_id").alias("a"), F.col("y").alias("ya")).join(b, "slot").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("ya > 0 and yb > 0")).alias("both_wet"))
+    near = _paired(spark, sf).select(F.col("station_id").alias("a"), F.col("nb").alias("b"))
+    return s.select("slot", F.col("station_id").alias("a"), F.col("y").alias("ya")).join(near, "a").join(b, ["slot", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("ya > 0 and yb > 0")).alias("both_wet"))
 
 
 @query("jn_asof_tolerance", _sql("""select r.station_id, r.t, max(x.epoch) as epoch, arg_max(x.y, x.epoch) as y from (select distinct station_id, slot as t from slots) r
@@ -204,7 +217,7 @@ def agg_station_month(spark, sf):
 @query("agg_neighbour_day", _sql("""select station_id, day, count(*) as n_nb, max(total) as nb_max, round(quantile_cont(total, 0.5), 4) as nb_median, string_agg(nb || ':' || cast(cast(round(total * 10) as bigint) as varchar), ' ' order by k) as evidence
 from (select p.station_id, n.day, p.nb, p.k, n.total from days o join pairs p using (station_id) join days n on n.station_id = p.nb and n.day = o.day) group by 1, 2""", PAIRS + ", days as (select station_id, slot // 86400 as day, round(sum(y), 4) as total from slots group by 1, 2)"))
 def agg_neighbour_day(spark, sf):
-    d = _days(spark, sf).groupBy("station_id", "day").agg(F.round(F.sum("y"), 4).alias("total"))
+    d = scratch.table(_days(spark, sf).groupBy("station_id", "day").agg(F.round(F.sum("y"), 4).alias("total")), "days")
     nb = d.select(F.col("station_id").alias("nb"), "day", F.col("total").alias("nb_total"))
     j = d.select("station_id", "day").join(_pairs(spark, sf).select("station_id", "nb", "k"), "station_id").join(nb, ["nb", "day"])
     text = F.concat_ws(":", "nb", F.round(F.col("nb_total") * 10).cast("long").cast("string"))
@@ -225,9 +238,9 @@ def agg_mode_coords(spark, sf):
 
 @query("agg_pair_corr", _sql("""select a, b, day_half, n, round(case when va > 1e-6 and vb > 1e-6 then cov / sqrt(va * vb) end, 4) as r from (
 select a.station_id as a, b.station_id as b, a.slot // 43200 % 2 as day_half, count(*) as n, count(*) * sum(a.y * b.y) - sum(a.y) * sum(b.y) as cov, count(*) * sum(a.y * a.y) - sum(a.y) * sum(a.y) as va, count(*) * sum(b.y * b.y) - sum(b.y) * sum(b.y) as vb
-from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id group by 1, 2, 3)"""))
+from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id """ + PAIRED + " group by 1, 2, 3)", PAIRS))
 def agg_pair_corr(spark, sf):
-    return A.pair_correlation(V.slots(spark, sf).withColumn("day_half", F.floor(F.col("slot") / 43200) % 2), "day_half")
+    return A.pair_correlation(V.slots_once(spark, sf).withColumn("day_half", F.floor(F.col("slot") / 43200) % 2), _paired(spark, sf), "day_half")
 
 
 @query("agg_events_by_class", _sql("select strftime(make_timestamp(begin * 1000000), '%Y-%m') as month, case when duration <= 21600 then 1 when duration <= 43200 then 2 else 3 end as class, complete, count(*) as n, round(sum(depth), 4) as rain, cast(sum(duration) as bigint) as seconds, round(sum(peak), 4) as peaks from spells group by 1, 2, 3", ", " + Q.SPELLS))
@@ -245,7 +258,7 @@ def agg_persistence(spark, sf):
 
 @query("agg_coverage", _sql("select station_id, count(*) as n, round(count(*) / (select count(distinct slot) from slots), 6) as share from slots group by 1"))
 def agg_coverage(spark, sf):
-    s = V.slots(spark, sf)
+    s = V.slots_once(spark, sf)
     expected = s.agg(F.count_distinct("slot").alias("expected"))
     return s.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).select("station_id", "n", F.round(F.col("n") / expected.scalar(), 6).alias("share"))
 
@@ -258,7 +271,7 @@ def agg_diurnal(spark, sf):
 
 @query("agg_extremes", _sql("select h.station_id, max(h.total) as hour_max, count(*) filter (h.total > 20) as over_20, count(*) filter (h.total > 40) as over_40, any_value(d.day_max) as day_max from hours h left join (select station_id, max(total) as day_max from (select station_id, hour // 24 as day, round(sum(total), 4) as total from hours group by 1, 2) group by 1) d using (station_id) group by 1", HOURS))
 def agg_extremes(spark, sf):
-    h = A.hourly(V.slots(spark, sf), SLOT)
+    h = scratch.table(A.hourly(V.slots(spark, sf), SLOT), "hours")
     d = A.daily(h, 1.0).groupBy("station_id").agg(F.max("total").alias("day_max"))
     return h.groupBy("station_id").agg(F.max("total").alias("hour_max"), F.count_if(F.expr("total > 20")).alias("over_20"), F.count_if(F.expr("total > 40")).alias("over_40")).join(d, "station_id", "left")
 

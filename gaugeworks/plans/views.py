@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import columns as C
+from ..sources import scratch
 
 SLOT_S = 21600
-STATIONS = 40
+#: Stations of a block of 0.28 by 0.45 degrees; more users fill more blocks, so neighbours per station stay as many.
+BLOCK = 40
+#: Blocks that stand one north of the other before the next column of blocks begins.
+COLUMN = 200
+#: Orders of a job of run records.
+JOB_ORDERS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event a reading, every user a station."""
     e = table(spark, sf_dir, "events")
-    n = F.col("user_id") % STATIONS
+    n, block = F.col("user_id") % BLOCK, F.floor(F.col("user_id") / BLOCK)
     wet = F.col("event_type").isin("purchase", "signup", "error")
     return e.select(
         "event_id",
-        F.concat(F.lit("S"), n.cast("string")).alias("station_id"),
+        F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station_id"),
         C.epoch("ts").alias("epoch"),
         (C.epoch("ts") + F.col("event_id") % 3).alias("update_epoch"),
         F.when(wet, F.floor("value") / 10.0).otherwise(0.0).alias("y"),
-        (1.20 + (n * 7919 % 1000) * 0.00028).alias("lat"),
-        (103.60 + (n * 10427 % 1000) * 0.00045).alias("lon"),
+        (1.20 + (n * 7919 % 1000) * 0.00028 + block % COLUMN * 0.3).alias("lat"),
+        (103.60 + (n * 10427 % 1000) * 0.00045 + F.floor(block / COLUMN) * 0.5).alias("lon"),
     )
 
 
 READINGS = f"""
 readings as (
-  select event_id, 'S' || cast(user_id % {STATIONS} as varchar) as station_id, cast(floor(epoch(ts)) as bigint) as epoch,
+  select event_id, 'S' || cast(user_id as varchar) as station_id, cast(floor(epoch(ts)) as bigint) as epoch,
          cast(floor(epoch(ts)) as bigint) + event_id % 3 as update_epoch,
          case when event_type in ('purchase', 'signup', 'error') then floor(value) / 10.0 else 0.0 end as y,
-         1.20::double + (user_id % {STATIONS} * 7919 % 1000) * 0.00028::double as lat,
-         103.60::double + (user_id % {STATIONS} * 10427 % 1000) * 0.00045::double as lon
+         1.20::double + (user_id % {BLOCK} * 7919 % 1000) * 0.00028::double + user_id // {BLOCK} % {COLUMN} * 0.3::double as lat,
+         103.60::double + (user_id % {BLOCK} * 10427 % 1000) * 0.00045::double + user_id // {BLOCK} // {COLUMN} * 0.5::double as lon
   from events)"""
 
 
@@ -49,6 +56,11 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("station_id", "slot").agg(F.max_by("y", F.struct("epoch", "event_id")).alias("y"))
 
 
+def slots_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slots, written: for plans that use them more than once."""
+    return scratch.table(slots(spark, sf_dir), "slots")
+
+
 SLOTS = READINGS + f""",
 slotted as (select *, (epoch + {SLOT_S // 2}) // {SLOT_S} * {SLOT_S} as slot from readings),
 slots as (select station_id, slot, arg_max(y, {{'a': epoch, 'b': event_id}}) as y from slotted group by station_id, slot)"""
@@ -122,7 +134,7 @@ history as (select *, case when op = 'read' and k % 10 = 0 then greatest(idx - 6
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark run records: up to three trials of each position, backend, split depth and core count."""
+    """Every lineitem a benchmark run: the trials of each position, backend, split depth, core count and job."""
     li = table(spark, sf_dir, "lineitem")
     r = li.select(
         F.col("l_returnflag").alias("position"),
@@ -130,7 +142,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 1, "serial").otherwise("mpi").alias("backend"),
         (F.col("l_linenumber") % 3 + 1).cast("int").alias("split_depth"),
         (F.col("l_linenumber") * 4).cast("int").alias("cores"),
-        (F.col("l_orderkey") % 50).cast("long").alias("job"),
+        F.floor(F.col("l_orderkey") / JOB_ORDERS).cast("long").alias("job"),
         F.col("l_quantity").cast("double").alias("seconds"),
         (F.col("l_quantity") + F.col("l_discount") * 10).cast("double").alias("launch_seconds"),
         (1000 * (F.col("l_linenumber") + 1)).cast("long").alias("nodes"),
@@ -139,19 +151,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
     group = Window.partitionBy("position", "backend", "split_depth", "cores", "job").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    r = r.withColumn("trial", F.row_number().over(group)).where("trial <= 3 and not (trial = 3 and job % 10 = 0)")
-    return r.drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return r.withColumn("trial", F.row_number().over(group)).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-RUNS = """
+RUNS = f"""
 runs as (
   select * exclude (rn), cast(rn as integer) as trial from (
     select l_returnflag as position, 6 as depth, case when l_linenumber = 1 then 'serial' else 'mpi' end as backend,
-           cast(l_linenumber % 3 + 1 as integer) as split_depth, cast(l_linenumber * 4 as integer) as cores, cast(l_orderkey % 50 as bigint) as job,
+           cast(l_linenumber % 3 + 1 as integer) as split_depth, cast(l_linenumber * 4 as integer) as cores, cast(l_orderkey // {JOB_ORDERS} as bigint) as job,
            cast(l_quantity as double) as seconds, cast(l_quantity + l_discount * 10 as double) as launch_seconds,
            cast(1000 * (l_linenumber + 1) as bigint) as nodes, l_linestatus as score, case when l_tax > 0.07 then 124 else 0 end as exit_code,
-           row_number() over (partition by l_returnflag, l_linenumber, l_orderkey % 50 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn
-    from lineitem) where rn <= 3 and not (rn = 3 and job % 10 = 0))"""
+           row_number() over (partition by l_returnflag, l_linenumber, l_orderkey // {JOB_ORDERS} order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn
+    from lineitem))"""
 
 GRID = (0.0, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 40.0, 50.0)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -15,4 +19,29 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gaugeworks-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gaugeworks/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/gaugeworks/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.append((spark, path))
+    return path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and scanned by all that follows: a plan that uses it many times doesn't make it as often."""
+    path = folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean() -> None:
+    """Delete what was written so far; call it once what reads it is written."""
+    while _folders:
+        spark, path = _folders.pop()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the sessions may be gone by now; then their owner cleans the folder
+        clean()
+
+
+atexit.register(_at_exit)
