@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
@@ -69,6 +70,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def clean_scratch() -> None:
     """Delete the scratch tables written so far; call it once what reads them is written."""
+    while _tables:
+        spark, name = _tables.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _scratch:
         delete(*_scratch.pop())
 
@@ -92,6 +96,30 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd", partition_by: str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, *then: str, buckets: int) -> DataFrame:
+    """df as a table bucketed by a column of which each task has whole values only: nothing is shuffled, and later joins by it move no row of df."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    name = "gaugeworks_" + path.rsplit("-", 1)[1]
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by, *then).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """part, row, doc_id (long), doc (all columns of docs, of any names): bucketed by part, so that decisions join by (part, row) where the texts lie."""
+    spark = docs.sparkSession
+    at = F.monotonically_increasing_id()
+    rows = docs.select(F.shiftright(at, 33).cast("int").alias("part"), at.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return bucketed(rows, "part", "row", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def chosen(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """Of numbered rows those in kept (part, row) and those without a doc_id, with docs' columns."""
+    named = rows.join(kept.select("part", "row", F.lit(True).alias("kept")), ["part", "row"], "left").where("kept or doc_id is null")
+    return named.select(*(F.col(f"doc.`{c}`").alias(c) for c in columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

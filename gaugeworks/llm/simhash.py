@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -194,40 +194,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     empty texts have fingerprint zero and are linked like any other; repeated rows get a row each; a
     null doc_id is linked but is no component_id unless its whole component has none.  Only doc_id and
     text are read; an empty table gives no rows."""
-    return _named(docs, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    common.ship(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _named(own, "", shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _named(docs: DataFrame, shingle: int, keyed: bool = False) -> DataFrame:
-    """doc_id, key of the text where asked for, fp, component (a fingerprint; no two components share one), component_id."""
-    common.ship(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([text_key().alias("key")] if keyed else []))
-    fps = common.write_table(own.mapInArrow(_fingerprints(shingle), "doc_id long, fp long" + (", key binary" if keyed else "")), "fingerprints")
+def _named(own: DataFrame, more: str, shingle: int) -> DataFrame:
+    """Of rows (doc_id, text and what `more` declares): doc_id, fp, more, component (a fingerprint; no two components share one), component_id."""
+    fps = common.write_table(own.mapInArrow(_fingerprints(shingle), "doc_id long, fp long" + more), "fingerprints")
     distinct = common.write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     joined = components.components(links(distinct))
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", F.col("root").alias("component"), "component_id")
+    # one row of `named` for each fingerprint: of a fingerprint that very many documents have, Spark may split the documents over tasks
     return fps.join(named, "fp")
 
 
-def text_key() -> Column:
-    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-
-
-def kept_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Of docs one row for each component in firsts (doc_id, key, component: the texts that may stand for it), that of the
-    smallest (doc_id, key); of rows equal in both any, the same each time.  Rows without a doc_id stay."""
-    chosen = firsts.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("it")).select("it.doc_id", "it.key")
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # its columns may have any names
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), doc)
-    named = rows.where("doc_id is not null").hint("shuffle_merge").join(chosen, ["doc_id", "key"])
-    again = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.xxhash64("doc")))
-    kept = named.withColumn("again", again).where("again = 1").select("doc")
-    return kept.unionByName(rows.where("doc_id is null").select("doc")).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
-
-
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs for each component, of its smallest doc_id; rows without a doc_id stay."""
-    return kept_rows(docs, _named(docs, shingle, keyed=True).where("doc_id = component_id"))
+    common.ship(docs.sparkSession)
+    rows = common.numbered(docs)
+    own = rows.where("doc_id is not null").select("doc_id", F.col("doc.text").alias("text"), "part", "row")
+    found = _named(own, ", part int, row long", shingle)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "part", "row")).alias("it")).select("it.part", "it.row")
+    return common.chosen(rows, first, docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,7 +449,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     total = common.text_bytes(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     rounds = max(1, -(-total // ROUND_BYTES))
-    units = _bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), buckets)
+    units = common.bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), "unit", buckets=buckets)
 
     narrow = units.drop("rest")
     texts = common.write_table(narrow.mapInArrow(_digests, "unit long, places array<int>, doc_ids array<long>, digest binary"), "digests")
@@ -472,15 +472,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     return full.mapInArrow(_results(with_text, rounds), schema).select("row.*", *(c for c in schema.names if c != "row"))
 
 
-def _bucketed(units: DataFrame, buckets: int) -> DataFrame:
-    """units as a table bucketed by unit in the shared folder: tasks write whole units, nothing is shuffled."""
-    spark = units.sparkSession
-    path = common.scratch_path(spark, "units")
-    name = "units_" + path.rsplit("-", 1)[1]
-    units.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "unit").sortBy("unit").saveAsTable(name)
-    return spark.table(name)
-
-
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept").alias("kept_sha256"))
