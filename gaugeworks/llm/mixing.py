@@ -1,12 +1,16 @@
 """Mixing sources to target weights (operator 8), in DataFrame functions only.
 
-Every source is one stream of words, cut into blocks of a fixed length.  The mix has a number of
-slots; a slot's source is drawn, and how many slots of a source an output shard gets is the
-multinomial count of those draws, conditioned on the sources' totals: slots are dealt to shards by a
-pseudorandom permutation of all slots, so the totals are exact and the counts per shard random.  The
-k-th slot of a source takes the block that the source's own pseudorandom permutation gives for k;
-slots and blocks are then joined by (source, block).  A permutation of n numbers is k -> (a k + c) mod
-n with a prime a that doesn't divide n, so any slot can be computed by itself and reruns agree.
+Every source is one stream of words, cut into blocks of a fixed length.  The mix is a number of output
+shards of SHARD_SLOTS slots.  Each slot draws its source by a seeded hash of its number, so a shard's
+source counts are multinomial.  Counts are then corrected along the shards so that each source's total
+is exact: its cumulative count is scaled to the total and rounded down, which moves a shard by a slot
+or two.  The k-th slot of a source takes the block that the source's own keyed permutation gives for
+k, and slots and blocks are joined by (source, block).
+
+The permutation of n numbers is an affine map followed by a swap-or-not shuffle: in each round x and
+its partner (key - x) mod n swap or stay by a hashed bit of the larger.  It is a bijection for any n, computes one index by itself,
+and reruns agree.  Hashes are affine maps modulo two primes in turn, in whole numbers, so that SQL can
+compute the same.
 """
 
 from __future__ import annotations
@@ -21,20 +25,55 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_WORDS = 32
 #: Slots of an output shard.
 SHARD_SLOTS = 1024
-#: Primes over 2^31; a permutation takes the one whose remainder is nearest to 0.38 of n.
-PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857, 2147483867, 2147483869)
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Documents of a stretch, within which sizes are summed one after the other.
-STRETCH_ROWS = 4096
-#: Slots that one generated row stands for before it is opened.
-RUN = 1 << 14
+STRETCH_ROWS = 512
+#: Stretches, or shards, whose sums make one row of the next level.
+LEVEL = 1024
+SEED = 42
+#: Rounds of a permutation.
+ROUNDS = 8
+#: Cells of the unit interval that draws and sources meet by.
+CELLS = 4096
+# fixed values: the two largest primes below 2^31 and multipliers below them
+PRIME, OTHER = 2147483647, 2147483629
+TIMES = (1103515245, 1664525, 214013)
+# fixed values: the ten smallest primes over 2^31; none divides a number of blocks
+PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857, 2147483867, 2147483869)
+
+
+def hashed(x: Column) -> Column:
+    """Of x in [0, 2^32): a number below PRIME."""
+    return ((x.cast("long") * TIMES[0] + SEED) % PRIME * TIMES[1] + SEED) % OTHER * TIMES[2] % PRIME
+
+
+def permuted(x: Column, key: Column, n: Column) -> Column:
+    """The place of x in [0, n), n < 2^31, in the permutation of `key` (non-negative)."""
+
+    def swapped(at: Column, r: Column) -> Column:
+        salt = key % 1_000_000 * ROUNDS + r
+        turn = hashed(salt) % n
+        other = F.pmod(turn - at, n)
+        # the multiplier differs by round: the same one would give rounds the same bits, only moved
+        bit = F.shiftright(hashed((F.greatest(at, other) * hashed(salt + 500_000_000) + turn) % PRIME), 15).bitwiseAND(F.lit(1).cast("long"))
+        return F.when(bit == 1, other).otherwise(at)
+
+    prime = lambda i: F.element_at(F.array(*map(F.lit, PRIMES)), (hashed(key % 1_000_000 + i) % len(PRIMES) + 1).cast("int")) % n
+    far = F.pmod(x * (prime(1) * prime(2) % n) + hashed(key % 1_000_000 + 3) % n, n)
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), far, swapped)
 
 
-def permuted(k: Column, n: Column) -> Column:
-    """Of k in [0, n), n < 2^31."""
-    near = [F.struct(F.abs(F.lit(p) % n - F.floor(n * 0.38)).alias("far"), (F.lit(p) % n).alias("a")) for p in PRIMES]
-    return F.pmod(k * F.array_min(F.array(*near))["a"] + F.floor(n * 0.7), n)
+def _running(df: DataFrame, at: str, value: str) -> DataFrame:
+    """df with `before`: what rows of its source_no with a smaller `at` (a whole number, once for each source) sum to.
+
+    Sums of LEVEL numbers first, then over those sums, so that no task takes a source's rows one by one."""
+    g = df.withColumn("_g", F.floor(F.col(at) / LEVEL))
+    inside = Window.partitionBy("source_no", "_g").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("source_no").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = g.groupBy("source_no", "_g").agg(F.sum(value).alias("_n")).select("source_no", "_g", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_earlier"))
+    out = g.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, ["source_no", "_g"])
+    return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_g", "_inside", "_earlier")
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
@@ -58,79 +97,112 @@ def _targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_no", "source_size", F.coalesce(F.col("first") * F.col("weight"), F.col("limit")).alias("target"))
 
 
-def sized(docs: DataFrame, whole: bool) -> DataFrame:
-    """row (a number for each row, fixed by writing the table), doc_id, source, size and, for the whole, the row itself as doc."""
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *row)
+def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """row (a number for each row, fixed by writing the table), doc_id, source, size."""
+    row = F.col("row") if "row" in docs.columns and text != "text" else F.monotonically_increasing_id()
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return common.write_table(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+
+
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """shard, source_no, drawn, first, last: the multinomial draw of each shard, and the slots [first, last) of the source that it gets.
+
+    sources: source_no, n_slots, the slots `earlier` of sources before it; the driver takes the number of all slots."""
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("n_slots")).first()[0] or 0
+    shards = -(-total // SHARD_SLOTS)
+    share = lambda x: x / F.lit(max(total, 1)) * F.lit(CELLS)
+    # a source's cells, and one to each side for rounding: CELLS and three for each source at most
+    cells = sources.where("n_slots > 0").select("source_no", "n_slots", "earlier", F.explode(F.sequence(F.floor(share(F.col("earlier"))) - 1, F.floor(share(F.col("earlier") + F.col("n_slots"))) + 1)).alias("cell"))
+    slots = spark.range(0, shards, 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4096)).select(F.col("id").alias("shard"))
+    slots = slots.select("shard", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)).alias("t"))
+    # an affine map alone would spread its numbers too evenly for a draw; their squares scatter
+    slots = slots.withColumn("y", hashed((F.col("t") % PRIME + F.floor(F.col("t") / PRIME) * 7919) % PRIME)).withColumn("w", hashed(F.col("y") * F.col("y") % PRIME))
+    slots = slots.select("shard", F.floor(F.col("w") / F.lit(PRIME) * F.lit(total)).alias("v"), F.floor(F.col("w") / F.lit(PRIME) * F.lit(CELLS)).alias("cell"))
+    met = slots.join(cells, "cell").where((F.col("v") >= F.col("earlier")) & (F.col("v") < F.col("earlier") + F.col("n_slots")))
+    counts = met.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("drawn"))
+    # a source so small that no slot drew it goes to one shard
+    counts = common.write_table(counts, "mix-draws")
+    none = sources.where("n_slots > 0").join(counts.select("source_no").distinct(), "source_no", "left_anti")
+    every = counts.unionByName(none.select((hashed(F.col("source_no")) % F.lit(max(shards, 1))).alias("shard"), "source_no", F.lit(1).cast("long").alias("drawn")))
+    totals = every.groupBy("source_no").agg(F.sum("drawn").alias("all")).join(sources.select("source_no", "n_slots"), "source_no")
+    r = _running(every, "shard", "drawn").join(totals, "source_no")
+    scaled = lambda c: F.when(c == F.col("all"), F.col("n_slots")).otherwise(F.floor(c.cast("double") * (F.col("n_slots") / F.col("all"))))
+    return r.select("shard", "source_no", "drawn", scaled(F.col("before")).alias("first"), scaled(F.col("before") + F.col("drawn")).alias("last"))
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """source_no, k (which of its source's slots), block, slot, shard: a row for each slot of the mix."""
-    every = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = sources.withColumn("before", F.coalesce(F.sum("n_slots").over(every), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(whole)).where("n_slots > 0")
-    runs = runs.select("source_no", "n_blocks", "n_slots", "before", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))).alias("run"))
-    # spread the runs before they are opened: a source may have a third of all slots
-    runs = runs.repartition("source_no", "run")
-    k = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n_slots")) - 1)).alias("k"))
-    slot = permuted(F.col("before") + F.col("k"), F.col("all_slots"))
-    # the second time round takes the same permutation; a block is taken twice at most
-    return k.select("source_no", "k", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks")).alias("block"), slot.alias("slot"), F.floor(slot / SHARD_SLOTS).alias("shard"))
-
-
-def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents: row, doc_id, size, source_no, source_size, target, start in the source's stream;
-    taken blocks of documents: row, size, first and last word taken from the document (from 0), times)."""
+    """source_no, k (which of its source's slots), shard, block: a row for each slot of the mix."""
+    k = shard_counts(sources).where("last > first").select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("k"))
+    k = k.join(sources.select("source_no", "n_blocks"), "source_no")
+    # the second time round takes another permutation; a block is taken twice at most
+    turn = F.col("source_no") * 2 + F.floor(F.col("k") / F.col("n_blocks"))
+    return k.select("source_no", "k", "shard", permuted(F.col("k") % F.col("n_blocks"), turn, F.col("n_blocks")).alias("block"))
+
+
+def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: row, doc_id, size, source_no, source_size, target; sources; blocks of documents: row, source_no, block, size,
+    first and last word that they take from the document (from 0))."""
     count = sizes.count()
     named = _targets(sizes)
     blocks = F.ceil(F.col("source_size") / block_words)
     wanted = F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast("long"), 2 * F.col("n_blocks"))
     named = named.withColumn("n_blocks", F.when(blocks < 2**31, blocks).otherwise(F.raise_error(F.lit("a source has 2^31 blocks; use longer blocks"))).cast("long")).withColumn("n_slots", wanted)
+    named = named.withColumn("earlier", F.coalesce(F.sum("n_slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = common.write_table(named, "mix-sources")  # a row per source
+    # written small, so that Spark knows that it can send it along
+    d = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "source_no", "source_size", "target")
 
-    # where a document starts in its source's stream: summed within stretches, then over stretches
+    # where a document starts in its source's stream: summed within stretches, then over stretches; empty ones are nowhere
     stretches = max(1, -(-count // STRETCH_ROWS))
-    cut = sizes.withColumn("stretch", F.coalesce(F.pmod(F.col("doc_id"), F.lit(stretches)), F.lit(0)))
-    inside = Window.partitionBy("source", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = cut.groupBy("source", "stretch").agg(F.sum("size").alias("n")).select("source", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    same = lambda a, b, *more: [a[c].eqNullSafe(b[c]) for c in ("source", *more)]
-    d = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(lengths, same(d, lengths, "stretch")).select(d["row"], d["doc_id"], d["source"], d["size"], (F.col("earlier") + F.col("inside")).alias("start"))
-    d = d.join(sources, same(d, sources)).select("row", "doc_id", "size", "source_no", "source_size", "target", "start")
-    d = common.write_table(d, "mix-documents")
-
-    times = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    parts = d.where("size > 0").select("row", "size", "source_no", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
+    own = F.coalesce(F.pmod("doc_id", F.lit(PRIME)), F.pmod("row", F.lit(PRIME)))
+    cut = d.where("size > 0").select("row", "doc_id", "size", "source_no", (hashed(own + F.col("size")) % stretches).alias("stretch"))
+    lengths = _running(cut.groupBy("source_no", "stretch").agg(F.sum("size").alias("n")), "stretch", "n").select("source_no", "stretch", "before")
+    inside = Window.partitionBy("source_no", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(lengths, ["source_no", "stretch"])
+    placed = placed.select("row", "size", "source_no", (F.col("before") + F.col("inside")).alias("start"))
+    parts = placed.select("*", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     begin = F.greatest("start", F.col("block") * block_words) - F.col("start")
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start")
-    # a plan's guess of a size doesn't see what explode makes of a few rows, so the joins are asked for by name
-    return d, parts.hint("shuffle_merge").join(times, ["source_no", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
+    return d, sources, parts.select("row", "source_no", "block", "size", begin.alias("begin"), end.alias("end"))
+
+
+def blocks_of_mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix by shards: shard, source_no, k (of the source's slots), doc_id, begin, end (the words of the document that the slot holds)."""
+    sizes = sized(docs)
+    _, sources, parts = drawn(sizes, block_words)
+    return slots(sources).hint("shuffle_merge").join(parts, ["source_no", "block"]).join(sizes.select("row", "doc_id"), "row").select("shard", "source_no", "k", "doc_id", "begin", "end")
+
+
+def _taken(sources: DataFrame, parts: DataFrame) -> DataFrame:
+    """parts with times (how often the mix takes the block) and its first and last shard."""
+    times = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    # a plan's guess of a size doesn't see what explode makes of a few rows, so the join is asked for by name
+    return parts.hint("shuffle_merge").join(times, ["source_no", "block"])
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
+    """One row per row of docs: doc_id, size, source_size, target, taken, and the first and last shard that has words of it (null: none).
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
     order.  Repeated rows and null doc_ids are documents like any other.  All targets are 0 where all
     sizes are 0.  Only doc_id, text and source are read; an empty table gives no rows."""
-    d, parts = drawn(common.write_table(sized(docs, False), "mix-sizes"), block_words)
-    taken = parts.groupBy("row").agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
-    return d.hint("shuffle_merge").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    d, sources, parts = drawn(sized(docs), block_words)
+    taken = _taken(sources, parts).groupBy("row").agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"))
+    return d.hint("shuffle_merge").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself, in docs' columns: the first copy of a document holds the words taken at least once, the
+    """The mix as documents, in docs' columns: the first copy of a document holds the words taken at least once, the
     second those taken twice.  A copy of all words keeps the text as it is; other copies have single spaces."""
-    table = common.write_table(sized(docs, True), "mix-rows")
-    _, parts = drawn(table.drop("doc"), block_words)
+    rows = common.numbered(docs)
+    _, sources, parts = drawn(sized(rows, "doc.text", "doc.source"), block_words)
     # of one document: a range for each of its own blocks
-    ranges = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "times"))).alias("ranges"))
-    copies = ranges.select("row", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))
-    held = copies.select("row", F.filter("ranges", lambda r: r["times"] >= F.col("copy")).alias("ranges"))
-    held = held.withColumn("words", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"]))
-    both = table.hint("shuffle_merge").join(held, "row")
+    ranges = _taken(sources, parts).groupBy("row").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("begin", "end", "times"))).alias("ranges"))
+    copies = ranges.select("row", "size", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))
+    held = copies.select("row", "size", F.filter("ranges", lambda r: r["times"] >= F.col("copy")).alias("ranges"))
+    held = held.withColumn("words", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])).withColumn("part", F.shiftright("row", 33).cast("int"))
+    both = rows.join(held, ["part", "row"])  # rows are bucketed by part, so no text moves
     # split once for a document, not for each range
     part = F.concat_ws(" ", F.flatten(F.transform(F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))), lambda words: F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))))))
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(part)
@@ -143,23 +215,36 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(block_words: int = BLOCK_WORDS) -> str:
-    far = ", ".join(f"{{'far': abs({p} % n - cast(floor(n * 0.38) as bigint)), 'a': {p} % n}}" for p in PRIMES)
-    perm = lambda k: f"({k} * list_min([{far}]).a + cast(floor(n * 0.7) as bigint)) % n"
+    h = lambda x: f"((({x}) * {TIMES[0]} + {SEED}) % {PRIME} * {TIMES[1]} + {SEED}) % {OTHER} * {TIMES[2]} % {PRIME}"
+    prime = lambda i: f"([{', '.join(map(str, PRIMES))}][({h(f'turn % 1000000 + {i}')}) % {len(PRIMES)} + 1] % n)"
+    rounds = ""
+    for r in range(ROUNDS):
+        salt = f"(turn % 1000000 * {ROUNDS} + {r})"
+        rounds += f"q{r} as (select *, (({h(salt)}) % n - x + n) % n as p from x{r}),\nx{r + 1} as (select * exclude (p) replace (case when ((({h(f'(greatest(x, p) * ({h(f"{salt} + 500000000")}) + ({h(salt)}) % n) % {PRIME}')}) >> 15) & 1) = 1 then p else x end as x) from q{r}),\n"
     return f"""
 with d as (select row_number() over () as row, doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
 s0 as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as source_no from d group by source),
 s1 as (select *, [3, 1, 2][source_no % 3 + 1] as weight, source_size * {MOST} as cap, (select sum(source_size) from s0) * {SHARE} as total from s0),
 s2 as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source_no rows between unbounded preceding and 1 preceding), 0))
               / ((select sum(weight) from s1) - coalesce(sum(weight) over (order by cap / weight, source_no rows between unbounded preceding and 1 preceding), 0)) as level from s1),
-s3 as (select *, min(case when level * weight < cap then level end) over (order by cap / weight, source_no rows between unbounded preceding and current row) as below,
-              first_value(case when level * weight < cap then level end ignore nulls) over (order by cap / weight, source_no rows between unbounded preceding and current row) as lvl from s2),
+s3 as (select *, first_value(case when level * weight < cap then level end ignore nulls) over (order by cap / weight, source_no rows between unbounded preceding and current row) as lvl from s2),
 s4 as (select source, source_no, cast(source_size as bigint) as source_size, coalesce(lvl * weight, cast(cap as double)) as target, cast(ceil(source_size / {block_words}) as bigint) as n_blocks from s3),
-s as (select *, least(cast(round(target * n_blocks / greatest(source_size, 1)) as bigint), 2 * n_blocks) as n_slots from s4),
-k as (select source_no, n_blocks as n, unnest(range(0, n_slots)) as k from s where n_slots > 0),
-t as (select source_no, cast({perm("(k % n)")} as bigint) as block, count(*) as times from k group by all),
-st as (select *, coalesce(doc_id % cast(greatest(1, ceil((select count(*) from d) / {STRETCH_ROWS}.0)) as bigint), 0) as stretch from d),
-a as (select st.*, s.source_no, s.source_size, s.target, cast(coalesce(sum(size) over (partition by st.source order by stretch, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
-      from st join s on st.source is not distinct from s.source),
-p as (select row, size, source_no, start, unnest(range(start // {block_words}, (start + size - 1) // {block_words} + 1)) as block from a where size > 0),
-x as (select row, sum((least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})) * times) as taken from p join t using (source_no, block) group by row)
-select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from a left join x using (row)"""
+s5 as (select *, least(cast(round(target * n_blocks / greatest(source_size, 1)) as bigint), 2 * n_blocks) as n_slots from s4),
+s as materialized (select *, cast(coalesce(sum(n_slots) over (order by source_no rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier, cast(sum(n_slots) over () as bigint) as slots from s5),
+t as (select unnest(range(0, (select max(slots) from s))) as t),
+y as (select t, {h(f'(t % {PRIME} + t // {PRIME} * 7919) % {PRIME}')} as y from t),
+w as (select t, cast(floor(({h(f'y * y % {PRIME}')}) / {PRIME} * (select max(slots) from s)) as bigint) as v from y),
+c0 as (select t // {SHARD_SLOTS} as shard, source_no, count(*) as drawn from w join s on v >= earlier and v < earlier + n_slots group by all),
+c1 as (select * from c0 union all select ({h('source_no')}) % greatest(1, (slots + {SHARD_SLOTS - 1}) // {SHARD_SLOTS}), source_no, 1 from s where n_slots > 0 and source_no not in (select source_no from c0)),
+c2 as (select shard, source_no, drawn, n_slots, n_blocks, cast(sum(drawn) over (partition by source_no order by shard) as bigint) as upto, cast(sum(drawn) over (partition by source_no) as bigint) as every from c1 join s using (source_no)),
+c3 as (select *, case when upto - drawn = every then n_slots else cast(floor(cast(upto - drawn as double) * (n_slots / every)) as bigint) end as lo, case when upto = every then n_slots else cast(floor(cast(upto as double) * (n_slots / every)) as bigint) end as hi from c2),
+k as (select source_no, shard, n_blocks as n, unnest(range(lo, hi)) as k from c3),
+k1 as (select source_no, shard, n, source_no * 2 + k // n as turn, k % n as x from k),
+x0 as (select source_no, shard, n, turn, (x * ({prime(1)} * {prime(2)} % n) + ({h("turn % 1000000 + 3")}) % n) % n as x from k1),
+{rounds}b as (select source_no, x as block, count(*) as times, min(shard) as a, max(shard) as z from x{ROUNDS} group by 1, 2),
+e as (select d.*, s.source_no, s.source_size, s.target from d join s on d.source is not distinct from s.source),
+st as (select *, ({h(f'coalesce((doc_id % {PRIME} + {PRIME}) % {PRIME}, row % {PRIME}) + size')}) % cast(greatest(1, ceil((select count(*) from d) / {STRETCH_ROWS}.0)) as bigint) as stretch from e where size > 0),
+a as (select *, cast(coalesce(sum(size) over (partition by source_no order by stretch, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start from st),
+p as (select row, size, source_no, start, unnest(range(start // {block_words}, (start + size - 1) // {block_words} + 1)) as block from a),
+x as (select row, sum((least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})) * times) as taken, min(a) as first_shard, max(z) as last_shard from p join b using (source_no, block) group by row)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken, cast(first_shard as bigint) as first_shard, cast(last_shard as bigint) as last_shard from e left join x using (row)"""

@@ -1,15 +1,19 @@
 """Size-tiered compaction of immutable shards under versioned manifests (operator 3), in DataFrame functions only.
 
-Arrivals are appended as small Parquet files that are never changed.  Compaction puts shards of
-similar size (the same tier) together into files of a target size and writes those as new shards.
-What a reader sees is decided by the newest manifest alone: a manifest is a table of shards, written
-aside and made visible by one rename to its version number, which fails if that version exists.
-A job that dies leaves files that no manifest names.
+Arrivals are appended as small Parquet files that are never changed.  Compaction reads the shards of a
+tier (of similar size) together and writes them as files of a target size: a merge is a scan, a
+coalesce and a write, and nothing is shuffled.  It is repeated until no tier has enough small shards.
+
+What a reader sees is decided by the newest version alone.  The shards of a version are a table; the
+version itself is one small file that names this table, written aside and put in its place by an
+operation that fails if another writer was there first: a hard link on a local file system, a rename
+without overwriting elsewhere (HDFS does it atomically; a store without an atomic rename needs a
+conditional put here).  A job that dies leaves files that no version names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,118 +25,152 @@ SMALLEST = 64 << 10
 #: Shards of one tier that make a merge worthwhile.
 LEAST_RUN = 4
 #: Arrivals of a table that is sharded as a whole.
-WAVES = 4
-MANIFEST = "version long, shard string, wave int, level int, bytes long, rows long"
+WAVES = 8
+#: folder and in_folder: where a shard was written, and how many were written there; level: how many merges made it.
+MANIFEST = "shard string, folder string, in_folder long, level int, bytes long, rows long"
 
 
 class ShardStore:
-    """A folder with data/ (shards) and manifest/<version>/ (tables of shards)."""
+    """A folder with data/ (a folder of shards for each write), tables/ (of shards) and versions/ (a file for each)."""
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES):
-        self.spark, self.path, self.target = spark, path, target_bytes
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.target = spark, target_bytes
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(path).getFileSystem(self._conf)
+        self.path = self._fs.makeQualified(self._path(path)).toString()
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        if not self._fs.exists(self._path(f"{self.path}/manifest")):
+        if not self._fs.exists(self._path(f"{self.path}/versions")):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/versions"))]
         return max([int(n) for n in names if n.isdigit()], default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
+        """The shards of a version."""
         v = self.version() if version is None else version
         if v == 0:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{v:08d}")
+        table = self.spark.read.text(f"{self.path}/versions/{v:08d}").first()[0]
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/tables/{table}")
 
     def commit(self, shards: DataFrame, based_on: int) -> int:
         """Make `shards` the next version, or fail if another writer has committed since `based_on`."""
-        version = based_on + 1
-        aside = f"{self.path}/manifest/_aside-{version:08d}-{common.uuid.uuid4().hex[:8]}"
-        shards.select(F.lit(version).cast("long").alias("version"), "shard", "wave", "level", "bytes", "rows").write.parquet(aside)
-        final = self._path(f"{self.path}/manifest/{version:08d}")
-        if self._fs.exists(final) or not self._fs.rename(self._path(aside), final):
-            common.delete(self.spark, aside)
-            raise RuntimeError(f"version {version} is committed already; read it and try again")
+        version, name = based_on + 1, common.uuid.uuid4().hex
+        shards.select(*(c.split()[0] for c in MANIFEST.split(", "))).coalesce(1).write.parquet(f"{self.path}/tables/{name}")
+        aside, final = self._path(f"{self.path}/versions/_{name}"), self._path(f"{self.path}/versions/{version:08d}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        try:
+            if self._fs.getScheme() == "file":
+                nio = self._jvm.java.nio.file
+                at = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                nio.Files.createLink(at(final), at(aside))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, final, options)
+        except Exception as e:
+            if not self._fs.exists(final):
+                raise
+            common.delete(self.spark, f"{self.path}/tables/{name}")
+            raise RuntimeError(f"version {version} is committed already; read it and try again") from e
+        finally:
+            self._fs.delete(aside, False)
         return version
 
-    def _written(self, folder: str, level: int) -> DataFrame:
-        """The shards below a data folder, from the files' own metadata; only footers are read."""
-        files = self.spark.read.parquet(folder)
-        wave = F.col("_wave").cast("int") if "_wave" in files.columns else F.lit(None).cast("int")
-        return files.select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"), wave.alias("wave")).groupBy("shard").agg(F.first("wave").alias("wave"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).withColumn("level", F.lit(level))
+    def _write(self, rows: DataFrame, kind: str, level: int) -> DataFrame:
+        """Write rows as shards: their rows of a manifest, from the files' own metadata; only footers are read."""
+        name = f"{kind}-{common.uuid.uuid4().hex[:12]}"
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+        files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}")
+        shards = files.select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).groupBy("shard").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        return shards.select("shard", F.lit(name).alias("folder"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(name))).alias("in_folder"), F.lit(level).alias("level"), "bytes", "rows")
 
-    def append(self, rows: DataFrame, wave: Column | None = None) -> int:
-        """Write rows as new small shards and commit them; rows of different waves go to different shards."""
+    def append(self, rows: DataFrame) -> int:
+        """Write rows as new small shards and commit them."""
         based_on = self.version()
-        folder = f"{self.path}/data/arrived-{based_on + 1:08d}-{common.uuid.uuid4().hex[:8]}"
-        rows.withColumn("_wave", F.lit(0) if wave is None else wave).write.partitionBy("_wave").option("compression", "zstd").parquet(folder)
-        if not [s for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]:
-            return self.commit(self.manifest(based_on), based_on)  # no rows
-        return self.commit(self.manifest(based_on).drop("version").unionByName(self._written(folder, 0)), based_on)
+        return self.commit(self.manifest(based_on).unionByName(self._write(rows, "arrived", 0)), based_on)
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """shards with the merge each takes part in (merge, null: none), over manifest rows only.
-
-        Within a tier shards stand by size; a merge takes shards until their sizes reach the target."""
-        tier = F.floor(F.log(F.greatest(F.col("bytes") / SMALLEST, F.lit(1.0))) / F.log(F.lit(float(TIER_FACTOR))))
-        order = Window.partitionBy("tier").orderBy("bytes", "shard")
-        t = shards.withColumn("tier", tier.cast("int")).withColumn("before", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
-        t = t.withColumn("slot", F.floor(F.col("before") / self.target))
-        run = Window.partitionBy("tier", "slot")
-        worth = (F.col("bytes") < self.target / 2) & (F.count(F.lit(1)).over(run) >= LEAST_RUN)
-        return t.withColumn("merge", F.when(worth, F.concat_ws("-", "tier", "slot")))
+        """shards with `merge`: the tier in which each is merged (null: it stays), over manifest rows only."""
+        tier = F.floor(F.log(F.greatest(F.col("bytes") / SMALLEST, F.lit(1.0))) / F.log(F.lit(float(TIER_FACTOR)))).cast("int")
+        small = F.when(F.col("bytes") < self.target / 2, tier)
+        t = shards.withColumn("small", small).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("small")))
+        return t.withColumn("merge", F.when(F.col("n") >= LEAST_RUN, F.col("small"))).drop("small", "n")
 
     def compact(self) -> int:
-        """Merge what plan() says and commit; the same version if nothing is worth it.  Old shards stay for readers of old manifests (vacuum() deletes them)."""
+        """One merge of each tier that has LEAST_RUN small shards; the same version if none has.  Old shards stay for readers of old versions (vacuum() deletes them)."""
         based_on = self.version()
         now = common.write_table(self.plan(self.manifest(based_on)), "shard-plan")
-        merges = now.where("merge is not null").select("shard", "merge")
-        n = merges.select("merge").distinct().count()
-        if n == 0:
+        tiers = now.where("merge is not null").groupBy("merge").agg(F.sum("bytes").alias("bytes"), F.max("level").alias("level")).orderBy("merge").collect()  # a row per tier
+        if not tiers:
             return based_on
-        numbered = merges.join(merges.select("merge").distinct().withColumn("file", F.row_number().over(Window.orderBy("merge")) - 1), "merge").select("shard", F.col("file").cast("int"))
-        folder = f"{self.path}/data/merged-{based_on + 1:08d}-{common.uuid.uuid4().hex[:8]}"
-        old = self.read(based_on, with_shard=True)
-        # a row for each shard that merges: AQE broadcasts it only where it is small
-        merged = old.join(numbered.withColumnRenamed("shard", "_shard"), "_shard").drop("_shard")
-        merged.repartitionById(n, F.col("file")).drop("file").write.option("compression", "zstd").parquet(folder)
-        kept = now.where("merge is null").select("shard", "wave", "level", "bytes", "rows")
-        level = (now.where("merge is not null").agg(F.max("level")).first()[0] or 0) + 1
-        return self.commit(kept.unionByName(self._written(folder, level)), based_on)
-
-    def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
-        """The rows of a version."""
-        names = [r["shard"] for r in self.manifest(version).select("shard").collect()]  # file names, as any scan lists them
-        if not names:
+        kept = now.where("merge is null").drop("merge")
+        for t in tiers:
+            rows = self._scan(now.where(F.col("merge") == t["merge"]))
+            kept = kept.unionByName(self._write(rows.coalesce(max(1, -(-t["bytes"] // self.target))), "merged", t["level"] + 1))
+        return self.commit(kept, based_on)
+
+    def compact_all(self) -> int:
+        """Compact until no tier is worth it."""
+        version = self.version()
+        while (now := self.compact()) != version:
+            version = now
+        return version
+
+    def _scan(self, shards: DataFrame, named: bool = False) -> DataFrame:
+        """The rows of the shards (with named, as columns row and shard).  The driver sees folders, one for each write, not files.
+
+        A folder of which some shards are merged by now is read whole, and the others' rows are dropped."""
+        folders = shards.groupBy("folder").agg((F.count(F.lit(1)) == F.first("in_folder")).alias("whole")).collect()
+        if not folders:
             raise ValueError("the store has no shards")
-        rows = self.spark.read.parquet(*names)
-        rows = rows.withColumn("_shard", F.col("_metadata.file_path")) if with_shard else rows
-        return rows.drop("_wave")
+        read = lambda whole: [f"{self.path}/data/{f['folder']}" for f in folders if f["whole"] == whole]
+        schema = self.spark.read.parquet(f"{self.path}/data/{folders[0]['folder']}").schema
+        parts = []
+        for whole in (True, False):
+            if read(whole):
+                rows = self.spark.read.schema(schema).parquet(*read(whole))
+                rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col("_metadata.file_path").alias("shard"))
+                parts.append(rows if whole else rows.join(shards.select("shard"), "shard", "left_semi").select("row", "shard"))
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return both if named else both.select("row.*")
+
+    def read(self, version: int | None = None, named: bool = False) -> DataFrame:
+        """The rows of a version; with named, as columns row (a struct) and shard."""
+        return self._scan(self.manifest(version), named)
 
     def vacuum(self, keep: int) -> None:
-        """Delete shards that only manifests before version `keep` name."""
+        """Delete the folders of shards that only versions before `keep` name."""
         live = self.manifest(keep)
         for v in range(keep + 1, self.version() + 1):
             live = live.unionByName(self.manifest(v))
-        for v in range(1, keep):
-            for r in self.manifest(v).join(live.select("shard").distinct(), "shard", "left_anti").select("shard").collect():
-                common.delete(self.spark, r["shard"])
+        names = {r["folder"] for r in live.select("folder").distinct().collect()}  # a row for each write
+        for s in self._fs.listStatus(self._path(f"{self.path}/data")):
+            if s.getPath().getName() not in names:
+                self._fs.delete(s.getPath(), True)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended in waves, compacted, and read through the newest manifest: doc_id, source, n_chars,
-    text_sha256, shard_bytes, shard_rows, level, version.
+    """All documents appended in waves, a version each, compacted after each wave until nothing is worth merging, and read through
+    the newest version: doc_id, source, n_chars, text_sha256, shard_bytes, shard_rows, level, version.
 
     Null texts give a null digest; repeated rows stay repeated; an empty table gives no rows."""
     docs = common.documents(spark, sf_dir)
     store = ShardStore(spark, common.scratch_path(spark, "shards"))
-    store.append(docs, F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(WAVES)).cast("int"))
-    if not store.manifest().take(1):
-        return docs.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.lit(None).cast("long").alias("shard_bytes"), F.lit(None).cast("long").alias("shard_rows"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("version")).limit(0)
-    version = store.compact()
-    rows = store.read(version, with_shard=True).select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "_shard")
-    named = store.manifest(version).select(F.col("shard").alias("_shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "level", "version")
-    return rows.join(named, "_shard").drop("_shard")
+    return sharded(docs, store)
+
+
+def sharded(docs: DataFrame, store: ShardStore, waves: int = WAVES) -> DataFrame:
+    wave = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(waves))
+    for w in range(waves):
+        store.append(docs.where(wave == w))
+        version = store.compact_all()
+    none = docs.limit(0).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lit(None).cast("string").alias("shard"))
+    rows = (none if store.manifest(version).isEmpty() else store.read(version, named=True)).select("row.doc_id", "row.source", "row.n_chars", F.sha2("row.text", 256).alias("text_sha256"), "shard")
+    named = store.manifest(version).select("shard", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "level")
+    return rows.join(named, "shard").drop("shard").withColumn("version", F.lit(version).cast("long"))
