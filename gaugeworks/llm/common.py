@@ -96,18 +96,20 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd", partition_by: str
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, *then: str, buckets: int) -> DataFrame:
-    """df as a table bucketed by a column of which each task has whole values only: nothing is shuffled, and later joins by it move no row of df."""
+def bucketed(df: DataFrame, by: str, *then: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """df as a table bucketed by a column of which each task has whole values only: nothing is shuffled, and later joins by it
+    move no row of df.  The second is a plain scan of the same files."""
     spark = df.sparkSession
     path = scratch_path(spark, "buckets")
     name = "gaugeworks_" + path.rsplit("-", 1)[1]
     df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by, *then).saveAsTable(name)
     _tables.append((spark, name))
-    return spark.table(name)
+    return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """part, row, doc_id (long), doc (all columns of docs, of any names): bucketed by part, so that decisions join by (part, row) where the texts lie."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """part, row, doc_id (long), doc (all columns of docs, of any names), twice: bucketed by part, so that decisions join by
+    (part, row) where the texts lie; and as a plain scan, whose splits are even, for passes without a join."""
     spark = docs.sparkSession
     at = F.monotonically_increasing_id()
     rows = docs.select(F.shiftright(at, 33).cast("int").alias("part"), at.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))

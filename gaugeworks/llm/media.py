@@ -25,13 +25,16 @@ UNIT = 576
 RATE = 8000
 FRAME = 576
 HOP = 288
+#: Frames and hops of files that have REACH frames or fewer.  Their transforms are filled up to FRAME, so bins mean the same; half a
+#: frame of the padding stands before them, and a peak is paired within its own frame too, so that a few bytes have a pair.
+SHORT_FRAME, SHORT_HOP = 192, 48
 #: Bins of the two bands, and how many later frames a low peak is paired with.
 LOW, HIGH, REACH = (4, 96), (96, 288), 3
 #: Samples transformed at a time.
 SLAB = 1 << 21
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("feature", pa.string())])
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = {n: np.hanning(n).astype(np.float32) for n in (FRAME, SHORT_FRAME)}
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -53,14 +56,22 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % UNIT or (UNIT if not text else 0))
 
 
+def is_short(samples: np.ndarray) -> bool:
+    return len(samples) < FRAME + REACH * HOP
+
+
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strongest bin of each frame in either band; -1 where a band is silent."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
+    size, hop = FRAME, HOP
+    if is_short(samples):
+        size, hop = SHORT_FRAME, SHORT_HOP
+        samples = np.concatenate([np.full(size // 2, 255, np.uint8), samples])
+    frames = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
     found = [[], []]
     for at in range(0, len(frames), SLAB // FRAME):
         x = frames[at : at + SLAB // FRAME].astype(np.float32)
         x -= x.mean(axis=1, keepdims=True)
-        power = np.abs(np.fft.rfft(x * _WINDOW, axis=1))
+        power = np.abs(np.fft.rfft(x * _WINDOW[size], FRAME, axis=1))
         for band, (a, b) in zip(found, (LOW, HIGH), strict=True):
             top = power[:, a:b].argmax(axis=1)
             loud = np.take_along_axis(power[:, a:b], top[:, None], axis=1)[:, 0] > 1.0
@@ -68,10 +79,10 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
-def pairs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def pairs(low: np.ndarray, high: np.ndarray, nearest: int = 1) -> np.ndarray:
     """Time-coded pairs in the order of their frames: frame << 20 | low bin << 11 | high bin << 2 | distance."""
     t = np.arange(len(low), dtype=np.int64)
-    out = [(t[: len(t) - d] << 20 | low[: len(t) - d] << 11 | high[d:] << 2 | d)[(low[: len(t) - d] >= 0) & (high[d:] >= 0)] for d in range(1, REACH + 1) if len(t) > d]
+    out = [(t[: len(t) - d] << 20 | low[: len(t) - d] << 11 | high[d:] << 2 | d)[(low[: len(t) - d] >= 0) & (high[d:] >= 0)] for d in range(nearest, REACH + 1) if len(t) > d]
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -86,7 +97,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             payload = from_wav(media)
-            code = pairs(*peaks(np.frombuffer(payload, np.uint8)))
+            samples = np.frombuffer(payload, np.uint8)
+            code = pairs(*peaks(samples), 0 if is_short(samples) else 1)
             digest = hashlib.sha256(code.astype("<i8").tobytes()).hexdigest()
             rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), code, f"{len(code)}:{digest}"))
         if rows:
@@ -102,7 +114,7 @@ def store(docs: DataFrame) -> DataFrame:
 def fingerprint(media: DataFrame) -> DataFrame:
     """One row per stored file, read back: sizes, digests, pairs (array of time-coded numbers) and their digest.
 
-    Equal files give equal features; a file of a single frame, or a silent one, has no pairs.  Repeated
+    Equal files give equal features; short files are cut into shorter frames, and a silent one has no pairs.  Repeated
     rows and null doc_ids give a row each; an empty table gives none."""
     return media.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<long>, feature string")
 

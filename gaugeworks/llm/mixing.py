@@ -195,8 +195,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents, in docs' columns: the first copy of a document holds the words taken at least once, the
     second those taken twice.  A copy of all words keeps the text as it is; other copies have single spaces."""
-    rows = common.numbered(docs)
-    _, sources, parts = drawn(sized(rows, "doc.text", "doc.source"), block_words)
+    rows, scan = common.numbered(docs)
+    _, sources, parts = drawn(sized(scan, "doc.text", "doc.source"), block_words)
     # of one document: a range for each of its own blocks
     ranges = _taken(sources, parts).groupBy("row").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("begin", "end", "times"))).alias("ranges"))
     copies = ranges.select("row", "size", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))

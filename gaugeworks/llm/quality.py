@@ -66,17 +66,20 @@ def features(text: bytes) -> tuple[int, int, int, int, int, int]:
     return n, chars, symbols, dup_lines, repeated, loud
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [features(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([*batch.columns[1:], *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6))], names=[*batch.schema.names[1:], *FEATURES])
+def _features(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6))], names=[*keep, *FEATURES])
+
+    return run
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs' columns `keep` and the features of its texts; a null text has no words."""
     common.ship(docs.sparkSession)
     schema = T.StructType([*docs.select(*keep).schema, *(T.StructField(f, T.LongType()) for f in FEATURES)])
-    return docs.select("text", *keep).mapInArrow(_features, schema)
+    return docs.select(*dict.fromkeys(["text", *keep])).mapInArrow(_features(keep), schema)
 
 
 def score(name: str) -> Column:
@@ -114,10 +117,12 @@ def certify(counts: list[tuple[str, str, int, list[int], list[int]]], rules: Rul
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, rules: Rules) -> dict[tuple[str, str], int]:
-    """From all labelled documents that pass the base rules.  The result has a row for each stratum
+    """From all different texts of labelled documents that pass the base rules.  The result has a row for each stratum
     (language) and rule; what the driver gets is that many counts, whatever the corpus."""
     graded = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("good"))
-    held = measured.where(~failed(rules)).join(graded, F.col("doc_id") == F.col("labelled"))
+    # copies are no trials of their own: a text counts once in a stratum, as good if any label of it says so
+    every = measured.where(~failed(rules)).join(graded, F.col("doc_id") == F.col("labelled"))
+    held = every.groupBy("stratum", "key").agg(F.max("good").alias("good"), *(F.first(c).alias(c) for c in FEATURES))
 
     def steps(s: str, good: int) -> Column:
         return F.array(*(F.count_if((F.col("good") == good) & (score(s) > cut)) for cut in rules.ladder))
@@ -134,6 +139,12 @@ def verdict(found: dict[tuple[str, str], int]) -> Column:
     return bad
 
 
+def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
+    """text, doc_id, stratum (a null language is none of the names), key of the text."""
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("key"), *more)
+
+
 def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per row of docs: doc_id, the features, base_failed, kept.
 
@@ -141,8 +152,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFra
     base rules.  Repeated rows are judged alike; a repeated label counts once; null labels and null
     doc_ids of labels count for nothing.  Without enough labels in a stratum no cut-off of it can be
     certified and only the base rules reject.  Only doc_id, text and lang are read."""
-    narrow = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"))
-    measured = common.write_table(measure(narrow, ["doc_id", "stratum"]), "quality")
+    measured = common.write_table(measure(_narrow(docs), ["doc_id", "stratum", "key"]), "quality")
     found = thresholds(measured, labels, rules)
     base = F.coalesce(failed(rules), F.lit(True))
     return measured.select("doc_id", *FEATURES, base.alias("base_failed"), (~base & ~verdict(found)).alias("kept"))
@@ -150,11 +160,10 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFra
 
 def accepted(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps; columns may have any names."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    narrow = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), row.alias("row"))
-    measured = common.write_table(measure(narrow, ["doc_id", "stratum", "row"]), "quality")
-    found = thresholds(measured.drop("row"), labels, rules)
-    return measured.where(~F.coalesce(failed(rules), F.lit(True)) & ~verdict(found)).select("row.*")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    measured = common.write_table(measure(_narrow(docs, rest), ["doc_id", "stratum", "key", "row", "text"]), "quality")
+    found = thresholds(measured.drop("row", "text"), labels, rules)
+    return measured.where(~F.coalesce(failed(rules), F.lit(True)) & ~verdict(found)).select(*(F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,11 +172,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql(rules: Rules = Rules()) -> str:
     """The same in SQL: features, exact binomial walks, verdict."""
-    scores = " union all ".join(f"select doc_id, stratum, failed, n_words, '{s}' as rule, case when n_words > 0 then cast(ceil(100 * {s} / n_words) as bigint) else 0 end as score from f" for s in SCORES)
+    scores = " union all ".join(f"select doc_id, stratum, text, failed, n_words, '{s}' as rule, case when n_words > 0 then cast(ceil(100 * {s} / n_words) as bigint) else 0 end as score from f" for s in SCORES)
     ladder = ", ".join(f"({i}, {c})" for i, c in enumerate(rules.ladder))
     return f"""
 with w as (
-  select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text,
+  select doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
   from documents),
 p as (select doc_id, words, unnest(range(1, len(words) + 1)) as i from w),
@@ -175,7 +184,7 @@ g as (select doc_id, i, [words[i], words[i + 1], words[i + 2]] as g from p where
 c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
 r as (select doc_id, count(distinct i + k) as n_repeat_words from c, range(0, 3) t(k) where n > 1 group by doc_id),
 f as (
-  select w.doc_id, stratum, cast(len(words) as bigint) as n_words,
+  select w.doc_id, stratum, text, cast(len(words) as bigint) as n_words,
          cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
          cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
          cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
@@ -190,7 +199,7 @@ steps(step, cut) as (values {ladder}),
 k as (
   select stratum, rule, step, cut, count(*) filter (good = 1) as n,
          count(*) filter (good = 1 and score > cut) as k, count(*) filter (good = 0 and score > cut) as caught
-  from s join l using (doc_id), steps where not failed group by stratum, rule, step, cut),
+  from (select stratum, rule, text, max(good) as good, any_value(score) as score from s join l using (doc_id) where not failed group by all), steps group by stratum, rule, step, cut),
 t as (
   select *, n > 0 and k < n and (
     select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rules.risk / len(SCORES)}) + (n - i) * ln(1 - {rules.risk / len(SCORES)})))

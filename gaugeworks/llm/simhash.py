@@ -213,8 +213,8 @@ def _named(own: DataFrame, more: str, shingle: int) -> DataFrame:
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs for each component, of its smallest doc_id; rows without a doc_id stay."""
     common.ship(docs.sparkSession)
-    rows = common.numbered(docs)
-    own = rows.where("doc_id is not null").select("doc_id", F.col("doc.text").alias("text"), "part", "row")
+    rows, scan = common.numbered(docs)
+    own = scan.where("doc_id is not null").select("doc_id", F.col("doc.text").alias("text"), "part", "row")
     found = _named(own, ", part int, row long", shingle)
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "part", "row")).alias("it")).select("it.part", "it.row")
     return common.chosen(rows, first, docs.columns)

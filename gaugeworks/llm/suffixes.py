@@ -20,6 +20,15 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 Copies inside a unit are combined before anything is shuffled, so what a group of copies sends grows
 with the units it is in, not with its documents.  All comparisons of windows are of their bytes; their
 hashes only choose candidates.  Whole texts are compared by SHA-256.
+
+Where this departs from a textbook deep-shallow sort of all suffixes, and why the removed bytes are the
+same.  Only LENGTH-byte prefixes are ordered, as nothing longer decides; only suffixes whose anchor two
+documents have, as no other has a copy elsewhere.  Equal stretches inside a unit are found by a table
+of their bytes, not by the sort: the first has the smallest doc_id of the unit, so later ones of another
+doc_id are hits whatever other units hold, and the sort decides about the first.  In the shallow phase
+the rows that still agree are ordered by their next 8-byte character by numpy's sort instead of a
+partition about a pivot; groups of equal characters are the quicksort's middle parts, and go on one
+character deeper.
 """
 
 from __future__ import annotations
@@ -44,6 +53,9 @@ UNIT_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 #: Text whose anchors, or whose windows, one task of the sorting rounds takes; at most a fifth of the windows are usual.
 ROUND_BYTES = 8 << 20
+#: Hash ranges of grams, at most: what a unit sends is so many rows at most, whatever the corpus.  Over RANGES times ROUND_BYTES
+#: (128 GB) of text ranges grow instead, by 20 bytes for each byte of it; raise RANGES and unit_bytes from some 10 TB on.
+RANGES = 1 << 14
 #: Windows for which hashes are computed, or suffixes sorted, at a time.
 SLAB = 1 << 19
 #: Windows of one anchor gram, of all units together, over which its windows are sent one by one.
@@ -184,13 +196,12 @@ def _keys(grams: np.ndarray, n: int) -> np.ndarray:
     return (_bucket(grams, n).astype(np.uint64) << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF))
 
 
-def _packed(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, rows) of what goes to each bucket."""
+def _packed(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) of what goes to each bucket that gets anything."""
     order = np.argsort(buckets, kind="stable")
-    cut = np.searchsorted(buckets[order], np.arange(n + 1))
-    for k in range(n):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k] : cut[k + 1]]
+    names, cut = np.unique(buckets[order], return_index=True)
+    for k, rows in zip(names.tolist(), np.split(order, cut[1:]) if len(order) else [], strict=True):
+        yield k, rows
 
 
 def _sent_grams(n: int):
@@ -201,7 +212,7 @@ def _sent_grams(n: int):
                 gram, _, windows = anchors(raw, ends, live)
                 keys, which = np.unique(_keys(gram, n), return_inverse=True)
                 count = np.bincount(which, windows, len(keys)).astype(np.uint32)
-                parts = list(_packed((keys >> np.uint64(32)).astype(np.int64), n))
+                parts = list(_packed((keys >> np.uint64(32)).astype(np.int64)))
                 if parts:
                     yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), pa.array([batch.column("unit")[row].as_py()] * len(parts), pa.int64()), pa.array([keys[i].astype("<u4").tobytes() for _, i in parts], pa.binary()), pa.array([count[i].astype("<u4").tobytes() for _, i in parts], pa.binary())], names=["bucket", "unit", "grams", "counts"])
 
@@ -272,7 +283,7 @@ def _sent_stretches(n_buckets: int):
                 raw, ends, ids, live = _opened(batch, row)
                 *_, gram, owner, n, texts = _stretches(raw, ends, ids, live, batch.column("shared")[row].as_py() or [], n_buckets)
                 unit = batch.column("unit")[row].as_py()
-                for k, i in _packed(_bucket(gram, n_buckets), n_buckets):
+                for k, i in _packed(_bucket(gram, n_buckets)):
                     text = pa.compress(b"".join([texts[j] for j in i.tolist()]), "zstd", asbytes=True)  # short stretches: only entropy coding makes them smaller
                     yield pa.record_batch([[unit], [k], [i.astype("<u4").tobytes()], [owner[i].tobytes()], [(gram[i] >> np.uint64(16)).astype("<u2").tobytes()], [n[i].astype("<u2").tobytes()], [text]], schema=SENT)
 
@@ -448,8 +459,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     total = common.text_bytes(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    rounds = max(1, -(-total // ROUND_BYTES))
-    units = common.bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), "unit", buckets=buckets)
+    rounds = min(RANGES, max(1, -(-total // ROUND_BYTES)))
+    units, _ = common.bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), "unit", buckets=buckets)
 
     narrow = units.drop("rest")
     texts = common.write_table(narrow.mapInArrow(_digests, "unit long, places array<int>, doc_ids array<long>, digest binary"), "digests")

@@ -5,9 +5,11 @@ rank takes one to four bytes; the lengths of four ranks stand in one control byt
 bytes and data bytes are separate streams.  Reading is a table lookup in numpy: control byte ->
 four lengths, rank -> id.
 
-A file is a sequence of blocks of whole documents in ascending doc_id order, kept as rows (file_no,
-block_no, doc ids, counts, control, data) of a Parquet table, so Spark's committer makes the write
-all or nothing and any executor can read any block.  Every document is padded with rank 0 to a
+A file is a range of the documents in ascending doc_id order, a sequence of blocks of whole documents,
+kept as rows (file_no, block_no, doc ids, counts, control, data) of a Parquet table, so Spark's
+committer makes the write all or nothing and any executor can read any block.  Spark's range
+partitioning deals the files: documents of one doc_id, or of none, are told apart by their counts,
+contents and rows, so any number of them still spreads over files.  Every document is padded with rank 0 to a
 multiple of four ids, so that the streams of documents can be joined as they are.
 """
 
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokenizer
 
 BLOCK_IDS = 1 << 16
-FILE_IDS = 4 << 20
+FILE_IDS = 16 << 20
 #: Ids below this: what two bytes can name.  Bounds the frequency table that the driver holds.
 ID_LIMIT = 1 << 16
 
@@ -82,46 +85,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
 
-def _coded(rank_of: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            controls, datas = [], []
-            for ids in batch.column("ids").to_pylist():
-                ranks = rank_of[np.frombuffer(ids, "<u2")]
-                control, data = encode(np.concatenate([ranks, np.zeros(-len(ranks) % 4, ranks.dtype)]))
-                controls.append(control)
-                datas.append(data)
-            yield pa.record_batch([batch.column("file_no"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], names=["file_no", "doc_id", "n_tokens", "control", "data"])
-
-    return run
-
-
 BLOCKS = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
 
-def _blocks(block_ids: int):
+def _blocks(rank_of: np.ndarray, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, no, docs, counts, controls, datas, held = None, 0, [], [], [], [], 0
+        file_no, no, docs, counts, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            return pa.record_batch([[now], [no], [held], [docs], [counts], [b"".join(controls)], [b"".join(datas)]], schema=BLOCKS)
+        def coded() -> pa.RecordBatch:
+            n = np.array(counts, np.int64)
+            padded = n + -n % 4
+            numbers = np.zeros(int(padded.sum()), np.uint32)
+            at = np.repeat(np.cumsum(padded) - padded - (np.cumsum(n) - n), n) + np.arange(held)
+            numbers[at] = rank_of[np.frombuffer(b"".join(ids), "<u2")]
+            control, data = encode(numbers)
+            return pa.record_batch([[file_no], [no], [held], [docs], [counts], [control], [data]], schema=BLOCKS)
 
         for batch in batches:
-            for f, doc, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if docs and (f != now or held >= block_ids):
-                    yield flush()
-                    no = no + 1 if f == now else 0
-                    docs, counts, controls, datas, held = [], [], [], [], 0
-                elif f != now:
-                    no = 0
-                now = f
+            for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(doc)
                 counts.append(n)
-                controls.append(control)
-                datas.append(data)
+                ids.append(raw)
                 held += n
+                if held >= block_ids:
+                    yield coded()
+                    no, docs, counts, ids, held = no + 1, [], [], [], 0
         if docs:
-            yield flush()
+            yield coded()
 
     return run
 
@@ -134,59 +124,50 @@ def write(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = BLOCK_ID
     id alone.  Only doc_id and text are read.  An empty table gives no blocks."""
     spark = docs.sparkSession
     common.ship(spark)
-    tokens = common.write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokens(path, end_id), "doc_id long, n_tokens long, ids binary"), "tokens")
+    tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokens(path, end_id), "doc_id long, n_tokens long, ids binary")
+    tokens = common.write_table(tokens.withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "tokens")
     counted = tokens.select("ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # ID_LIMIT rows at most
     id_of = np.array([r["id"] for r in sorted(counted, key=lambda r: (-r["n"], r["id"]))], "<u4")
     rank_of = np.zeros(ID_LIMIT, "<u4")
     rank_of[id_of] = np.arange(len(id_of))
 
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    files = max(1, -(-total // file_ids))
-    cuts = tokens.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else []
-    file_no = F.when(F.col("doc_id").isNull(), 0).otherwise(_before(sorted(set(cuts or []))))
-    filed = tokens.withColumn("file_no", file_no.cast("int")).select("file_no", "doc_id", "n_tokens", "ids")
-    coded = filed.mapInArrow(_coded(rank_of), "file_no int, doc_id long, n_tokens long, control binary, data binary")
-    ordered = coded.repartitionById(files, F.col("file_no")).sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "n_tokens", "control", "data")
-    blocks = ordered.mapInArrow(_blocks(block_ids), "file_no int, block_no long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary")
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "hash", "row"]
+    filed = tokens.repartitionByRange(max(1, -(-total // file_ids)), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    blocks = filed.mapInArrow(_blocks(rank_of, block_ids), "file_no int, block_no long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary")
     return common.write_table(blocks, "id-files"), id_of
 
 
-def _before(cuts: list[int]):
-    """How many cuts are below doc_id: a binary search as nested conditions."""
-    def within(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], within(mid + 1, hi)).otherwise(within(lo, mid))
+def _opened(batch: pa.RecordBatch, id_of: np.ndarray) -> Iterator[tuple[int, int, list, np.ndarray, list[memoryview]]]:
+    """(file_no, block_no, doc ids, counts, each document's ids as bytes) of each block."""
+    for f, no, docs, counts, control, data in zip(*(batch.column(c).to_pylist() for c in ("file_no", "block_no", "doc_ids", "counts", "control", "data")), strict=True):
+        raw = memoryview(id_of[decode(control, data)]).cast("B")
+        n = np.array(counts, np.int64)
+        at = np.cumsum(n + -n % 4) - (n + -n % 4)
+        yield f, no, docs, n, [raw[4 * a : 4 * (a + m)] for a, m in zip(at.tolist(), counts, strict=True)]
 
-    return within(0, len(cuts))
 
-
-def _decoded(id_of: np.ndarray):
-    schema = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("doc_id", pa.int64()), ("in_block", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+def _read(id_of: np.ndarray, last: pa.Field, of):
+    """Blocks to rows of documents, with what `of` makes of a document's ids as the last column."""
+    schema = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("doc_id", pa.int64()), ("in_block", pa.int64()), ("n_tokens", pa.int64()), last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, no, docs, counts, control, data in zip(*(batch.column(c).to_pylist() for c in ("file_no", "block_no", "doc_ids", "counts", "control", "data")), strict=True):
-                raw = memoryview(id_of[decode(control, data)].tobytes())
-                n = np.array(counts, np.int64)
-                at = np.cumsum(n + -n % 4) - (n + -n % 4)
-                rows = [bytes(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), counts, strict=True)]
+            for f, no, docs, n, ids in _opened(batch, id_of):
                 k = len(docs)
-                yield pa.record_batch([pa.array([f] * k, pa.int32()), pa.array([no] * k, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(rows, pa.binary())], schema=schema)
+                yield pa.record_batch([pa.array([f] * k, pa.int32()), pa.array([no] * k, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([of(x) for x in ids], last.type)], schema=schema)
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-        yield pa.record_batch([*(batch.column(c) for c in ("file_no", "block_no", "doc_id", "in_block", "n_tokens")), crc], names=["file_no", "block_no", "doc_id", "in_block", "n_tokens", "ids_crc32"])
-
-
 def read(blocks: DataFrame, id_of: np.ndarray) -> DataFrame:
     """doc_id, file_no, block_no, in_block (ids before it in its block), n_tokens, ids (little-endian unsigned 32-bit)."""
-    return blocks.mapInArrow(_decoded(id_of), "file_no int, block_no long, doc_id long, in_block long, n_tokens long, ids binary")
+    return blocks.mapInArrow(_read(id_of, pa.field("ids", pa.binary()), bytes), "file_no int, block_no long, doc_id long, in_block long, n_tokens long, ids binary")
+
+
+def digests(blocks: DataFrame, id_of: np.ndarray) -> DataFrame:
+    """The same with the crc32 of the ids in their place."""
+    return blocks.mapInArrow(_read(id_of, pa.field("ids_crc32", pa.int64()), zlib.crc32), "file_no int, block_no long, doc_id long, in_block long, n_tokens long, ids_crc32 long")
 
 
 def starts(blocks: DataFrame) -> DataFrame:
@@ -201,5 +182,4 @@ def starts(blocks: DataFrame) -> DataFrame:
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by word_bpe_49k and end id 1: doc_id, start, n_tokens, ids_crc32, read from the files."""
     blocks, id_of = write(common.documents(spark, sf_dir), tokenizer.vocabulary())
-    rows = read(blocks, id_of).mapInArrow(_digest, "file_no int, block_no long, doc_id long, in_block long, n_tokens long, ids_crc32 long")
-    return rows.join(starts(blocks), ["file_no", "block_no"]).select("doc_id", (F.col("before") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+    return digests(blocks, id_of).join(starts(blocks), ["file_no", "block_no"]).select("doc_id", (F.col("before") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")

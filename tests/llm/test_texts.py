@@ -80,6 +80,45 @@ def test_conversations(spark):
     assert chat.read_back(chat.format_conversations(df.where("conv_id = 9"))).count() == 0
 
 
+def test_short_texts_have_features(spark):
+    """Against a plain discrete Fourier transform, frame by frame; different short texts differ."""
+    rnd = random.Random(9)
+    texts = ["x", "xy", *(words(rnd, n) for n in (3, 20, 40, 60, 90, 130, 200, 400))]
+    got = media.fingerprint(media.store(frame(spark, [(i, t, "en", "s1", 0) for i, t in enumerate(texts)]))).collect()
+    assert len({r.feature for r in got}) == len(texts) and all(len(r.pairs) > (3 if r.doc_id > 2 else 0) for r in got)
+    for r in got:
+        x = np.frombuffer(media.padded(texts[r.doc_id].encode()), np.uint8).astype(np.float64)
+        size, hop = (576, 288) if len(x) >= 1440 else (192, 48)
+        x = x if size == 576 else np.concatenate([np.full(96, 255.0), x])
+        k, t = np.arange(289)[:, None], np.arange(size)[None, :]
+        turn = np.exp(-2j * np.pi * k * t / 576)
+        low, high = [], []
+        for at in range(0, len(x) - size + 1, hop):
+            y = (x[at : at + size] - x[at : at + size].mean()) * np.hanning(size)
+            power = np.abs(turn @ y)
+            low.append((power, 4 + int(power[4:96].argmax())))
+            high.append((power, 96 + int(power[96:288].argmax())))
+        for code in r.pairs:
+            t0, a, b, d = code >> 20, code >> 11 & 511, code >> 2 & 511, code & 3
+            assert (d > 0 or size == 192) and low[t0][0][a] >= 0.999 * low[t0][0][low[t0][1]] and high[t0 + d][0][b] >= 0.999 * high[t0 + d][0][high[t0 + d][1]]
+
+
+def test_copies_are_one_trial(spark):
+    rnd = random.Random(4)
+    good = [words(rnd, 60) for _ in range(5)]
+    rows = [(i, good[i % 5], "en", "s1", 0) for i in range(50)] + [(50, words(rnd, 60), None, "s1", 0), (51, words(rnd, 60), "", "s1", 0)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(52)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.certify
+    try:
+        quality.certify = lambda counts, rules: seen.extend(counts) or real(counts, rules)
+        quality.judge(frame(spark, rows), labels).collect()
+    finally:
+        quality.certify = real
+    n = {(s, rule): k for s, rule, k, *_ in seen}
+    assert n["=en", "n_symbols"] == sum(1 for t in good if quality.features(t.encode())[0] >= 50) and n["", "n_symbols"] == n["=", "n_symbols"] == 1
+
+
 def test_quality_features():
     rnd = random.Random(2)
     for _ in range(300):
