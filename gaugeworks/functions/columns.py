@@ -65,7 +65,9 @@ def offset_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[C
 
 
 def running_product(values: Column) -> Column:
-    return F.transform(values, lambda _, i: F.aggregate(F.slice(values, 1, i + 1), F.lit(1.0), lambda a, x: a * x))
+    """Products of the first, the first two, ... values: one pass that carries the last product along."""
+    grown = F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(x * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1.0)))))
+    return grown
 
 
 def normal_cdf(z: Column) -> Column:

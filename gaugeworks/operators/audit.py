@@ -58,11 +58,26 @@ def applied_order_violations(applied: DataFrame) -> DataFrame:
 
 
 def observer_violations(effects: DataFrame, reads: DataFrame) -> DataFrame:
-    """history_id, witness: an observer reads the effect and later, as the same client, an older version of its cause."""
-    seen = effects.join(reads.select("history_id", F.col("client").alias("observer"), F.col("key").alias("effect_key"), F.col("version").alias("seen_version"), F.col("idx").alias("seen_idx")), ["history_id", "effect_key"]).where("seen_version = effect_version and seen_idx > effect_idx")
-    late = reads.select("history_id", F.col("client").alias("observer"), F.col("key").alias("cause_key"), F.col("version").alias("late_version"), F.col("idx").alias("late_idx"))
-    bad = seen.join(late, ["history_id", "observer", "cause_key"]).where("late_idx > seen_idx and late_version < cause_version")
-    return bad.groupBy("history_id").agg(F.min(F.struct("seen_idx", "late_idx", "effect_idx", "cause_idx")).alias("m")).select("history_id", F.array("m.cause_idx", "m.effect_idx", "m.seen_idx", "m.late_idx").alias("witness"))
+    """history_id, witness: an observer reads the effect and later, as the same client, an older version of its cause.
+
+    Whether an older version comes later is a running minimum from the end of each observer's reads of a key;
+    only the first such observation of a history is joined with the reads again, for its witness."""
+    r = reads.select("history_id", F.col("client").alias("observer"), "key", "version", "idx")
+    seen = effects.join(r.select("history_id", "observer", F.col("key").alias("effect_key"), F.col("version").alias("effect_version"), F.col("idx").alias("seen_idx")), ["history_id", "effect_key", "effect_version"]).where("seen_idx > effect_idx")
+    asked = seen.select("history_id", "observer", F.col("cause_key").alias("key"), F.col("seen_idx").alias("idx"), "cause_version", "effect_idx", "cause_idx")
+    later = Window.partitionBy("history_id", "observer", "key").orderBy("idx").rangeBetween(1, Window.unboundedFollowing)
+    both = asked.unionByName(r, allowMissingColumns=True).withColumn("least", F.min("version").over(later))
+    bad = both.where("least < cause_version")
+    first = bad.withColumn("first", F.min("idx").over(Window.partitionBy("history_id"))).where("idx = first").withColumnRenamed("idx", "seen_idx").drop("version")
+    hit = first.join(r.select("history_id", "observer", "key", F.col("version").alias("late_version"), F.col("idx").alias("late_idx")), ["history_id", "observer", "key"]).where("late_idx > seen_idx and late_version < cause_version")
+    return hit.groupBy("history_id").agg(F.min(F.struct("seen_idx", "late_idx", "effect_idx", "cause_idx")).alias("m")).select("history_id", F.array("m.cause_idx", "m.effect_idx", "m.seen_idx", "m.late_idx").alias("witness"))
+
+
+def differing(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """history_id, status, recorded: where a recomputed result (history_id, status, witness) isn't the recorded one, or one of the two is missing."""
+    r = recorded.select("history_id", F.col("status").alias("recorded"), F.col("witness").alias("w"))
+    j = now.join(r, "history_id", "full")
+    return j.where(~F.col("status").eqNullSafe(F.col("recorded")) | ~F.col("witness").eqNullSafe(F.col("w"))).select("history_id", "status", "recorded")
 
 
 def verdict(history: DataFrame, violations: DataFrame) -> DataFrame:

@@ -4,15 +4,17 @@ Models are fitted by Spark on the cluster; the driver holds fitted models and si
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -20,6 +22,23 @@ from ..functions import columns as C
 SEED = 7
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Sizes of the fits; the defaults are those of full fits, tests and small inputs take smaller ones."""
+
+    rounds: int = 100
+    depth: int = 6
+    forest: int = 60
+    forest_depth: int = 12
+    least_leaf: int = 200
+    hidden: tuple[int, ...] = (64, 64)
+    net_rounds: int = 300
+    linear_rounds: int = 100
+
+
+SMALL = Settings(rounds=5, depth=3, forest=10, forest_depth=4, least_leaf=1, hidden=(8,), net_rounds=20, linear_rounds=20)
+
+
 def positive(probability: str = "probability") -> Column:
     return F.element_at(vector_to_array(probability), 2)
 
@@ -38,93 +57,167 @@ def _station_vector(numeric: Sequence[str], scaled: bool) -> list:
     return [*stages, VectorAssembler(inputCols=[last, "station_vec"], outputCol="features")]
 
 
-def logistic(train: DataFrame, numeric: Sequence[str]) -> PipelineModel:
-    return Pipeline(stages=[*_station_vector(numeric, False), LogisticRegression(labelCol="label", weightCol="weight", maxIter=20)]).fit(train)
+def logistic(train: DataFrame, numeric: Sequence[str], fit: Settings = Settings()) -> PipelineModel:
+    return Pipeline(stages=[*_station_vector(numeric, False), LogisticRegression(labelCol="label", weightCol="weight", maxIter=fit.linear_rounds)]).fit(train)
 
 
-def trees(train: DataFrame, numeric: Sequence[str], kind: str) -> PipelineModel:
-    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=5, maxDepth=3, seed=SEED) if kind == "gbt" else RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=10, maxDepth=4, seed=SEED)
+def trees(train: DataFrame, numeric: Sequence[str], kind: str, fit: Settings = Settings()) -> PipelineModel:
+    model = (
+        GBTClassifier(labelCol="label", weightCol="weight", maxIter=fit.rounds, maxDepth=fit.depth, seed=SEED)
+        if kind == "gbt"
+        else RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=fit.forest, maxDepth=fit.forest_depth, minInstancesPerNode=fit.least_leaf, seed=SEED)
+    )
     return Pipeline(stages=[VectorAssembler(inputCols=list(numeric), outputCol="features"), model]).fit(train)
 
 
-def perceptron(train: DataFrame, numeric: Sequence[str]) -> PipelineModel:
+def perceptron(train: DataFrame, numeric: Sequence[str], fit: Settings = Settings(), classes: int = 2) -> PipelineModel:
     """The input width is read from the assembled column, not assumed."""
     prepared = Pipeline(stages=_station_vector(numeric, True)).fit(train)
     rows = prepared.transform(train)
     width = rows.select("features").first()["features"].size
-    net = MultilayerPerceptronClassifier(labelCol="label", layers=[width, 8, 2], maxIter=20, seed=SEED).fit(rows)
+    net = MultilayerPerceptronClassifier(labelCol="label", layers=[width, *fit.hidden, classes], maxIter=fit.net_rounds, seed=SEED).fit(rows)
     return PipelineModel(stages=[*prepared.stages, net])
 
 
+# amounts: a point mass at zero and log-normal amounts, or amounts with their own error tables
+
+FLOOR = 0.05
+#: Probabilities of the error tables, and in how many classes of m they are kept.
+PROBS = [i / 40 for i in range(1, 40)]
+CLASSES = 10
+SPREADS, ERRORS = ("constant", "varying"), ("normal", "table", "table_by_m")
+
+
 @dataclass(frozen=True)
 class AmountModel:
-    """Occurrence, location and variance of log amounts, with the standardised residuals' quantiles."""
+    """Occurrence, location and variance of log amounts, and quantiles of their standardised cross-fitted residuals.
+
+    tables: for each spread, the quantiles of all residuals, then those of each class of m that `edges` part."""
 
     occurrence: PipelineModel
     location: object
     variance: object
     scale: float
-    quantiles: list[float]
+    sigma: float
+    edges: list[float]
+    tables: dict[str, list[list[float]]]
+    features: list[str]
+    spread: str = "varying"
+    errors: str = "normal"
 
 
-PROBS = [i / 20 for i in range(1, 20)]
-FLOOR = 0.05
+def _amount_tree(fit: Settings) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol="z", predictionCol="m", maxIter=fit.rounds, maxDepth=fit.depth, seed=SEED)
 
 
-def _amount_tree() -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="z", predictionCol="m", maxIter=5, maxDepth=3, seed=SEED)
+def _wet(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(numeric), outputCol="features").transform(rows.where("target > 0").withColumn("z", F.ln("target")))
 
 
-def _variance(rows: DataFrame) -> tuple[object, float, DataFrame]:
-    """Model of log squared residuals, the scale that makes them unbiased, and the standardised residuals."""
+def residuals(wet: DataFrame, fold: Column, fit: Settings = Settings()) -> DataFrame:
+    """wet with m and resid of a location model fitted on the other fold."""
+    parts = []
+    for k in (0, 1):
+        fitted = _amount_tree(fit).fit(wet.where(fold != k))
+        parts.append(fitted.transform(wet.where(fold == k)).withColumn("resid", F.col("z") - F.col("m")))
+    return parts[0].unionByName(parts[1])
+
+
+def _spread(rows: DataFrame, fit: Settings) -> tuple[object, float, float, list[float], dict[str, list[list[float]]]]:
+    """Of rows with m and resid: the variance model (of log squared residuals) and the factor that makes it unbiased, the constant
+    spread, the edges of the classes of m, and the error tables.  A class without residuals takes the table of all."""
     r = rows.withColumn("log_r2", F.ln(F.pow("resid", F.lit(2)) + 1e-4))
-    v = GBTRegressor(featuresCol="features", labelCol="log_r2", predictionCol="v", maxIter=5, maxDepth=2, seed=SEED).fit(r)
+    v = GBTRegressor(featuresCol="features", labelCol="log_r2", predictionCol="v", maxIter=fit.rounds, maxDepth=fit.depth, seed=SEED).fit(r)
     s = v.transform(r)
-    c = s.agg(F.avg(F.pow("resid", F.lit(2)) / F.exp("v"))).first()[0] or 1.0
-    return v, float(c), s.withColumn("e", F.col("resid") / F.greatest(F.sqrt(F.exp("v") * c), F.lit(FLOOR)))
+    one = s.agg(F.avg(F.pow("resid", F.lit(2)) / F.exp("v")).alias("c"), F.sqrt(F.avg(F.pow("resid", F.lit(2)))).alias("sigma")).first()
+    scale, sigma = float(one["c"] or 1.0), max(float(one["sigma"] or 1.0), FLOOR)
+    edges = s.approxQuantile("m", [i / CLASSES for i in range(1, CLASSES)], 0.001)
+    e = s.select(_class_of(F.col("m"), edges).alias("class"), (F.col("resid") / sigma).alias("constant"), (F.col("resid") / F.greatest(F.sqrt(F.exp("v") * scale), F.lit(FLOOR))).alias("varying"))
+    found = {}
+    for row in e.cube("class").agg(*(F.percentile_approx(n, PROBS, 10000).alias(n) for n in SPREADS)).collect():  # a row per class, and one of all
+        found[-1 if row["class"] is None else row["class"]] = row
+    return v, scale, sigma, edges, {n: [list(found.get(k, found[-1])[n]) for k in range(-1, CLASSES)] for n in SPREADS}
 
 
-def residuals(wet: DataFrame, fold: Column) -> DataFrame:
-    """Two-fold cross-fitted residuals of the location model."""
-    parts = []
-    for k in (0, 1):
-        fitted = _amount_tree().fit(wet.where(fold != k))
-        parts.append(fitted.transform(wet.where(fold == k)).withColumn("resid", F.col("z") - F.col("m")).drop("m"))
-    return parts[0].unionByName(parts[1])
+def _class_of(m: Column, edges: Sequence[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda c: m > c))
 
 
-def fit_amounts(train: DataFrame, numeric: Sequence[str], fold: Column) -> AmountModel:
-    occurrence = trees(train.withColumn("label", (F.col("target") > 0).cast("int")).withColumn("weight", F.lit(1.0)), numeric, "gbt")
-    wet = VectorAssembler(inputCols=list(numeric), outputCol="features").transform(train.where("target > 0").withColumn("z", F.ln("target")))
-    variance, c, standard = _variance(residuals(wet, fold))
-    return AmountModel(occurrence, _amount_tree().fit(wet), variance, c, standard.approxQuantile("e", PROBS, 0.001))
+def fit_amounts(train: DataFrame, numeric: Sequence[str], fold: Column, fit: Settings = Settings()) -> AmountModel:
+    occurrence = trees(train.withColumn("label", (F.col("target") > 0).cast("int")).withColumn("weight", F.lit(1.0)), numeric, "gbt", fit)
+    wet = _wet(train, numeric)
+    spread = _spread(residuals(wet, fold, fit), fit)
+    return AmountModel(occurrence, _amount_tree(fit).fit(wet), *spread, list(numeric))
 
 
-def refit_variance(model: AmountModel, train: DataFrame, numeric: Sequence[str]) -> AmountModel:
-    """Variance and quantiles anew, occurrence and location kept."""
-    wet = VectorAssembler(inputCols=list(numeric), outputCol="features").transform(train.where("target > 0").withColumn("z", F.ln("target")))
-    rows = model.location.transform(wet).withColumn("resid", F.col("z") - F.col("m")).drop("m")
-    variance, c, standard = _variance(rows)
-    return AmountModel(model.occurrence, model.location, variance, c, standard.approxQuantile("e", PROBS, 0.001))
+def refit_variance(model: AmountModel, train: DataFrame, fold: Column, fit: Settings = Settings()) -> AmountModel:
+    """Variance and error tables anew from cross-fitted residuals of these rows; occurrence and location are kept."""
+    variance, scale, sigma, edges, tables = _spread(residuals(_wet(train, model.features), fold, fit), fit)
+    return replace(model, variance=variance, scale=scale, sigma=sigma, edges=edges, tables=tables)
 
 
 def score_amounts(model: AmountModel, rows: DataFrame) -> DataFrame:
-    """pi, m, s of each row."""
+    """rows with pi, m, s."""
     o = model.occurrence.transform(rows).withColumn("pi", positive()).drop("rawPrediction", "probability", "prediction")
     v = model.variance.transform(model.location.transform(o))
     return v.withColumn("s", F.greatest(F.sqrt(F.exp("v") * model.scale), F.lit(FLOOR))).drop("v", "features")
 
 
-def exceedance(r: Column) -> Column:
-    """P(Y > r) of a point mass at zero and log-normal amounts."""
-    return F.when(r <= 0, F.col("pi")).otherwise(F.col("pi") * (1 - C.normal_cdf((F.ln(F.greatest(r, F.lit(1e-9))) - F.col("m")) / F.col("s"))))
-
-
-def exceedance_by_quantiles(r: Column, quantiles: Sequence[float]) -> Column:
-    """The same with the residuals' own quantiles: the share of quantiles over the standardised threshold."""
-    z = (F.ln(F.greatest(r, F.lit(1e-9))) - F.col("m")) / F.col("s")
-    q = F.array(*(F.lit(float(x)) for x in quantiles))
-    return F.when(r <= 0, F.col("pi")).otherwise(F.col("pi") * (F.size(F.filter(q, lambda x: x > z)) + 0.5) / (len(quantiles) + 1))
+def above(z: Column, table: Column) -> Column:
+    """P(error > z) by a table of quantiles at PROBS: straight between them, exponential beyond."""
+    n = len(PROBS)
+    k = F.size(F.filter(table, lambda q: q <= z))
+    p = F.array(*map(F.lit, PROBS))
+    at = F.greatest(F.lit(1), F.least(k, F.lit(n - 1)))
+    a, b = F.element_at(table, at), F.element_at(table, at + 1)
+    share = F.coalesce(F.try_divide(z - a, b - a), F.lit(0.0))
+    inside = 1 - F.element_at(p, at) - (F.element_at(p, at + 1) - F.element_at(p, at)) * share
+    low = 1 - PROBS[0] * F.exp(z - F.element_at(table, 1))
+    high = (1 - PROBS[-1]) * F.exp(F.element_at(table, n) - z)
+    return F.when(k == 0, low).when(k >= n, high).otherwise(inside)
+
+
+def exceedance(r: Column, model: AmountModel | None = None, spread: str | None = None, errors: str | None = None) -> Column:
+    """P(Y > r) from pi, m and s; with a model by its chosen spread and errors, or those named."""
+    spread, errors = spread or (model.spread if model else "varying"), errors or (model.errors if model else "normal")
+    z = (F.ln(F.greatest(r, F.lit(1e-9))) - F.col("m")) / (F.lit(model.sigma) if spread == "constant" else F.col("s"))
+    if errors == "normal":
+        over = 1 - C.normal_cdf(z)
+    elif errors == "table":
+        over = above(z, F.array(*map(F.lit, model.tables[spread][0])))
+    else:
+        tables = F.array(*(F.array(*map(F.lit, t)) for t in model.tables[spread][1:]))
+        over = above(z, F.element_at(tables, _class_of(F.col("m"), model.edges) + 1))
+    return F.when(r <= 0, F.col("pi")).otherwise(F.col("pi") * over)
+
+
+def lattice_nll(y: Column, step: float, p_over) -> Column:
+    """-log of the probability that the forecast P(Y > r) = p_over(r) gives to the lattice cell of y; 0 is a cell of its own."""
+    cell = F.when(y > 0, p_over(F.greatest(y - step / 2, F.lit(step / 2))) - p_over(y + step / 2)).otherwise(1 - p_over(F.lit(step / 2)))
+    return -F.ln(F.greatest(cell, F.lit(1e-9)))
+
+
+def select_errors(model: AmountModel, validation: DataFrame, y: str, step: float) -> tuple[AmountModel, DataFrame]:
+    """(the model with the spread and error form of the lowest mean lattice NLL, the scores of all six): one pass over the rows."""
+    forms = [(a, b) for a in SPREADS for b in ERRORS]
+    each = F.array(*(F.struct(F.lit(a).alias("spread"), F.lit(b).alias("errors"), lattice_nll(F.col(y), step, lambda r, a=a, b=b: exceedance(r, model, a, b)).alias("nll")) for a, b in forms))
+    table = score_amounts(model, validation).select(F.explode(each).alias("x")).groupBy("x.spread", "x.errors").agg(F.avg("x.nll").alias("nll"))
+    best = min(table.collect(), key=lambda r: (r["nll"], r["spread"], r["errors"]))  # six rows
+    return replace(model, spread=best["spread"], errors=best["errors"]), table
+
+
+def log_normal_scores(df: DataFrame, y: str, step: float) -> DataFrame:
+    """df (pi, m, s) with crps (closed form), nll_density, nll_lattice, and the bounds lo, hi of its PIT.
+
+    E|X - y| - E|X - X'| / 2 of a point mass 1 - pi at zero and a log-normal: both have closed forms."""
+    pi, m, s, at = F.col("pi"), F.col("m"), F.col("s"), F.col(y)
+    wet, ln = at > 0, F.ln(F.greatest(at, F.lit(1e-9)))
+    z, mean = (ln - m) / s, F.exp(m + s * s / 2)
+    apart = F.when(wet, at * (2 * C.normal_cdf(z) - 1) - mean * (2 * C.normal_cdf(z - s) - 1)).otherwise(mean)
+    crps = (1 - pi) * at + pi * apart - pi * (1 - pi) * mean - pi * pi * mean * (2 * C.normal_cdf(s / math.sqrt(2)) - 1)
+    density = F.when(wet, -F.ln(F.greatest(pi, F.lit(1e-9))) + z * z / 2 + F.ln(s * math.sqrt(2 * math.pi)) + ln).otherwise(-F.ln(F.greatest(1 - pi, F.lit(1e-9))))
+    below = 1 - pi * (1 - C.normal_cdf(z))
+    return df.withColumn("crps", crps).withColumn("nll_density", density).withColumn("nll_lattice", lattice_nll(at, step, exceedance)).withColumn("lo", F.when(wet, below).otherwise(0.0)).withColumn("hi", F.when(wet, below).otherwise(1 - pi))
 
 
 def hazard_rows(rows: DataFrame, edges: Sequence[float]) -> DataFrame:
@@ -134,6 +227,69 @@ def hazard_rows(rows: DataFrame, edges: Sequence[float]) -> DataFrame:
     return e.withColumn("stopped", (F.col("j") == F.col("class") + 1).cast("int"))
 
 
+KINDS = ("hazard", "forest", "net")
+
+
+@dataclass(frozen=True)
+class ClassModel:
+    """Amounts of wet rows by classes between edges: a model of stopping at an edge, or of the class itself."""
+
+    kind: str
+    model: PipelineModel
+    edges: list[float]
+    features: list[str]
+
+
+def fit_classes(kind: str, train: DataFrame, numeric: Sequence[str], edges: Sequence[float], fit: Settings = Settings()) -> ClassModel:
+    wet = train.where("target > 0")
+    if kind == "hazard":
+        model = trees(hazard_rows(wet, edges).withColumn("label", F.col("stopped")).withColumn("weight", F.lit(1.0)), [*numeric, "j"], "gbt", fit)
+    else:
+        rows = wet.withColumn("label", C.bucket(F.col("target"), edges).cast("double")).withColumn("weight", F.lit(1.0))
+        if kind == "forest":
+            model = trees(rows, numeric, "forest", fit)
+        elif kind == "net":
+            model = perceptron(rows, numeric, fit, len(edges) + 1)
+        else:
+            raise ValueError(f"unknown kind {kind}; one of {KINDS}")
+    return ClassModel(kind, model, list(map(float, edges)), list(numeric))
+
+
+def class_survival(model: ClassModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, survival: P(Y > edge) of a wet row for each edge, as an array."""
+    n = len(model.edges)
+    if model.kind == "hazard":
+        each = rows.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        p = model.model.transform(each).select(*keys, "j", (1 - positive()).alias("stay"))
+        a = p.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "stay"))), lambda x: x["stay"]).alias("stay"))  # one element per edge
+        return a.select(*keys, C.running_product(F.col("stay")).alias("survival"))
+    # classes that no training row had are missing at the end of the vector
+    p = vector_to_array("probability")
+    over = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.aggregate(F.slice(p, j + 1, F.lit(n + 1)), F.lit(0.0), lambda a, x: a + x))
+    return model.model.transform(rows).select(*keys, over.alias("survival"))
+
+
+FORMAT = 1
+
+
+def save_amounts(model: AmountModel, path: str, spark: SparkSession) -> None:
+    """The fitted models and, beside them, what else the model is, as one line of JSON."""
+    for name in ("occurrence", "location", "variance"):
+        getattr(model, name).write().overwrite().save(f"{path}/{name}")
+    meta = {"format": FORMAT, **{k: getattr(model, k) for k in ("scale", "sigma", "edges", "tables", "features", "spread", "errors")}}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_amounts(path: str, spark: SparkSession, features: Sequence[str]) -> AmountModel:
+    """The saved model; refused if it was saved in another format or for other features."""
+    meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    if meta.pop("format") != FORMAT:
+        raise ValueError("the model was saved in another format")
+    if meta["features"] != list(features):
+        raise ValueError(f"the model was fitted on {meta['features']}, not on {list(features)}")
+    return AmountModel(PipelineModel.load(f"{path}/occurrence"), GBTRegressionModel.load(f"{path}/location"), GBTRegressionModel.load(f"{path}/variance"), **meta)
+
+
 def platt(scored: DataFrame, p: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a logistic calibration on the logit."""
     rows = scored.select(F.col(label).alias("label"), array_to_vector(F.array(C.logit(F.col(p)))).alias("features"))

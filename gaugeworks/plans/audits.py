@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..sources import scratch
 from . import views as V
 from .registry import query
 
@@ -138,11 +139,20 @@ def chk_dispatch(spark, sf):
     return A.dispatch(h, p)
 
 
-@query("chk_replay_audit", _sql("select a.history_id, a.status, b.status as recorded from (" + _verdict("ryw") + ") a join (" + _verdict("mr") + ") b using (history_id) where a.status <> b.status or a.witness is distinct from b.witness", RYW + MR))
+USER = "cast(split_part(history_id, '-', 1) as bigint)"
+
+
+@query("chk_replay_audit", _sql("select history_id, status, recorded from (select *, case when " + USER + " % 7 <> 2 then case when " + USER + " % 7 = 3 then 'PASS' else status end end as recorded, case when " + USER + " % 7 = 2 then null when " + USER + " % 11 <> 5 then witness end as w from (" + _verdict("ryw") + ")) where status is distinct from recorded or witness is distinct from w", RYW))
 def chk_replay_audit(spark, sf):
-    """Where a recomputed result differs from a recorded one; here two checks stand for the two."""
-    a, b = chk_read_your_writes(spark, sf), chk_monotonic_reads(spark, sf).select("history_id", F.col("status").alias("recorded"), F.col("witness").alias("w"))
-    return a.join(b, "history_id").where((F.col("status") != F.col("recorded")) | ~F.col("witness").eqNullSafe(F.col("w"))).select("history_id", "status", "recorded")
+    """Results recorded as JSON, read back and held against a check of the same histories.  The record is faulty by rule: some
+    histories are missing, some pass that don't, some witnesses are lost."""
+    h = V.history(spark, sf)
+    path = scratch.folder(spark, "recorded")
+    user = F.split("history_id", "-")[0].cast("long")
+    faulty = A.verdict(h, A.read_your_writes(h)).where(user % 7 != 2)
+    faulty.select("history_id", F.when(user % 7 == 3, "PASS").otherwise(F.col("status")).alias("status"), F.when(user % 11 != 5, F.col("witness")).alias("witness")).write.json(path)
+    recorded = spark.read.schema("history_id string, status string, witness array<int>").json(path)
+    return A.differing(A.verdict(h, A.read_your_writes(h)), recorded)
 
 
 @query("agg_status_matrix", _sql("select week, count(*) filter (status = 'PASS') as pass, count(*) filter (status = 'VIOLATION') as violation, count(*) filter (status = 'INCONCLUSIVE') as inconclusive from (select split_part(history_id, '-', 2) as week, status from (" + _verdict("ryw") + ")) group by 1", RYW))

@@ -125,13 +125,16 @@ def ver_block_bootstrap(spark, sf):
     return W.block_bootstrap(daily, BOOT)
 
 
-@query("ver_label_flips", f"with {V.SLOTS} select r, count(*) filter ((t > r) <> (round(t, 4) > r)) as flips, count(*) as n from (select sum(y) over (partition by station_id order by slot range between {4 * V.SLOT_S} preceding and current row) as t from slots), (values (1.0::double), (10.0), (50.0)) x(r) group by 1".replace("count(*) filter ((t > r) <> (round(t, 4) > r)) as flips, ", ""))
+@query("ver_label_flips", f"with {V.SLOTS} select cast(year(make_timestamp(slot * 1000000)) as integer) as year, r, count(*) filter ((t > 10 * r) <> ((t + 5) // 10 > r)) as flips, count(*) as n from (select slot, cast(sum(cast(round(y * 10) as bigint)) over (partition by station_id order by slot range between {4 * V.SLOT_S} preceding and current row) as bigint) as t from slots), (values (1), (10), (50)) x(r) group by 1, 2")
 def ver_label_flips(spark, sf):
-    """Rows per threshold; how many labels rounding flips depends on the order of sums, so tests look at that."""
+    """Labels over three thresholds that rounding a day's sum to whole units flips, per year.  Sums are of whole tenths, so they are exact."""
     from ..operators import series as S
 
-    t = V.slots(spark, sf).withColumn("t", F.sum("y").over(S.frame("station_id", "slot", -4 * V.SLOT_S, 0)))
-    return t.select("t", F.explode(F.array(*map(F.lit, (1.0, 10.0, 50.0)))).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    tenths = V.slots(spark, sf).withColumn("y", F.round(F.col("y") * 10).cast("long"))
+    t = tenths.select("slot", F.sum("y").over(S.frame("station_id", "slot", -4 * V.SLOT_S, 0)).alias("t"))
+    e = t.select(F.year(F.timestamp_seconds("slot")).alias("year"), "t", F.explode(F.array(*map(F.lit, (1, 10, 50)))).alias("r"))
+    flipped = (F.col("t") > 10 * F.col("r")) != (F.floor((F.col("t") + 5) / 10) > F.col("r"))
+    return e.groupBy("year", "r").agg(F.count_if(flipped).alias("flips"), F.count(F.lit(1)).alias("n"))
 
 
 @query("ver_survival_at", _sql("select station_id, slot, round(s[7] + (s[8] - s[7]) * 0.5, 6) as p15 from scored"))

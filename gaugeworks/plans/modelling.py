@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import models as M
 from ..operators import series as S
@@ -20,6 +15,10 @@ from .registry import query
 SLOT = V.SLOT_S
 NUMERIC = ["y", "sum_2", "sum_4", "sum_12", "peak_12", "count_12"]
 R = 10.0
+#: Small fits: a query reads the given tables at any size, and a full fit is a matter of hours there.
+FIT = M.SMALL
+#: Readings stand on tenths.
+STEP = 0.1
 #: Days of the given month: train, validation, test.
 FIRST, SECOND = 1704067200 + 18 * 86400, 1704067200 + 24 * 86400
 EDGES = (0.0, 5.0, 10.0, 20.0, 30.0)
@@ -56,25 +55,25 @@ def ml_temporal_split(spark, sf):
 @query("ml_logistic")
 def ml_logistic(spark, sf):
     train, _, test = _split(spark, sf)
-    return _score(test, M.logistic(_weighted(train), NUMERIC))
+    return _score(test, M.logistic(_weighted(train), NUMERIC, FIT))
 
 
 @query("ml_tree")
 def ml_tree(spark, sf):
     train, _, test = _split(spark, sf)
     w = _weighted(train)
-    return _score(test, M.trees(w, NUMERIC, "gbt")).withColumn("model", F.lit("gbt")).unionByName(_score(test, M.trees(w, NUMERIC, "forest")).withColumn("model", F.lit("forest")))
+    return _score(test, M.trees(w, NUMERIC, "gbt", FIT)).withColumn("model", F.lit("gbt")).unionByName(_score(test, M.trees(w, NUMERIC, "forest", FIT)).withColumn("model", F.lit("forest")))
 
 
 @query("ml_mlp")
 def ml_mlp(spark, sf):
     train, _, test = _split(spark, sf)
-    return _score(test, M.perceptron(train, NUMERIC))
+    return _score(test, M.perceptron(train, NUMERIC, FIT))
 
 
 def _amounts(spark, sf):
     train, validation, test = _split(spark, sf)
-    return M.fit_amounts(train, NUMERIC, F.col("fold")), train, validation, test
+    return M.fit_amounts(train, NUMERIC, F.col("fold"), FIT), train, validation, test
 
 
 @query("ml_ziln_fit")
@@ -92,28 +91,24 @@ def ml_ziln_score(spark, sf):
 
 @query("ml_error_tables")
 def ml_error_tables(spark, sf):
-    """Quantiles of standardised residuals in tenths of m."""
-    model, train, _, _ = _amounts(spark, sf)
-    s = M.score_amounts(model, train.where("target > 0")).withColumn("e", (F.ln("target") - F.col("m")) / F.col("s"))
-    cuts = s.approxQuantile("m", [i / 10 for i in range(1, 10)], 0.001)
-    b = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("m") > c))
-    return s.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("e", [0.1, 0.5, 0.9], 10000).alias("q"))
+    """Quantiles of standardised cross-fitted residuals, of all (class -1) and by tenths of m, for both spreads."""
+    model, _, _, _ = _amounts(spark, sf)
+    rows_ = [(spread, k - 1, p, float(q)) for spread, tables in model.tables.items() for k, t in enumerate(tables) for p, q in zip(M.PROBS, t, strict=True)]
+    return spark.createDataFrame(rows_, "spread string, class int, p double, q double")
 
 
 @query("ml_select")
 def ml_select(spark, sf):
-    """The error form that scores best on the validation days, one aggregate for both."""
+    """The lattice scores of both spreads and three error forms on the validation days, and which was chosen."""
     model, _, validation, _ = _amounts(spark, sf)
-    o = (F.col("target") > R).cast("double")
-    forms = F.array(*(F.struct(F.lit(n).alias("name"), F.pow(p - o, F.lit(2)).alias("b")) for n, p in (("normal", M.exceedance(F.lit(R))), ("quantiles", M.exceedance_by_quantiles(F.lit(R), model.quantiles)))))
-    g = M.score_amounts(model, validation).select(F.explode(forms).alias("x")).groupBy("x.name").agg(F.avg("x.b").alias("brier"))
-    return g.agg(F.min_by("name", "brier").alias("name"), F.min("brier").alias("brier"))
+    best, table = M.select_errors(model, validation, "target", STEP)
+    return table.withColumn("chosen", (F.col("spread") == best.spread) & (F.col("errors") == best.errors))
 
 
 @query("ml_refit_variance")
 def ml_refit_variance(spark, sf):
     model, train, validation, test = _amounts(spark, sf)
-    again = M.refit_variance(model, train.unionByName(validation), NUMERIC)
+    again = M.refit_variance(model, train.unionByName(validation), F.col("fold"), FIT)
     s = M.score_amounts(again, test).select(M.exceedance(F.lit(R)).alias("p"), (F.col("target") > R).alias("o"))
     return W.brier(s, F.col("p"), F.col("o"))
 
@@ -126,25 +121,16 @@ def ml_hazard_rows(spark, sf):
 
 @query("ml_amount_models")
 def ml_amount_models(spark, sf):
-    """Hazard model: survival over the edges as running products of 1 - hazard."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.classification import GBTClassifier
-
+    """Survival over the edges by each kind of model."""
     train, _, test = _split(spark, sf)
-    h = VectorAssembler(inputCols=[*NUMERIC, "j"], outputCol="features").transform(M.hazard_rows(train.where("target > 0"), EDGES).withColumn("label", F.col("stopped")))
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=M.SEED).fit(h)
-    each = test.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(len(EDGES)))))
-    p = model.transform(VectorAssembler(inputCols=[*NUMERIC, "j"], outputCol="features").transform(each)).select("station_id", "slot", "j", (1 - M.positive()).alias("stay"))
-    a = p.groupBy("station_id", "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "stay"))), lambda x: x["stay"]).alias("stay"))  # one element per edge
-    from ..functions import columns as C
-
-    return a.select("station_id", "slot", C.running_product(F.col("stay")).alias("survival"))
+    parts = [M.class_survival(M.fit_classes(k, train, NUMERIC, EDGES, FIT), test, ["station_id", "slot"]).withColumn("kind", F.lit(k)) for k in M.KINDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("ml_platt")
 def ml_platt(spark, sf):
     train, validation, test = _split(spark, sf)
-    model = M.trees(_weighted(train), NUMERIC, "gbt")
+    model = M.trees(_weighted(train), NUMERIC, "gbt", FIT)
     slope, intercept = M.platt(model.transform(validation).select(M.positive().alias("p"), "label"), "p", "label")
     t = model.transform(test).select(M.positive().alias("p"), (F.col("label") == 1).alias("o")).withColumn("q", M.calibrated(F.col("p"), slope, intercept))
     return W.brier(t, F.col("p"), F.col("o")).withColumn("state", F.lit("before")).unionByName(W.brier(t, F.col("q"), F.col("o")).withColumn("state", F.lit("after")))
@@ -152,52 +138,38 @@ def ml_platt(spark, sf):
 
 @query("ml_predict_batch")
 def ml_predict_batch(spark, sf):
-    """Probabilities for a table of (station, time, threshold) requests; no row in reach: incomplete."""
+    """Probabilities for a table of (station, time, threshold) requests, by the log-normal and by the hazard model.
+
+    A request is answered by the station's latest row of the slot before it; without one it is `missing`.
+    An answer of a row whose last 12 slots are not all there is marked incomplete."""
     from ..operators import spatial as P
 
-    model, _, _, test = _amounts(spark, sf)
-    asked = test.select("station_id", (F.col("slot") + 600).alias("t"))
-    at = P.as_of(asked, test.select("station_id", F.col("slot").alias("epoch"), F.col("slot").cast("double").alias("y")), 3600, 3600)
-    s = M.score_amounts(model, test).select("station_id", F.col("slot").alias("epoch"), "pi", "m", "s")
-    j = at.join(s, ["station_id", "epoch"], "left").withColumn("r", F.explode(F.array(F.lit(1.0), F.lit(10.0), F.lit(25.0))))
-    return j.select("station_id", "t", "r", M.exceedance(F.col("r")).alias("p"), F.col("pi").isNull().alias("incomplete"))
+    model, train, _, test = _amounts(spark, sf)
+    hazard = M.fit_classes("hazard", train, NUMERIC, EDGES, FIT)
+    # every station is asked ten minutes after each of its rows, and two slots later, where it may have none
+    asked = test.select("station_id", F.explode(F.array(F.col("slot") + 600, F.col("slot") + 2 * SLOT + 600)).alias("t")).distinct()
+    at = P.as_of(asked, test.select("station_id", F.col("slot").alias("epoch"), F.col("slot").cast("double").alias("y")), SLOT, SLOT)
+    keys = ["station_id", "slot"]
+    s = M.score_amounts(model, test).select(*keys, "pi", "m", "s", "count_12").join(M.class_survival(hazard, test, keys), keys).withColumnRenamed("slot", "epoch")
+    j = at.join(s, ["station_id", "epoch"], "left").withColumn("r", F.explode(F.array(F.lit(5.0), F.lit(10.0), F.lit(20.0))))
+    by_class = F.col("pi") * F.element_at("survival", F.array_position(F.array(*map(F.lit, EDGES)), F.col("r")).cast("int"))
+    return j.select("station_id", "t", "r", M.exceedance(F.col("r")).alias("p"), by_class.alias("p_hazard"), F.col("pi").isNull().alias("missing"), F.coalesce(F.col("count_12") < 12, F.lit(True)).alias("incomplete"))
 
 
 @query("ml_persist")
 def ml_persist(spark, sf):
-    """A model saved, loaded again and used; its feature names are checked on loading."""
-    from pyspark.ml import PipelineModel
-
-    train, _, test = _split(spark, sf)
+    """A model saved, loaded again and used; its metadata are checked on loading."""
+    model, _, _, test = _amounts(spark, sf)
     path = scratch.folder(spark, "model")
-    M.trees(_weighted(train), NUMERIC, "gbt").write().overwrite().save(path)
-    model = PipelineModel.load(path)
-    if list(model.stages[0].getInputCols()) != NUMERIC:
-        raise ValueError("the model was fitted on other features")
-    return _score(test, model)
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("crps", "lo", "hi")]))
-def ziln_scores(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """CRPS by quadrature on a fixed grid, and PIT bounds, of a point mass at zero with log-normal amounts."""
-    import numpy as np
-
-    erf = np.vectorize(math.erf)
-    grid = np.concatenate([[0.0], np.exp(np.linspace(-4, 6, 160))])
-    width = np.diff(grid)
-    for y, pi, m, s in batches:
-        a = [x.to_numpy()[:, None] for x in (y, pi, m, s)]
-        cdf = 1 - a[1] * (1 - 0.5 * (1 + erf((np.log(grid[1:]) - a[2]) / a[3] / math.sqrt(2))))
-        crps = ((cdf - (grid[1:] >= a[0])) ** 2 * width).sum(axis=1)
-        hi = np.where(y > 0, 1 - pi * (1 - 0.5 * (1 + erf((np.log(np.maximum(y, 1e-9)) - m) / s / math.sqrt(2)))), 1 - pi)
-        yield pd.DataFrame({"crps": crps, "lo": np.where(y > 0, hi, 0.0), "hi": hi})
+    M.save_amounts(model, path, spark)
+    s = M.score_amounts(M.load_amounts(path, spark, NUMERIC), test).select(M.exceedance(F.lit(R)).alias("p"), (F.col("target") > R).alias("o"))
+    return W.brier(s, F.col("p"), F.col("o"))
 
 
 @query("ver_ziln_scores")
 def ver_ziln_scores(spark, sf):
     model, _, _, test = _amounts(spark, sf)
-    s = M.score_amounts(model, test).select("station_id", "slot", ziln_scores("target", "pi", "m", "s").alias("x"))
-    return s.select("station_id", "slot", "x.*")
+    return M.log_normal_scores(M.score_amounts(model, test), "target", STEP).select("station_id", "slot", "crps", "nll_density", "nll_lattice", "lo", "hi")
 
 
 CSV = ["event_id", "timestamp", "update_timestamp", "station_id", "location_latitude", "location_longitude", "reading_value", "reading_unit"]
@@ -276,10 +248,13 @@ def snk_resume(spark, sf):
     return files.resume(spark, path, make)
 
 
-@query("src_manifest_check", "select 'unlisted' as state, cast(1 as bigint) as n")
+@query("src_manifest_check", "select event_type as name, case event_type when 'click' then 'changed' when 'view' then 'unlisted' else 'ok' end as state from (select distinct event_type from events) union all select 'withdrawn', 'missing'")
 def src_manifest_check(spark, sf):
-    """One written file against the manifest of the given events: it isn't listed there."""
-    path = scratch.folder(spark, "files")
-    V.table(spark, sf, "events").coalesce(1).write.parquet(path)
-    listed = spark.read.format("binaryFile").load(path + "/*.parquet").select(F.lit("other").alias("name"), F.lit("x").alias("sha256")).limit(0)
-    return files.manifest_check(spark, path + "/*.parquet", listed).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """A folder for each event type against a manifest of it: one file changed after it was listed, one never listed, one listed and not there."""
+    path, e = scratch.folder(spark, "files"), V.table(spark, sf, "events")
+    files.write_partitioned(e, path, "event_type")
+    listed = scratch.table(files.digests(spark, path).where("name <> 'event_type=view'"), "manifest")
+    listed = listed.unionByName(spark.createDataFrame([("event_type=withdrawn", "0")], "name string, sha256 string"))
+    files.write_partitioned(e.where("event_type = 'click'").withColumn("value", F.col("value") + 1), path + "-new", "event_type")
+    now = files.digests(spark, path).where("name <> 'event_type=click'").unionByName(files.digests(spark, path + "-new"))
+    return files.against(now, listed).select(F.element_at(F.split("name", "="), -1).alias("name"), "state")

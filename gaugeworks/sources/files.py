@@ -47,13 +47,27 @@ def validated_trajectories(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.where(good).select("t.*"), t.where(~good).select("value")
 
 
-def manifest_check(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Files against a manifest (name, sha256): ok, changed, missing or unlisted."""
-    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("have"))
-    j = found.join(manifest, "name", "full")
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """name, sha256 of each folder below `folder`: of its files' digests in their order of size and digest.
+
+    A file is a row and is digested where it is read; no task holds more than one file."""
+    each = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    parts = each.select(F.element_at(F.split("path", "/"), -2).alias("name"), F.struct("length", F.sha2("content", 256).alias("d")).alias("f"))
+    return parts.groupBy("name").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("f"))).cast("binary"), 256).alias("sha256"))
+
+
+def against(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Digests (name, sha256) against a manifest (name, sha256): ok, changed, missing or unlisted."""
+    j = found.select("name", F.col("sha256").alias("have")).join(manifest, "name", "full")
     return j.select("name", F.when(F.col("have").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("have") == F.col("sha256"), "ok").otherwise("changed").alias("state"))
 
 
+def manifest_check(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Single files against a manifest of their names."""
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return against(found, manifest)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
