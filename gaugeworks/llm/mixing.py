@@ -7,10 +7,10 @@ is exact: its cumulative count is scaled to the total and rounded down, which mo
 or two.  The k-th slot of a source takes the block that the source's own keyed permutation gives for
 k, and slots and blocks are joined by (source, block).
 
-The permutation of n numbers is an affine map followed by a swap-or-not shuffle: in each round x and
-its partner (key - x) mod n swap or stay by a hashed bit of the larger.  It is a bijection for any n, computes one index by itself,
-and reruns agree.  Hashes are affine maps modulo two primes in turn, in whole numbers, so that SQL can
-compute the same.
+The permutation of a source's n blocks is their order by a keyed hash: cells of the hash's range are
+ranked by themselves, and a block's place is its rank in its cell after all blocks of earlier cells.
+Hashes are affine maps modulo two primes in turn, with a square between, in whole numbers, so that SQL
+can compute the same and reruns agree.
 """
 
 from __future__ import annotations
@@ -32,15 +32,15 @@ STRETCH_ROWS = 512
 #: Stretches, or shards, whose sums make one row of the next level.
 LEVEL = 1024
 SEED = 42
-#: Rounds of a permutation.
-ROUNDS = 8
+#: Blocks of a cell of a source's permutation.
+CELL_BLOCKS = 4096
+#: Blocks that one row stands for before it is opened.
+RUN = 1 << 14
 #: Cells of the unit interval that draws and sources meet by.
 CELLS = 4096
 # fixed values: the two largest primes below 2^31 and multipliers below them
 PRIME, OTHER = 2147483647, 2147483629
 TIMES = (1103515245, 1664525, 214013)
-# fixed values: the ten smallest primes over 2^31; none divides a number of blocks
-PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857, 2147483867, 2147483869)
 
 
 def hashed(x: Column) -> Column:
@@ -48,20 +48,9 @@ def hashed(x: Column) -> Column:
     return ((x.cast("long") * TIMES[0] + SEED) % PRIME * TIMES[1] + SEED) % OTHER * TIMES[2] % PRIME
 
 
-def permuted(x: Column, key: Column, n: Column) -> Column:
-    """The place of x in [0, n), n < 2^31, in the permutation of `key` (non-negative)."""
-
-    def swapped(at: Column, r: Column) -> Column:
-        salt = key % 1_000_000 * ROUNDS + r
-        turn = hashed(salt) % n
-        other = F.pmod(turn - at, n)
-        # the multiplier differs by round: the same one would give rounds the same bits, only moved
-        bit = F.shiftright(hashed((F.greatest(at, other) * hashed(salt + 500_000_000) + turn) % PRIME), 15).bitwiseAND(F.lit(1).cast("long"))
-        return F.when(bit == 1, other).otherwise(at)
-
-    prime = lambda i: F.element_at(F.array(*map(F.lit, PRIMES)), (hashed(key % 1_000_000 + i) % len(PRIMES) + 1).cast("int")) % n
-    far = F.pmod(x * (prime(1) * prime(2) % n) + hashed(key % 1_000_000 + 3) % n, n)
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), far, swapped)
+def scattered(df: DataFrame, x: Column, name: str) -> DataFrame:
+    """df with a number below PRIME drawn by x: an affine map alone would spread its values too evenly, their squares scatter."""
+    return df.withColumn("_y", hashed(x)).withColumn(name, hashed(F.col("_y") * F.col("_y") % PRIME)).drop("_y")
 
 
 def _running(df: DataFrame, at: str, value: str) -> DataFrame:
@@ -116,8 +105,7 @@ def shard_counts(sources: DataFrame) -> DataFrame:
     cells = sources.where("n_slots > 0").select("source_no", "n_slots", "earlier", F.explode(F.sequence(F.floor(share(F.col("earlier"))) - 1, F.floor(share(F.col("earlier") + F.col("n_slots"))) + 1)).alias("cell"))
     slots = spark.range(0, shards, 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4096)).select(F.col("id").alias("shard"))
     slots = slots.select("shard", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)).alias("t"))
-    # an affine map alone would spread its numbers too evenly for a draw; their squares scatter
-    slots = slots.withColumn("y", hashed((F.col("t") % PRIME + F.floor(F.col("t") / PRIME) * 7919) % PRIME)).withColumn("w", hashed(F.col("y") * F.col("y") % PRIME))
+    slots = scattered(slots, (F.col("t") % PRIME + F.floor(F.col("t") / PRIME) * 7919) % PRIME, "w")
     slots = slots.select("shard", F.floor(F.col("w") / F.lit(PRIME) * F.lit(total)).alias("v"), F.floor(F.col("w") / F.lit(PRIME) * F.lit(CELLS)).alias("cell"))
     met = slots.join(cells, "cell").where((F.col("v") >= F.col("earlier")) & (F.col("v") < F.col("earlier") + F.col("n_slots")))
     counts = met.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("drawn"))
@@ -131,13 +119,26 @@ def shard_counts(sources: DataFrame) -> DataFrame:
     return r.select("shard", "source_no", "drawn", scaled(F.col("before")).alias("first"), scaled(F.col("before") + F.col("drawn")).alias("last"))
 
 
+def permuted(sources: DataFrame) -> DataFrame:
+    """source_no, n_blocks, n_slots, block, place: the permutation of each source's blocks."""
+    runs = sources.where("n_slots > 0").select("source_no", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_blocks") - 1) / RUN))).alias("run"))
+    # spread the runs before they are opened: a source may have a third of all blocks
+    runs = runs.repartition("source_no", "run")
+    b = runs.select("source_no", "n_blocks", "n_slots", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n_blocks")) - 1)).alias("block"))
+    b = scattered(b, (F.col("block") + hashed(F.col("source_no") % PRIME)) % PRIME, "w")
+    b = b.withColumn("cell", F.floor(F.col("w") / F.lit(PRIME) * F.ceil(F.col("n_blocks") / CELL_BLOCKS)))
+    sizes = _running(b.groupBy("source_no", "cell").agg(F.count(F.lit(1)).alias("n")), "cell", "n").select("source_no", "cell", "before")
+    rank = F.row_number().over(Window.partitionBy("source_no", "cell").orderBy("w", "block")) - 1
+    return b.withColumn("rank", rank).join(sizes, ["source_no", "cell"]).select("source_no", "n_blocks", "n_slots", "block", (F.col("before") + F.col("rank")).alias("place"))
+
+
 def slots(sources: DataFrame) -> DataFrame:
     """source_no, k (which of its source's slots), shard, block: a row for each slot of the mix."""
     k = shard_counts(sources).where("last > first").select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("k"))
-    k = k.join(sources.select("source_no", "n_blocks"), "source_no")
-    # the second time round takes another permutation; a block is taken twice at most
-    turn = F.col("source_no") * 2 + F.floor(F.col("k") / F.col("n_blocks"))
-    return k.select("source_no", "k", "shard", permuted(F.col("k") % F.col("n_blocks"), turn, F.col("n_blocks")).alias("block"))
+    # a source's slots go through its permutation once, and then backwards: a block is taken twice at most
+    both = permuted(sources).select("source_no", "block", "n_slots", F.explode(F.array("place", 2 * F.col("n_blocks") - 1 - F.col("place"))).alias("k")).where("k < n_slots").drop("n_slots")
+    # a plan's guess of a size doesn't see what explode makes of a few rows, so the join is asked for by name
+    return k.hint("shuffle_merge").join(both, ["source_no", "k"])
 
 
 def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,7 +178,6 @@ def blocks_of_mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def _taken(sources: DataFrame, parts: DataFrame) -> DataFrame:
     """parts with times (how often the mix takes the block) and its first and last shard."""
     times = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
-    # a plan's guess of a size doesn't see what explode makes of a few rows, so the join is asked for by name
     return parts.hint("shuffle_merge").join(times, ["source_no", "block"])
 
 
@@ -216,11 +216,6 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql(block_words: int = BLOCK_WORDS) -> str:
     h = lambda x: f"((({x}) * {TIMES[0]} + {SEED}) % {PRIME} * {TIMES[1]} + {SEED}) % {OTHER} * {TIMES[2]} % {PRIME}"
-    prime = lambda i: f"([{', '.join(map(str, PRIMES))}][({h(f'turn % 1000000 + {i}')}) % {len(PRIMES)} + 1] % n)"
-    rounds = ""
-    for r in range(ROUNDS):
-        salt = f"(turn % 1000000 * {ROUNDS} + {r})"
-        rounds += f"q{r} as (select *, (({h(salt)}) % n - x + n) % n as p from x{r}),\nx{r + 1} as (select * exclude (p) replace (case when ((({h(f'(greatest(x, p) * ({h(f"{salt} + 500000000")}) + ({h(salt)}) % n) % {PRIME}')}) >> 15) & 1) = 1 then p else x end as x) from q{r}),\n"
     return f"""
 with d as (select row_number() over () as row, doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
 s0 as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as source_no from d group by source),
@@ -238,10 +233,12 @@ c0 as (select t // {SHARD_SLOTS} as shard, source_no, count(*) as drawn from w j
 c1 as (select * from c0 union all select ({h('source_no')}) % greatest(1, (slots + {SHARD_SLOTS - 1}) // {SHARD_SLOTS}), source_no, 1 from s where n_slots > 0 and source_no not in (select source_no from c0)),
 c2 as (select shard, source_no, drawn, n_slots, n_blocks, cast(sum(drawn) over (partition by source_no order by shard) as bigint) as upto, cast(sum(drawn) over (partition by source_no) as bigint) as every from c1 join s using (source_no)),
 c3 as (select *, case when upto - drawn = every then n_slots else cast(floor(cast(upto - drawn as double) * (n_slots / every)) as bigint) end as lo, case when upto = every then n_slots else cast(floor(cast(upto as double) * (n_slots / every)) as bigint) end as hi from c2),
-k as (select source_no, shard, n_blocks as n, unnest(range(lo, hi)) as k from c3),
-k1 as (select source_no, shard, n, source_no * 2 + k // n as turn, k % n as x from k),
-x0 as (select source_no, shard, n, turn, (x * ({prime(1)} * {prime(2)} % n) + ({h("turn % 1000000 + 3")}) % n) % n as x from k1),
-{rounds}b as (select source_no, x as block, count(*) as times, min(shard) as a, max(shard) as z from x{ROUNDS} group by 1, 2),
+k as (select source_no, shard, unnest(range(lo, hi)) as k from c3),
+b0 as (select source_no, n_blocks, n_slots, unnest(range(0, n_blocks)) as block from s where n_slots > 0),
+b1 as (select *, {h(f"(block + {h('source_no')}) % {PRIME}")} as y from b0),
+b2 as (select source_no, n_blocks, n_slots, block, row_number() over (partition by source_no order by {h(f"y * y % {PRIME}")}, block) - 1 as place from b1),
+b3 as (select source_no, n_slots, block, unnest([place, 2 * n_blocks - 1 - place]) as k from b2),
+b as (select b3.source_no, block, count(*) as times, min(shard) as a, max(shard) as z from b3 join k on k.source_no = b3.source_no and k.k = b3.k where b3.k < n_slots group by 1, 2),
 e as (select d.*, s.source_no, s.source_size, s.target from d join s on d.source is not distinct from s.source),
 st as (select *, ({h(f'coalesce((doc_id % {PRIME} + {PRIME}) % {PRIME}, row % {PRIME}) + size')}) % cast(greatest(1, ceil((select count(*) from d) / {STRETCH_ROWS}.0)) as bigint) as stretch from e where size > 0),
 a as (select *, cast(coalesce(sum(size) over (partition by source_no order by stretch, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start from st),

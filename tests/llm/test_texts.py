@@ -334,14 +334,13 @@ def test_mixing(spark, block):
 
 
 def test_draws_and_permutations(spark):
-    from pyspark.sql import functions as F
-
-    for n in (1, 2, 7, 1000, 4097):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(5), F.lit(n)).alias("x"), mixing.permuted(F.col("id"), F.lit(6), F.lit(n)).alias("y"), "id").collect()
-        assert sorted(r.x for r in got) == sorted(r.y for r in got) == list(range(n))
-        if n >= 1000:
-            order = [r.x for r in sorted(got, key=lambda r: r.id)]
-            assert sum(r.x == r.y for r in got) < n / 50 and abs(np.corrcoef(order, range(n))[0, 1]) < 0.1 and np.sum(np.abs(np.diff(order)) == 1) < 10
+    sizes = (1, 2, 7, 1000, 20_011, 20_011)
+    made = mixing.permuted(spark.createDataFrame([(i, n, n) for i, n in enumerate(sizes)], "source_no int, n_slots long, n_blocks long")).collect()
+    orders = [[r.place for r in sorted((r for r in made if r.source_no == i), key=lambda r: r.block)] for i in range(len(sizes))]
+    assert [sorted(o) for o in orders] == [list(range(n)) for n in sizes]
+    for o in orders[3:]:
+        assert abs(np.corrcoef(o, range(len(o)))[0, 1]) < 0.1 and np.sum(np.abs(np.diff(o)) == 1) < 12
+    assert sum(a == b for a, b in zip(orders[4], orders[5], strict=True)) < 12  # each source has its own
     wanted = {0: 60_000, 1: 30_000, 2: 9_999, 3: 1, 4: 0}
     rows, before = [], 0
     for s, n in wanted.items():
@@ -360,6 +359,8 @@ def test_draws_and_permutations(spark):
     slots = mixing.slots(sources).collect()
     assert Counter(r.source_no for r in slots) == Counter({s: n for s, n in wanted.items() if n})
     assert max(Counter((r.source_no, r.block) for r in slots).values()) == 1
+    twice = mixing.slots(spark.createDataFrame([(0, 1500, 0, 1000)], "source_no int, n_slots long, earlier long, n_blocks long")).collect()
+    assert sorted(Counter(r.block for r in twice).values()) == [1] * 500 + [2] * 500 and len({r.k for r in twice}) == 1500
 
 
 def test_blocks_of_mix_carry_their_shard(spark):
