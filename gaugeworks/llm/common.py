@@ -118,7 +118,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chosen(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
     """Of numbered rows those in kept (part, row) and those without a doc_id, with docs' columns."""
-    named = rows.join(kept.select("part", "row", F.lit(True).alias("kept")), ["part", "row"], "left").where("kept or doc_id is null")
+    named = rows.hint("shuffle_merge").join(kept.select("part", "row", F.lit(True).alias("kept")), ["part", "row"], "left").where("kept or doc_id is null")
     return named.select(*(F.col(f"doc.`{c}`").alias(c) for c in columns))
 
 

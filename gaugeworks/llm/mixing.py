@@ -36,6 +36,8 @@ SEED = 42
 CELL_BLOCKS = 4096
 #: Blocks that one row stands for before it is opened.
 RUN = 1 << 14
+#: Sources whose totals may be sent to every task (some 20 MB).
+FEW_SOURCES = 200_000
 #: Cells of the unit interval that draws and sources meet by.
 CELLS = 4096
 # fixed values: the two largest primes below 2^31 and multipliers below them
@@ -61,7 +63,8 @@ def _running(df: DataFrame, at: str, value: str) -> DataFrame:
     inside = Window.partitionBy("source_no", "_g").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("source_no").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     sums = g.groupBy("source_no", "_g").agg(F.sum(value).alias("_n")).select("source_no", "_g", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_earlier"))
-    out = g.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, ["source_no", "_g"])
+    # here and below: a plan's guess of a size doesn't see what explode makes of a few rows, so joins of many rows are asked for by name
+    out = g.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).hint("shuffle_merge").join(sums, ["source_no", "_g"])
     return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_g", "_inside", "_earlier")
 
 
@@ -98,7 +101,10 @@ def shard_counts(sources: DataFrame) -> DataFrame:
 
     sources: source_no, n_slots, the slots `earlier` of sources before it; the driver takes the number of all slots."""
     spark = sources.sparkSession
-    total = sources.agg(F.sum("n_slots")).first()[0] or 0
+    one = sources.agg(F.sum("n_slots").alias("slots"), F.count(F.lit(1)).alias("n")).first()
+    total = one["slots"] or 0
+    # tables of a few rows per source go to all tasks while there are few sources
+    few = "broadcast" if one["n"] <= FEW_SOURCES else "shuffle_merge"
     shards = -(-total // SHARD_SLOTS)
     share = lambda x: x / F.lit(max(total, 1)) * F.lit(CELLS)
     # a source's cells, and one to each side for rounding: CELLS and three for each source at most
@@ -107,14 +113,14 @@ def shard_counts(sources: DataFrame) -> DataFrame:
     slots = slots.select("shard", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)).alias("t"))
     slots = scattered(slots, (F.col("t") % PRIME + F.floor(F.col("t") / PRIME) * 7919) % PRIME, "w")
     slots = slots.select("shard", F.floor(F.col("w") / F.lit(PRIME) * F.lit(total)).alias("v"), F.floor(F.col("w") / F.lit(PRIME) * F.lit(CELLS)).alias("cell"))
-    met = slots.join(cells, "cell").where((F.col("v") >= F.col("earlier")) & (F.col("v") < F.col("earlier") + F.col("n_slots")))
+    met = slots.join(cells.hint(few), "cell").where((F.col("v") >= F.col("earlier")) & (F.col("v") < F.col("earlier") + F.col("n_slots")))
     counts = met.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("drawn"))
     # a source so small that no slot drew it goes to one shard
     counts = common.write_table(counts, "mix-draws")
     none = sources.where("n_slots > 0").join(counts.select("source_no").distinct(), "source_no", "left_anti")
     every = counts.unionByName(none.select((hashed(F.col("source_no")) % F.lit(max(shards, 1))).alias("shard"), "source_no", F.lit(1).cast("long").alias("drawn")))
     totals = every.groupBy("source_no").agg(F.sum("drawn").alias("all")).join(sources.select("source_no", "n_slots"), "source_no")
-    r = _running(every, "shard", "drawn").join(totals, "source_no")
+    r = _running(every, "shard", "drawn").join(totals.hint(few), "source_no")
     scaled = lambda c: F.when(c == F.col("all"), F.col("n_slots")).otherwise(F.floor(c.cast("double") * (F.col("n_slots") / F.col("all"))))
     return r.select("shard", "source_no", "drawn", scaled(F.col("before")).alias("first"), scaled(F.col("before") + F.col("drawn")).alias("last"))
 
@@ -129,7 +135,7 @@ def permuted(sources: DataFrame) -> DataFrame:
     b = b.withColumn("cell", F.floor(F.col("w") / F.lit(PRIME) * F.ceil(F.col("n_blocks") / CELL_BLOCKS)))
     sizes = _running(b.groupBy("source_no", "cell").agg(F.count(F.lit(1)).alias("n")), "cell", "n").select("source_no", "cell", "before")
     rank = F.row_number().over(Window.partitionBy("source_no", "cell").orderBy("w", "block")) - 1
-    return b.withColumn("rank", rank).join(sizes, ["source_no", "cell"]).select("source_no", "n_blocks", "n_slots", "block", (F.col("before") + F.col("rank")).alias("place"))
+    return b.withColumn("rank", rank).hint("shuffle_merge").join(sizes, ["source_no", "cell"]).select("source_no", "n_blocks", "n_slots", "block", (F.col("before") + F.col("rank")).alias("place"))
 
 
 def slots(sources: DataFrame) -> DataFrame:
@@ -137,7 +143,6 @@ def slots(sources: DataFrame) -> DataFrame:
     k = shard_counts(sources).where("last > first").select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("k"))
     # a source's slots go through its permutation once, and then backwards: a block is taken twice at most
     both = permuted(sources).select("source_no", "block", "n_slots", F.explode(F.array("place", 2 * F.col("n_blocks") - 1 - F.col("place"))).alias("k")).where("k < n_slots").drop("n_slots")
-    # a plan's guess of a size doesn't see what explode makes of a few rows, so the join is asked for by name
     return k.hint("shuffle_merge").join(both, ["source_no", "k"])
 
 
@@ -160,7 +165,7 @@ def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame,
     cut = d.where("size > 0").select("row", "doc_id", "size", "source_no", (hashed(own + F.col("size")) % stretches).alias("stretch"))
     lengths = _running(cut.groupBy("source_no", "stretch").agg(F.sum("size").alias("n")), "stretch", "n").select("source_no", "stretch", "before")
     inside = Window.partitionBy("source_no", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(lengths, ["source_no", "stretch"])
+    placed = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).hint("shuffle_merge").join(lengths, ["source_no", "stretch"])
     placed = placed.select("row", "size", "source_no", (F.col("before") + F.col("inside")).alias("start"))
     parts = placed.select("*", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     begin = F.greatest("start", F.col("block") * block_words) - F.col("start")
@@ -202,7 +207,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     copies = ranges.select("row", "size", "ranges", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("ranges", lambda r: r["times"])))).alias("copy"))
     held = copies.select("row", "size", F.filter("ranges", lambda r: r["times"] >= F.col("copy")).alias("ranges"))
     held = held.withColumn("words", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])).withColumn("part", F.shiftright("row", 33).cast("int"))
-    both = rows.join(held, ["part", "row"])  # rows are bucketed by part, so no text moves
+    both = rows.hint("shuffle_merge").join(held, ["part", "row"])  # rows are bucketed by part, so no text moves
     # split once for a document, not for each range
     part = F.concat_ws(" ", F.flatten(F.transform(F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))), lambda words: F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))))))
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(part)

@@ -29,8 +29,8 @@ from . import common, components
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Distinct fingerprints that the trees are built from, at most.
-SAMPLE = 20_000
+#: Distinct fingerprints that the trees are built from: one of SAMPLE_SHARE, within these bounds.
+SAMPLE, MOST_SAMPLE, SAMPLE_SHARE = 20_000, 400_000, 50
 #: Fingerprints that a leaf should hold, and that one task compares at most.
 LEAF_GOAL = 1_000
 LEAF_ROWS = 8_000
@@ -166,9 +166,10 @@ def _leaf(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"])
 
 
-def links(distinct: DataFrame, leaf_goal: int = LEAF_GOAL, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE) -> DataFrame:
+def links(distinct: DataFrame, leaf_goal: int = LEAF_GOAL, leaf_rows: int = LEAF_ROWS, sample: int | None = None) -> DataFrame:
     """a, b: links that join all fingerprints (column fp, distinct) within RADIUS bits, over any number of steps."""
     total = distinct.count()
+    sample = min(MOST_SAMPLE, max(SAMPLE, total // SAMPLE_SHARE)) if sample is None else sample
     share = min(1.0, sample / max(1, total))
     drawn = np.array([r["fp"] for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64)
     depth = max(0, int(np.ceil(np.log2(max(1, total / leaf_goal)))))

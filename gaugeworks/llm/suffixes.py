@@ -428,28 +428,28 @@ def _results(with_text: bool, n_buckets: int):
                 for i in batch.column("copies")[row].as_py() or []:
                     gone[ends[i - 1] if i else 0 : ends[i]] = True
                 rest = pa.ipc.open_stream(batch.column("rest")[row].as_buffer()).read_all().combine_chunks()
-                out: dict[str, list] = {"_n_bytes": [], "_n_removed": [], "_n_spans": [], "_kept": []}
+                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
                 begin = 0
                 for end in ends.tolist():
                     g, r = gone[begin:end], raw[begin:end]
-                    out["_n_bytes"].append(end - begin)
-                    out["_n_removed"].append(int(g.sum()))
-                    out["_n_spans"].append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
+                    out["n_bytes"].append(end - begin)
+                    out["n_removed"].append(int(g.sum()))
+                    out["n_spans"].append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
                     if with_text:
-                        out["_kept"].append(r[~whole_characters(r, g)].tobytes().decode("utf-8", "replace"))
+                        out["kept"].append(r[~whole_characters(r, g)].tobytes().decode("utf-8", "replace"))
                     else:
-                        out["_kept"].append(hashlib.sha256(r[~g].tobytes()).hexdigest())
+                        out["kept"].append(hashlib.sha256(r[~g].tobytes()).hexdigest())
                     begin = end
-                table = pa.table([*rest.columns, *(pa.array(v, pa.string() if k == "_kept" else pa.int64()) for k, v in out.items())], names=["row", *out])
+                table = pa.table([*rest.columns, *(pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items())], names=["row", *out])
                 yield from table.to_batches()
 
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = UNIT_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """One row per row of docs: all its columns but text, and _n_bytes, _n_removed, _n_spans, _kept.
+    """One row per row of docs: row (a struct of all its columns but text, of any names), n_bytes, n_removed, n_spans, kept.
 
-    _kept is the SHA-256 of the remaining bytes or, with_text, the remaining text; there a character stays
+    kept is the SHA-256 of the remaining bytes or, with_text, the remaining text; there a character stays
     whole unless all its bytes go.  Null and empty texts are 0 bytes; texts under LENGTH bytes never
     match.  Rows of one doc_id don't count against each other, so of repeated rows all or none lose a
     byte.  Rows of null doc_id neither lose bytes nor count.  An empty table gives no rows."""
@@ -478,11 +478,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
 
     hits_of = hits.groupBy("unit").agg(F.collect_list(F.struct("numbers", "bits")).alias("hits"))
     full = units.hint("shuffle_merge").join(copies, "unit", "left").join(by_unit.hint("shuffle_merge"), "unit", "left").join(hits_of.hint("shuffle_merge"), "unit", "left")
-    numbers = [T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *numbers, T.StructField("_kept", T.StringType())])
-    return full.mapInArrow(_results(with_text, rounds), schema).select("row.*", *(c for c in schema.names if c != "row"))
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *numbers, T.StructField("kept", T.StringType())])
+    return full.mapInArrow(_results(with_text, rounds), schema)
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """docs, in its own columns, with the repeats cut out of the texts (and n_chars, where docs has it, counted anew)."""
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return remove_repeats(docs, with_text=True).select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept").alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))

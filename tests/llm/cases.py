@@ -38,4 +38,4 @@ def awkward(df):
     """With more columns, of names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    return df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("unit", "row", "fp", "size", "n_words", "bin", "_kept_", "a.b", "stratum"))))
+    return df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("unit", "row", "fp", "size", "n_words", "bin", "_kept", "_again", "_first", "_wave", "_shard", "_n_bytes", "part", "doc", "key", "a.b", "stratum"))))

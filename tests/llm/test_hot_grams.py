@@ -23,7 +23,7 @@ def around(n=60):
 def test_repeats_with_hot_grams(spark, hot):
     rows = documents() + around()
     got = suffixes.remove_repeats(frame(spark, rows).repartition(3), unit_bytes=400, hot_windows=hot).collect()
-    assert Counter((r.doc_id, r._n_bytes, r._n_removed, r._n_spans, r._kept) for r in got) == Counter(brute_repeats(rows))
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == Counter(brute_repeats(rows))
 
 
 def test_no_bucket_takes_a_whole_gram():

@@ -269,15 +269,18 @@ def brute_repeats(rows):
 def test_repeats(spark, unit, parts):
     rows = documents()
     got = suffixes.remove_repeats(awkward(frame(spark, rows)).repartition(parts), unit_bytes=unit).collect()
-    assert Counter((r.doc_id, r._n_bytes, r._n_removed, r._n_spans, r._kept) for r in got) == Counter(brute_repeats(rows))
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == Counter(brute_repeats(rows))
 
 
 def test_repeats_as_text_keep_characters_whole(spark):
     rows = documents()
     df = awkward(frame(spark, rows))
     got = suffixes.remove_repeats(df, with_text=True)
-    assert got.columns == [c for c in df.columns if c != "text"] + ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
-    assert all("�" not in r._kept for r in got.collect())
+    assert got.columns == ["row", "n_bytes", "n_removed", "n_spans", "kept"] and got.select("row.*").columns == [c for c in df.columns if c != "text"]
+    assert all("�" not in r.kept for r in got.collect())
+    clashing = df.selectExpr("*", "1 as _kept", "2 as kept", "3 as _n_bytes", "4 as n_removed", "5 as doc_ids")
+    cut = suffixes.cut_texts(clashing)
+    assert cut.columns == clashing.columns and Counter(r.text for r in cut.collect()) == Counter(r.kept for r in got.collect())
     raw, gone = np.frombuffer("aéb".encode(), np.uint8), np.array([False, False, True, True])
     assert suffixes.whole_characters(raw, gone).tolist() == [False, False, False, True]
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
