@@ -51,7 +51,7 @@ def edited(seed=5):
 @pytest.mark.parametrize("part", [1 << 20, 300])
 def test_stage_keeps_one_of_each_component(spark, part):
     rows = edited()
-    df = awkward(frame(spark, rows)).selectExpr("*", "1 as part", "'x' as doc", "2 as _first", "3 as _again", "4 as _key", "5 as component")
+    df = awkward(frame(spark, rows)).selectExpr("*", "5 as component", "6 as piece", "7 as node")
     kept = jaccard.representatives(df, part)
     assert kept.columns == df.columns
     got = kept.collect()

@@ -278,7 +278,7 @@ def test_repeats_as_text_keep_characters_whole(spark):
     got = suffixes.remove_repeats(df, with_text=True)
     assert got.columns == ["row", "n_bytes", "n_removed", "n_spans", "kept"] and got.select("row.*").columns == [c for c in df.columns if c != "text"]
     assert all("�" not in r.kept for r in got.collect())
-    clashing = df.selectExpr("*", "1 as _kept", "2 as kept", "3 as _n_bytes", "4 as n_removed", "5 as doc_ids")
+    clashing = df.selectExpr("*", "2 as kept", "4 as n_removed", "5 as doc_ids")
     cut = suffixes.cut_texts(clashing)
     assert cut.columns == clashing.columns and Counter(r.text for r in cut.collect()) == Counter(r.kept for r in got.collect())
     raw, gone = np.frombuffer("aéb".encode(), np.uint8), np.array([False, False, True, True])
@@ -380,7 +380,7 @@ def rows_of(df, columns):
 def test_shard_store(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=200_000)
     rows = documents()
-    df = awkward(frame(spark, rows)).selectExpr("*", "1 as _wave", "2 as _shard", "3 as shard", "4 as file", "5 as folder").repartition(3)
+    df = awkward(frame(spark, rows)).selectExpr("*", "3 as shard", "4 as file", "5 as folder").repartition(3)
     assert store.version() == 0 and store.compact() == 0
     for _ in range(3):
         store.append(df)
