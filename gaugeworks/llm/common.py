@@ -68,6 +68,27 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def recorded():
+    """Collects what is written to the shared folder inside the block; give it to release() once what reads it is written."""
+    held: list[tuple[SparkSession, str]] = []
+    tables, paths = len(_tables), len(_scratch)
+    yield held
+    held += [*_tables[tables:], *_scratch[paths:]]
+
+
+def release(held: list[tuple[SparkSession, str]]) -> None:
+    """Drop these tables and delete these folders now."""
+    while held:
+        entry = held.pop()
+        for every in (_tables, _scratch):
+            if entry in every:
+                every.remove(entry)
+                if entry[0].sparkContext._jsc is None:  # stopped: its owner cleans the folder
+                    continue
+                entry[0].sql(f"DROP TABLE IF EXISTS {entry[1]}") if every is _tables else delete(*entry)
+
+
 def clean_scratch() -> None:
     """Delete the scratch tables written so far; call it once what reads them is written."""
     while _tables:
