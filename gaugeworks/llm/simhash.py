@@ -147,15 +147,25 @@ def _placed(trees: tuple[Tree, Tree]):
 
 
 def _close(fp: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) of rows that pairs within RADIUS join, one of each pair below `own`: each row to the smallest it is joined with."""
-    root = np.arange(len(fp))
+    """Row numbers (i, j) of pairs within RADIUS; i below `own`, j > i: a spanning forest of the rows that all such pairs make.
+
+    Of pairs between parts that aren't joined yet, each part takes one to a part of a smaller row, and parts are
+    joined, until none is left."""
+    root, out = np.arange(len(fp)), [np.zeros((2, 0), np.int64)]
     step = max(1, (1 << 22) // max(1, len(fp)))
     for at in range(0, own, step):
         rows = np.arange(at, min(at + step, own))
         i, j = np.nonzero((bits(fp[rows, None] ^ fp[None, at:]) <= RADIUS) & (root[rows, None] != root[None, at:]))
-        root = components.labels(root[i + at], root[j + at], len(fp))[root]
-    more = np.flatnonzero(root != np.arange(len(fp)))
-    return more, root[more]
+        i, j = np.minimum(i, j) + at, np.maximum(i, j) + at
+        while len(i):
+            p, q = root[i], root[j]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            out.append(np.stack([i[first], j[first]]))
+            root = components.labels(high, np.minimum(p, q)[first], len(fp))[root]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+    pairs = np.concatenate(out, axis=1)
+    return pairs[0], pairs[1]
 
 
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
