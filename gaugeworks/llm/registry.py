@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, quality, shards, simhash, suffixes, token_counts, token_files
+from . import chat, lexical, media, merkle, mixing, packing, quality, shards, simhash, suffixes, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing_sources": mixing.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
+    "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_ranked_lexical_search": lexical.oracle_sql(),
 }
