@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lexical, media, merkle, mixing, packing, quality, shards, simhash, suffixes, token_counts, token_files
+from . import chat, lexical, media, merkle, mixing, packing, quality, shards, simhash, suffixes, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing_sources": mixing.oracle_sql(),
