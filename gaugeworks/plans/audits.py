@@ -15,18 +15,25 @@ def _sql(body: str, more: str = "") -> str:
     return f"with {V.HISTORY}{more}\n{body}"
 
 
+# The rules as they are stated, by pairs: what was compared (n), what broke the guarantee (m).
 RYW = """,
-ryw0 as (select *, max(case when status = 'ok' and op = 'write' then {'v': version, 'n': -idx} end) over (partition by history_id, client, key order by idx rows between unbounded preceding and 1 preceding) as w from history),
-ryw as (select history_id, min({'idx': idx, 'other': -w.n}) as m from ryw0 where status = 'ok' and op = 'read' and version < w.v group by 1)"""
+ryw0 as (
+  select r.history_id, r.idx, r.version, arg_max({'v': w.version, 'i': w.idx}, {'v': w.version, 'n': -w.idx}) as w
+  from history r join history w on w.history_id = r.history_id and w.client = r.client and w.key = r.key and w.idx < r.idx
+  where r.op = 'read' and w.op = 'write' and r.status = 'ok' and w.status = 'ok' group by all),
+ryw as (select history_id, min({'idx': idx, 'other': w.i}) filter (version < w.v) as m, count(*) > 0 as complete from ryw0 group by 1)"""
 MR = """,
-mr0 as (select *, lag({'v': version, 'i': idx}) over (partition by history_id, client, key order by idx) as p from history where status = 'ok' and op = 'read'),
-mr as (select history_id, min({'idx': idx, 'other': p.i}) as m from mr0 where version < p.v group by 1)"""
-VERDICT = """select h.history_id, case when v.m is not null then 'VIOLATION' when h.failed then 'INCONCLUSIVE' else 'PASS' end as status, {witness} as witness{more}
-from (select history_id, bool_or(status <> 'ok') as failed from history{where} group by 1) h left join {name} v using (history_id)"""
+mr0 as (
+  select r.history_id, r.idx, r.version, arg_max({'v': p.version, 'i': p.idx}, p.idx) as p
+  from history r join history p on p.history_id = r.history_id and p.client = r.client and p.key = r.key and p.idx < r.idx
+  where r.op = 'read' and p.op = 'read' and r.status = 'ok' and p.status = 'ok' group by all),
+mr as (select history_id, min({'idx': idx, 'other': p.i}) filter (version < p.v) as m, count(*) > 0 as complete from mr0 group by 1)"""
+VERDICT = """select h.history_id, case when v.m is not null then 'VIOLATION' when h.failed or not coalesce(v.complete, false) then 'INCONCLUSIVE' else 'PASS' end as status, {witness} as witness{more}
+from (select history_id, bool_or(status <> 'ok' and op in ('write', 'read', 'dependency_probe', 'partition', 'stop')) as failed from {of}{where} group by 1) h left join {name} v using (history_id)"""
 
 
-def _verdict(name: str, witness: str = "case when v.m is not null then [v.m.other, v.m.idx] end", more: str = "", where: str = "") -> str:
-    return VERDICT.format(name=name, witness=witness, more=more, where=where)
+def _verdict(name: str, witness: str = "case when v.m is not null then [v.m.other, v.m.idx] end", more: str = "", where: str = "", of: str = "history") -> str:
+    return VERDICT.format(name=name, witness=witness, more=more, where=where, of=of)
 
 
 @query("chk_read_your_writes", _sql(_verdict("ryw"), RYW))
@@ -85,42 +92,62 @@ def jn_probe_candidate(spark, sf):
     return e.join(_probes(h, e), ["history_id", "effect_key", "effect_version", "effect_write_id"]).where("probe_idx > effect_idx").select("history_id", "probe_idx", "effect_idx", "cause_idx")
 
 
-PROBE_WITNESS = "case when v.m is not null then [v.m.c, v.m.e, v.m.p] end"
+def _obs(cause_op: str, evidence: str, body: str, more: str) -> str:
+    return f"with {V.observations_sql(cause_op, evidence)}{more}\n{body}"
 
 
-@query("chk_monotonic_writes_probe", _sql(_verdict("bad", PROBE_WITNESS), _cause("write", "c") + PROBES.format(name="c")))
+PROBED = """,
+shown as (
+  select c.history_id, c.e_idx, p.idx as p_idx, c.cause.idx as c_idx, p.cause_version < c.cause.version as old, p.cause_write_id is not distinct from c.cause.write_id as same
+  from cand c join obs p on p.history_id = c.history_id and p.op = 'dependency_probe' and p.status = 'ok' and p.node is not null and p.local_observation and p.control_id is not null
+   and p.idx > c.e_idx and p.key = c.e_key and p.version = c.e_version and p.write_id = c.e_write and p.cause_key = c.cause.key and p.cause_version is not null),
+bare as (select history_id, count(*) as n from cand c where not exists (select 1 from shown s where s.history_id = c.history_id and s.e_idx = c.e_idx and s.same and not s.old) group by 1),
+res as (
+  select history_id, (select min({'p': p_idx, 'e': e_idx, 'c': c_idx}) from shown s where s.history_id = x.history_id and s.old) as m, bare.n is null as complete
+  from (select distinct history_id from cand) x left join bare using (history_id))"""
+PROBE_WITNESS = "case when v.m is not null then [v.m.c, v.m.e, v.m.p] end"
+ORDERED = """,
+ws as (select history_id, write_id, arg_max({'client': client, 'seq': seq, 'idx': idx}, idx) as w from obs where op = 'write' and status = 'ok' and seq is not null group by all),
+au as (select history_id, idx as audit, unnest(ord) as write_id, generate_subscripts(ord, 1) as pos from obs where op = 'audit_order' and status = 'ok' and evidence_source = 'synthetic_application_order'),
+sh as (select au.*, w from au join ws using (history_id, write_id)),
+wn as (select history_id, count(*) as n from ws group by 1),
+good as (select history_id, audit from sh join wn using (history_id) group by history_id, audit, n having n >= 2 and count(distinct write_id) = n),
+st as (select *, lag(w) over (partition by history_id, audit, w.client order by pos) as p from sh semi join good using (history_id, audit)),
+res as (select history_id, min({'a': audit, 'o': pos, 'b': p.idx, 'c': w.idx}) filter (w.seq < p.seq) as m, true as complete from st group by 1)"""
+OBSERVED = """,
+rd as (select * from obs where op = 'read' and status = 'ok' and mock is not null),
+late as (
+  select c.history_id, c.e_idx, c.cause.idx as c_idx, s.idx as s_idx, l.idx as l_idx, l.version < c.cause.version as old
+  from cand c join rd s on s.history_id = c.history_id and s.idx > c.e_idx and s.key = c.e_key and s.version = c.e_version
+  join rd l on l.history_id = c.history_id and l.idx > s.idx and l.client = s.client and l.node = s.node and l.key = c.cause.key),
+bare as (select history_id, count(*) as n from cand c where not exists (select 1 from late s where s.history_id = c.history_id and s.e_idx = c.e_idx) group by 1),
+res as (
+  select history_id, (select min({'e': e_idx, 's': s_idx, 'l': l_idx, 'c': c_idx}) from late s where s.history_id = x.history_id and s.old) as m, bare.n is null as complete
+  from (select distinct history_id from cand) x left join bare using (history_id))"""
+
+
+@query("chk_monotonic_writes_probe", _obs("write", "probe", _verdict("res", PROBE_WITNESS, of="obs"), PROBED))
 def chk_monotonic_writes_probe(spark, sf):
-    h = V.history(spark, sf)
-    e = A.last_cause(h, "write")
-    return A.verdict(h, A.probe_violations(e, _probes(h, e)))
+    h = scratch.table(V.observations(spark, sf, "write", "probe"), "observations")
+    return A.verdict(h, A.probes_of(h, A.dependencies(h, "write")))
 
 
-@query("chk_writes_follow_reads_probe", _sql(_verdict("bad", PROBE_WITNESS), _cause("read", "c") + PROBES.format(name="c")))
+@query("chk_writes_follow_reads_probe", _obs("read", "probe", _verdict("res", PROBE_WITNESS, of="obs"), PROBED))
 def chk_writes_follow_reads_probe(spark, sf):
-    h = V.history(spark, sf)
-    e = A.last_cause(h, "read")
-    return A.verdict(h, A.probe_violations(e, _probes(h, e)))
+    h = scratch.table(V.observations(spark, sf, "read", "probe"), "observations")
+    return A.verdict(h, A.probes_of(h, A.dependencies(h, "read")))
 
 
-@query("chk_monotonic_writes_order", _sql(_verdict("bad"), """,
-applied as (select history_id, client, 'N1' as node, idx as seq, row_number() over (partition by history_id order by idx - case when k % 10 = 3 then 3 else 0 end, idx) - 1 as position from history where status = 'ok' and op = 'write'),
-bad as (select history_id, min({'idx': position, 'other': p.i}) as m from (select *, lag({'s': seq, 'i': position}) over (partition by history_id, node, client order by position) as p from applied) where seq < p.s group by 1)"""))
+@query("chk_monotonic_writes_order", _obs("write", "order", _verdict("res", "case when v.m is not null then [v.m.b, v.m.c, v.m.a] end", of="obs"), ORDERED))
 def chk_monotonic_writes_order(spark, sf):
-    h = V.history(spark, sf)
-    shown = F.col("idx") - F.when(F.col("k") % 10 == 3, 3).otherwise(0)
-    w = Window.partitionBy("history_id").orderBy(shown, "idx")
-    applied = h.where(A.ok() & (F.col("op") == "write")).select("history_id", "client", F.lit("N1").alias("node"), F.col("idx").alias("seq"), (F.row_number().over(w) - 1).cast("long").alias("position"))
-    return A.verdict(h, A.applied_order_violations(applied))
+    h = scratch.table(V.observations(spark, sf, "write", "order"), "observations")
+    return A.verdict(h, A.monotonic_writes(h))
 
 
-@query("chk_writes_follow_reads_observer", _sql(_verdict("bad", "case when v.m is not null then [v.m.c, v.m.e, v.m.s, v.m.l] end"), _cause("read", "c") + """,
-reads as (select * from history where status = 'ok' and op = 'read'),
-bad as (select e.history_id, min({'s': s.idx, 'l': l.idx, 'e': effect_idx, 'c': cause_idx}) as m from c e
-  join reads s on s.history_id = e.history_id and s.key = e.effect_key and s.version >= e.effect_version and s.idx > e.effect_idx
-  join reads l on l.history_id = e.history_id and l.client = s.client and l.key = e.cause_key and l.idx > s.idx and l.version < e.cause_version group by 1)""".replace("s.version >= e.effect_version", "s.version = e.effect_version")))
+@query("chk_writes_follow_reads_observer", _obs("read", "mock", _verdict("res", "case when v.m is not null then [v.m.c, v.m.e, v.m.s, v.m.l] end", of="obs"), OBSERVED))
 def chk_writes_follow_reads_observer(spark, sf):
-    h = V.history(spark, sf)
-    return A.verdict(h, A.observer_violations(A.last_cause(h, "read"), h.where(A.ok() & (F.col("op") == "read"))))
+    h = scratch.table(V.observations(spark, sf, "read", "mock"), "observations")
+    return A.verdict(h, A.writes_follow_reads(h))
 
 
 @query("chk_verdict", _sql("select status, count(*) as n from (" + _verdict("ryw") + ") group by 1", RYW))

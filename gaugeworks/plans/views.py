@@ -133,6 +133,75 @@ h1 as (
 history as (select *, case when op = 'read' and k % 10 = 0 then greatest(idx - 6, 0) else idx end as version from h1)"""
 
 
+def observations(spark: SparkSession, sf_dir: str, cause_op: str, evidence: str) -> DataFrame:
+    """history with what its guarantees are judged by.  Writes with k % 3 = 0 say that they depend on their client's last earlier
+    ok operation of a kind (some by an id that no operation has).  evidence: `probe`, a local probe after the end for most dependent
+    writes, some failed, remote, too old or of another cause; `order`, an order of application for each history, some of them
+    without all writes or from another source; `mock`, synthetic observers that read most dependent writes and then their causes."""
+    h = history(spark, sf_dir)
+    before = Window.partitionBy("history_id", "client").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    is_ok, k = F.col("status") == "ok", F.col("k")
+    cause = F.last(F.when(is_ok & (F.col("op") == cause_op), F.struct(F.col("key").alias("key"), F.col("version").alias("min_version"), F.col("write_id").alias("write_id"))), ignorenulls=True).over(before)
+    named = F.struct(F.col("c.key").alias("key"), F.col("c.min_version").alias("min_version"), F.when(k % 13 == 6, "unseen").when(k % 2 == 0, F.col("c.write_id")).alias("write_id"))
+    h = h.withColumn("c", cause).withColumn("depends_on", F.when((F.col("op") == "write") & is_ok & (k % 3 == 0) & F.col("c").isNotNull(), named))
+    h = h.withColumn("node", F.concat(F.lit("N"), (k % 2).cast("string"))).withColumn("seq", F.col("idx").cast("long"))
+    if evidence == "mock":
+        d = h.where("depends_on is not null and k % 5 <> 4").withColumn("late", F.explode(F.array(F.lit(0), F.lit(1)))).where("late = 0 or k % 11 <> 5")
+        late = F.col("late") == 1
+        d = d.select(
+            "history_id", (1000 + 2 * F.col("idx") + F.col("late")).alias("idx"), F.lit("read").alias("op"), F.when(k % 17 == 3, "timeout").otherwise("ok").alias("status"), F.concat(F.lit("O"), (F.col("idx") % 3).cast("string")).alias("client"),
+            F.when(late & (k % 19 == 7), "N2").otherwise("N1").alias("node"), F.when(late, F.col("c.key")).otherwise(F.col("key")).alias("key"),
+            F.when(late, F.col("c.min_version") - (k % 7 == 0).cast("int")).otherwise(F.col("version")).alias("version"), F.when(k % 23 != 5, True).alias("mock"))
+        h = h.unionByName(d, allowMissingColumns=True)
+    if evidence == "probe":
+        p = h.where("depends_on is not null and k % 5 <> 4").select(
+            "history_id", (F.col("idx") + 1000).alias("idx"), F.lit("dependency_probe").alias("op"), F.when(k % 17 == 3, "timeout").otherwise("ok").alias("status"), F.when(k % 19 != 7, "N1").alias("node"),
+            "key", "version", "write_id", (k % 23 != 5).alias("local_observation"), F.lit("1").alias("control_id"), F.col("c.key").alias("cause_key"),
+            (F.col("c.min_version") - (k % 7 == 0).cast("int")).alias("cause_version"), F.when(k % 11 == 5, "other").otherwise(F.col("c.write_id")).alias("cause_write_id"))
+        h = h.unionByName(p, allowMissingColumns=True)
+    if evidence == "order":
+        user = F.split("history_id", "-")[0].cast("long")
+        shown = F.struct((F.col("idx") - F.when(k % 10 == 3, 3).otherwise(0)).alias("at"), "idx", "write_id")
+        lists = h.where(is_ok & (F.col("op") == "write")).where((user % 5 != 2) | (k % 9 != 4)).groupBy("history_id").agg(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["write_id"]).alias("order"))
+        h = h.unionByName(lists.select("history_id", F.lit(100000).alias("idx"), F.lit("audit_order").alias("op"), F.lit("ok").alias("status"), "order", F.when(user % 7 == 4, "sorted_table").otherwise("synthetic_application_order").alias("evidence_source")), allowMissingColumns=True)
+    return h.drop("c")
+
+
+def observations_sql(cause_op: str, evidence: str) -> str:
+    """Common table expressions up to obs."""
+    more = {
+        "probe": """
+  union all by name
+  select history_id, idx + 1000 as idx, 'dependency_probe' as op, case when k % 17 = 3 then 'timeout' else 'ok' end as status, case when k % 19 <> 7 then 'N1' end as node, key, version, write_id,
+         k % 23 <> 5 as local_observation, '1' as control_id, c.key as cause_key, c.version - cast(k % 7 = 0 as integer) as cause_version, case when k % 11 = 5 then 'other' else c.write_id end as cause_write_id
+  from o1 where dep and k % 5 <> 4""",
+        "order": """
+  union all by name
+  select history_id, 100000 as idx, 'audit_order' as op, 'ok' as status, list(write_id order by idx - case when k % 10 = 3 then 3 else 0 end, idx) as ord,
+         case when cast(split_part(history_id, '-', 1) as bigint) % 7 = 4 then 'sorted_table' else 'synthetic_application_order' end as evidence_source
+  from o1 where status = 'ok' and op = 'write' and (cast(split_part(history_id, '-', 1) as bigint) % 5 <> 2 or k % 9 <> 4) group by history_id""",
+        "mock": """
+  union all by name
+  select history_id, 1000 + 2 * idx + late as idx, 'read' as op, case when k % 17 = 3 then 'timeout' else 'ok' end as status, 'O' || cast(idx % 3 as varchar) as client,
+         case when late = 1 and k % 19 = 7 then 'N2' else 'N1' end as node, case when late = 1 then c.key else key end as key,
+         case when late = 1 then c.version - cast(k % 7 = 0 as integer) else version end as version, case when k % 23 <> 5 then true end as mock
+  from o1, (values (0), (1)) t(late) where dep and k % 5 <> 4 and (late = 0 or k % 11 <> 5)""",
+    }[evidence]
+    return HISTORY + f""",
+o0 as (select *, last_value(case when status = 'ok' and op = '{cause_op}' then {{'key': key, 'version': version, 'write_id': write_id}} end ignore nulls) over (partition by history_id, client order by idx rows between unbounded preceding and 1 preceding) as c from history),
+o1 as (select *, op = 'write' and status = 'ok' and k % 3 = 0 and c is not null as dep from o0),
+obs as (
+  select history_id, idx, k, op, status, client, key, version, write_id, 'N' || cast(k % 2 as varchar) as node, idx as seq,
+         null::boolean as mock,
+         dep, case when dep then c.key end as dep_key, case when dep then c.version end as dep_version, case when dep and k % 13 = 6 then 'unseen' when dep and k % 2 = 0 then c.write_id end as dep_write,
+         null::boolean as local_observation, null::varchar as control_id, null::varchar as cause_key, null::integer as cause_version, null::varchar as cause_write_id, null::varchar[] as ord, null::varchar as evidence_source
+  from o1{more}),
+cand as (
+  select e.history_id, e.idx as e_idx, e.key as e_key, e.version as e_version, e.write_id as e_write, arg_max(p, p.idx) as cause
+  from obs e join obs p on p.history_id = e.history_id and p.idx < e.idx and p.op = '{cause_op}' and p.status = 'ok' and p.client = e.client and p.key = e.dep_key and p.version = e.dep_version and (coalesce(e.dep_write, '') = '' or e.dep_write = p.write_id)
+  where e.dep group by all)"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem a benchmark run: the trials of each position, backend, split depth, core count and job."""
     li = table(spark, sf_dir, "lineitem")

@@ -76,42 +76,6 @@ def test_repeats_and_stuck_days(spark):
     assert [(r.station_id, r.first_day, r.last_day, r.n_days) for r in R.repeats(d, t).collect()] == [("a", 1, 3, 2)]
 
 
-def read_your_writes(events):
-    """The rule as it reads: the largest earlier ok write, the first of equals."""
-    best = {}
-    for idx, client, op, status, key, version in events:
-        if status != "ok":
-            continue
-        at = best.get((client, key))
-        if op == "read" and at and version < at[0]:
-            return [at[1], idx]
-        if op == "write" and (at is None or version > at[0]):
-            best[client, key] = (version, idx)
-    return None
-
-
-def monotonic_reads(events):
-    last = {}
-    for idx, client, op, status, key, version in events:
-        if status == "ok" and op == "read":
-            if (client, key) in last and version < last[client, key][0]:
-                return [last[client, key][1], idx]
-            last[client, key] = (version, idx)
-    return None
-
-
-def test_checks_on_random_histories(spark):
-    rnd = random.Random(11)
-    histories = {f"h{h}": [(i, rnd.choice("ab"), rnd.choice(["read", "write"]), rnd.choice(["ok", "ok", "ok", "timeout"]), rnd.choice("xy"), rnd.randint(0, 4)) for i in range(rnd.randint(0, 12))] for h in range(150)}
-    rows = [(h, *e) for h, es in histories.items() for e in es]
-    df = spark.createDataFrame(rows, "history_id string, idx int, client string, op string, status string, key string, version int").cache()
-    for rule, check in ((read_your_writes, A.read_your_writes), (monotonic_reads, A.monotonic_reads)):
-        got = {r.history_id: r.witness for r in check(df).collect()}
-        assert got == {h: w for h, es in histories.items() if (w := rule(es))}
-        status = {r.history_id: r.status for r in A.verdict(df, check(df)).collect()}
-        assert status == {h: "VIOLATION" if rule(es) else "INCONCLUSIVE" if any(e[3] != "ok" for e in es) else "PASS" for h, es in histories.items() if es}
-
-
 def test_unknown_property_is_an_error(spark):
     df = spark.createDataFrame([("h", 0, "a", "read", "ok", "x", 1)], "history_id string, idx int, client string, op string, status string, key string, version int")
     with pytest.raises(Exception, match="unknown property"):
