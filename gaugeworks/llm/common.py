@@ -89,6 +89,13 @@ def release(held: list[tuple[SparkSession, str]]) -> None:
                 entry[0].sql(f"DROP TABLE IF EXISTS {entry[1]}") if every is _tables else delete(*entry)
 
 
+def unread(held: list[tuple[SparkSession, str]], out: DataFrame) -> list[tuple[SparkSession, str]]:
+    """Of what was written, what out's plan doesn't read (by the folders' names, which no other folder has)."""
+    read = {part for f in out.inputFiles() for part in f.split("/")[-4:-1]}
+    marks = {m.rsplit("-", 1)[-1] for m in read}
+    return [e for e in held if e[1].rsplit("-", 1)[-1].rsplit("_", 1)[-1] not in marks]
+
+
 def clean_scratch() -> None:
     """Delete the scratch tables written so far; call it once what reads them is written."""
     while _tables:

@@ -1,6 +1,7 @@
 """Mixing sources to target weights (operator 8), in DataFrame functions only.
 
-Every source is one stream of words, cut into blocks of a fixed length.  The mix is a number of output
+Every source is one stream of words, cut into blocks of a fixed length: 32 words, doubled up to 256 while the source
+still has 16,384 blocks, and from there on as far as its blocks stay below 2^31, whatever its size.  The mix is a number of output
 shards of SHARD_SLOTS slots.  Each slot draws its source by a seeded hash of its number, so a shard's
 source counts are multinomial.  Counts are then corrected along the shards so that each source's total
 is exact: its cumulative count is scaled to the total and rounded down, which moves a shard by a slot
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Words of a block.  Block numbers of a source stay below 2^31 (checked); use longer blocks for larger sources.
+#: Words of the shortest blocks.
 BLOCK_WORDS = 32
+#: A source's blocks are doubled while they are more than 2^14, three times at most, and beyond that while they are more than 2^30.
+DOUBLED = (*range(14, 17), *range(33, 63))
 #: Slots of an output shard.
 SHARD_SLOTS = 1024
 WEIGHTS = (3, 1, 2)
@@ -146,31 +149,37 @@ def slots(sources: DataFrame) -> DataFrame:
     return k.hint("shuffle_merge").join(both, ["source_no", "k"])
 
 
+def _sources(sizes: DataFrame, block_words: int) -> DataFrame:
+    """_targets with length (words of the source's blocks), n_blocks, n_slots, and the slots `earlier` of sources before it."""
+    whole = lambda n, d: F.expr(f"({n} + {d} - 1) div ({d})")
+    s = _targets(sizes).withColumn("shortest", whole("source_size", block_words))
+    doubled = sum((F.col("shortest") > F.lit(1 << i)).cast("int") for i in DOUBLED)
+    s = s.withColumn("length", F.lit(block_words).cast("long") * F.pow(F.lit(2), doubled).cast("long")).withColumn("n_blocks", whole("source_size", "length")).drop("shortest")
+    wanted = F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast("long"), 2 * F.col("n_blocks"))
+    earlier = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("n_slots", wanted).withColumn("earlier", F.coalesce(F.sum("n_slots").over(earlier), F.lit(0)))
+
+
 def drawn(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: row, doc_id, size, source_no, source_size, target; sources; blocks of documents: row, source_no, block, size,
     first and last word that they take from the document (from 0))."""
     count = sizes.count()
-    named = _targets(sizes)
-    blocks = F.ceil(F.col("source_size") / block_words)
-    wanted = F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast("long"), 2 * F.col("n_blocks"))
-    named = named.withColumn("n_blocks", F.when(blocks < 2**31, blocks).otherwise(F.raise_error(F.lit("a source has 2^31 blocks; use longer blocks"))).cast("long")).withColumn("n_slots", wanted)
-    named = named.withColumn("earlier", F.coalesce(F.sum("n_slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sources = common.write_table(named, "mix-sources")  # a row per source
+    sources = common.write_table(_sources(sizes, block_words), "mix-sources")  # a row per source
     # written small, so that Spark knows that it can send it along
-    d = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "source_no", "source_size", "target")
+    d = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "source_no", "source_size", "target", "length")
 
     # where a document starts in its source's stream: summed within stretches, then over stretches; empty ones are nowhere
     stretches = max(1, -(-count // STRETCH_ROWS))
     own = F.coalesce(F.pmod("doc_id", F.lit(PRIME)), F.pmod("row", F.lit(PRIME)))
-    cut = d.where("size > 0").select("row", "doc_id", "size", "source_no", (hashed(own + F.col("size")) % stretches).alias("stretch"))
+    cut = d.where("size > 0").select("row", "doc_id", "size", "source_no", "length", (hashed(own + F.col("size")) % stretches).alias("stretch"))
     lengths = _running(cut.groupBy("source_no", "stretch").agg(F.sum("size").alias("n")), "stretch", "n").select("source_no", "stretch", "before")
     inside = Window.partitionBy("source_no", "stretch").orderBy(F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).hint("shuffle_merge").join(lengths, ["source_no", "stretch"])
-    placed = placed.select("row", "size", "source_no", (F.col("before") + F.col("inside")).alias("start"))
-    parts = placed.select("*", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
-    begin = F.greatest("start", F.col("block") * block_words) - F.col("start")
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start")
-    return d, sources, parts.select("row", "source_no", "block", "size", begin.alias("begin"), end.alias("end"))
+    placed = placed.select("row", "size", "source_no", "length", (F.col("before") + F.col("inside")).alias("start"))
+    parts = placed.select("*", F.explode(F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))).alias("block"))
+    begin = F.greatest("start", F.col("block") * F.col("length")) - F.col("start")
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.col("start")
+    return d.drop("length"), sources, parts.select("row", "source_no", "block", "size", begin.alias("begin"), end.alias("end"))
 
 
 def blocks_of_mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -221,6 +230,7 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql(block_words: int = BLOCK_WORDS) -> str:
     h = lambda x: f"((({x}) * {TIMES[0]} + {SEED}) % {PRIME} * {TIMES[1]} + {SEED}) % {OTHER} * {TIMES[2]} % {PRIME}"
+    doubled = " + ".join(f"cast(shortest > {1 << i} as integer)" for i in DOUBLED)
     return f"""
 with d as (select row_number() over () as row, doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
 s0 as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as source_no from d group by source),
@@ -228,8 +238,9 @@ s1 as (select *, [3, 1, 2][source_no % 3 + 1] as weight, source_size * {MOST} as
 s2 as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source_no rows between unbounded preceding and 1 preceding), 0))
               / ((select sum(weight) from s1) - coalesce(sum(weight) over (order by cap / weight, source_no rows between unbounded preceding and 1 preceding), 0)) as level from s1),
 s3 as (select *, first_value(case when level * weight < cap then level end ignore nulls) over (order by cap / weight, source_no rows between unbounded preceding and current row) as lvl from s2),
-s4 as (select source, source_no, cast(source_size as bigint) as source_size, coalesce(lvl * weight, cast(cap as double)) as target, cast(ceil(source_size / {block_words}) as bigint) as n_blocks from s3),
-s5 as (select *, least(cast(round(target * n_blocks / greatest(source_size, 1)) as bigint), 2 * n_blocks) as n_slots from s4),
+s4 as (select source, source_no, cast(source_size as bigint) as source_size, coalesce(lvl * weight, cast(cap as double)) as target, {block_words} * cast(2 ** ({doubled}) as bigint) as length from (select *, (cast(source_size as bigint) + {block_words} - 1) // {block_words} as shortest from s3)),
+s4b as (select *, (source_size + length - 1) // length as n_blocks from s4),
+s5 as (select *, least(cast(round(target * n_blocks / greatest(source_size, 1)) as bigint), 2 * n_blocks) as n_slots from s4b),
 s as materialized (select *, cast(coalesce(sum(n_slots) over (order by source_no rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier, cast(sum(n_slots) over () as bigint) as slots from s5),
 t as (select unnest(range(0, (select max(slots) from s))) as t),
 y as (select t, {h(f'(t % {PRIME} + t // {PRIME} * 7919) % {PRIME}')} as y from t),
@@ -244,9 +255,9 @@ b1 as (select *, {h(f"(block + {h('source_no')}) % {PRIME}")} as y from b0),
 b2 as (select source_no, n_blocks, n_slots, block, row_number() over (partition by source_no order by {h(f"y * y % {PRIME}")}, block) - 1 as place from b1),
 b3 as (select source_no, n_slots, block, unnest([place, 2 * n_blocks - 1 - place]) as k from b2),
 b as (select b3.source_no, block, count(*) as times, min(shard) as a, max(shard) as z from b3 join k on k.source_no = b3.source_no and k.k = b3.k where b3.k < n_slots group by 1, 2),
-e as (select d.*, s.source_no, s.source_size, s.target from d join s on d.source is not distinct from s.source),
+e as (select d.*, s.source_no, s.source_size, s.target, s.length from d join s on d.source is not distinct from s.source),
 st as (select *, ({h(f'coalesce((doc_id % {PRIME} + {PRIME}) % {PRIME}, row % {PRIME}) + size')}) % cast(greatest(1, ceil((select count(*) from d) / {STRETCH_ROWS}.0)) as bigint) as stretch from e where size > 0),
 a as (select *, cast(coalesce(sum(size) over (partition by source_no order by stretch, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start from st),
-p as (select row, size, source_no, start, unnest(range(start // {block_words}, (start + size - 1) // {block_words} + 1)) as block from a),
-x as (select row, sum((least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})) * times) as taken, min(a) as first_shard, max(z) as last_shard from p join b using (source_no, block) group by row)
+p as (select row, size, source_no, start, length, unnest(range(start // length, (start + size - 1) // length + 1)) as block from a),
+x as (select row, sum((least(start + size, (block + 1) * length) - greatest(start, block * length)) * times) as taken, min(a) as first_shard, max(z) as last_shard from p join b using (source_no, block) group by row)
 select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken, cast(first_shard as bigint) as first_shard, cast(last_shard as bigint) as last_shard from e left join x using (row)"""

@@ -64,7 +64,7 @@ def test_pipeline_stage_finds_edited_copies(spark):
     import corpus_pipeline
 
     rows = edited()
-    got = corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "").collect()
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
     assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == least_of_components(rows)
 
 

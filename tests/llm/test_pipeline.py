@@ -32,7 +32,7 @@ def outputs(spark, tmp_path_factory):
 
 def test_stages(outputs):
     _, columns, found = outputs
-    assert [f[0] for f in found] == ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "mixing_sources", "best_fit_packing"]
+    assert [f[0] for f in found] == ["quality_rules", "near_dedup", "suffix_array_dedup", "mixing_sources", "best_fit_packing"]
     assert all(f[3] == columns for f in found[:-1])
 
 
@@ -96,13 +96,23 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and "corpus_pipeline" in sys.modules
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
-@pytest.mark.parametrize("name", ["op8_mixing_sources", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op8_mixing_sources", "op10_quality_rules", "op11_merkle_manifest", "op12_ranked_lexical_search"])
 def test_queries_against_sql(spark, duck, name):
     from conftest import DATA, same
 
     from gaugeworks.llm import registry
 
     same(registry.QUERIES[name](spark, f"{DATA}/sf0.001"), duck.sql(registry.ORACLE_SQL[name]))
+
+
+def test_two_runs_in_a_session(spark, outputs):
+    """A run leaves alone what another one's result still reads."""
+    import corpus_pipeline
+
+    a, b = (corpus_pipeline.run(spark, outputs[0]) for _ in range(2))
+    first = sorted(map(str, a.collect()))
+    assert first == sorted(map(str, b.collect())) == sorted(map(str, a.collect()))
+    assert first

@@ -116,3 +116,14 @@ def test_empty_tables(spark):
     assert token_files.read(blocks, id_of).count() == 0
     blocks, held = token_counts.write(none, PATH)
     assert token_counts.count(blocks).count() == held.count() == 0
+
+
+def test_mixture_of_very_large_sources(spark):
+    """On sizes alone: a source of 10^13 words has fewer than 2^31 blocks, a small one has the shortest blocks."""
+    from gaugeworks.llm import mixing
+
+    sizes = spark.createDataFrame([(i, i, s, n) for i, (s, n) in enumerate([("a", 10**13), ("b", 3 * 10**9), ("b", 10**9), ("c", 40), (None, 0)])], "row long, doc_id long, source string, size long")
+    got = {r.source: r for r in mixing._sources(sizes, mixing.BLOCK_WORDS).collect()}
+    assert all(r.n_blocks == -(-r.source_size // r.length) and r.n_blocks <= 2**30 and r.n_slots <= 2 * r.n_blocks for r in got.values())
+    assert got["c"].length == mixing.BLOCK_WORDS and got["b"].length == 8 * mixing.BLOCK_WORDS and got["a"].length > got["b"].length
+    assert all(abs(r.n_slots * r.length - r.target) <= r.length for r in got.values() if r.source_size)
