@@ -80,12 +80,20 @@ def normal_cdf(z: Column) -> Column:
 
 
 def survival_at(grid: Sequence[float], survival: Column, r: Column) -> Column:
-    """P(Y > r) from survival values on a grid: linear between points, the last two points' log-slope beyond."""
-    g = F.array(*(F.lit(float(x)) for x in grid))
-    k = F.greatest(F.lit(1), F.least(F.size(F.filter(g, lambda e: e <= r)), F.lit(len(grid) - 1)))
-    a, b, s, t = F.element_at(g, k), F.element_at(g, k + 1), F.element_at(survival, k), F.element_at(survival, k + 1)
-    beyond = t * F.pow(F.greatest(r, F.lit(1e-9)) / b, F.ln(F.greatest(t, F.lit(1e-12)) / F.greatest(s, F.lit(1e-12))) / F.ln(b / F.greatest(a, F.lit(1e-9))))
-    return F.when(r <= F.lit(float(grid[-1])), s + (t - s) * (r - a) / (b - a)).otherwise(beyond)
+    """P(Y > r) from survival values on a grid that starts at 0: straight up to its first edge, then straight in the logarithms of r and
+    of the survival, and on by the last two edges beyond the grid (a Pareto tail)."""
+    g, n = [float(x) for x in grid], len(grid)
+    logs = F.array(F.lit(None).cast("double"), *(F.lit(math.log(x)) for x in g[1:]))
+    k = F.greatest(F.lit(3), F.least(F.size(F.filter(F.array(*map(F.lit, g)), lambda e: e < r)) + 1, F.lit(n)))  # of the edge at or above r, from 1
+    log_s = lambda i: F.ln(F.greatest(F.element_at(survival, i), F.lit(1e-300)))
+    t = (F.ln(F.greatest(r, F.lit(g[1]))) - F.element_at(logs, k - 1)) / (F.element_at(logs, k) - F.element_at(logs, k - 1))
+    first, second = F.element_at(survival, 1), F.element_at(survival, 2)
+    return F.when(r <= 0, first).when(r <= g[1], first + (second - first) * r / g[1]).otherwise(F.exp(log_s(k - 1) + t * (log_s(k) - log_s(k - 1))))
+
+
+def survivals_at(grid: Sequence[float], survival: Column, rs: Column) -> Column:
+    """survival_at of each of an array of amounts, which may differ from row to row."""
+    return F.transform(rs, lambda r: survival_at(grid, survival, r))
 
 
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

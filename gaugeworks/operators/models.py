@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import errors, sketches
 
 SEED = 7
 
@@ -83,7 +84,7 @@ def perceptron(train: DataFrame, numeric: Sequence[str], fit: Settings = Setting
 
 FLOOR = 0.05
 #: Probabilities of the error tables, and in how many classes of m they are kept.
-PROBS = [i / 40 for i in range(1, 40)]
+PROBS = errors.PROBS
 CLASSES = 10
 SPREADS, ERRORS = ("constant", "varying"), ("normal", "table", "table_by_m")
 
@@ -133,9 +134,9 @@ def _spread(rows: DataFrame, fit: Settings) -> tuple[object, float, float, list[
     scale, sigma = float(one["c"] or 1.0), max(float(one["sigma"] or 1.0), FLOOR)
     edges = s.approxQuantile("m", [i / CLASSES for i in range(1, CLASSES)], 0.001)
     e = s.select(_class_of(F.col("m"), edges).alias("class"), (F.col("resid") / sigma).alias("constant"), (F.col("resid") / F.greatest(F.sqrt(F.exp("v") * scale), F.lit(FLOOR))).alias("varying"))
-    found = {}
-    for row in e.cube("class").agg(*(F.percentile_approx(n, PROBS, 10000).alias(n) for n in SPREADS)).collect():  # a row per class, and one of all
-        found[-1 if row["class"] is None else row["class"]] = row
+    by_class = sketches.sketches(e, ["class"], SPREADS)
+    every = by_class.unionByName(sketches.merged(by_class, [], SPREADS).withColumn("class", F.lit(-1)))
+    found = {row["class"]: row for row in every.select("class", *(sketches.quantiles(F.col(n), PROBS).alias(n) for n in SPREADS)).collect()}  # a row per class, and one of all
     return v, scale, sigma, edges, {n: [list(found.get(k, found[-1])[n]) for k in range(-1, CLASSES)] for n in SPREADS}
 
 
@@ -163,61 +164,69 @@ def score_amounts(model: AmountModel, rows: DataFrame) -> DataFrame:
     return v.withColumn("s", F.greatest(F.sqrt(F.exp("v") * model.scale), F.lit(FLOOR))).drop("v", "features")
 
 
-def above(z: Column, table: Column) -> Column:
-    """P(error > z) by a table of quantiles at PROBS: straight between them, exponential beyond."""
-    n = len(PROBS)
-    k = F.size(F.filter(table, lambda q: q <= z))
-    p = F.array(*map(F.lit, PROBS))
-    at = F.greatest(F.lit(1), F.least(k, F.lit(n - 1)))
-    a, b = F.element_at(table, at), F.element_at(table, at + 1)
-    share = F.coalesce(F.try_divide(z - a, b - a), F.lit(0.0))
-    inside = 1 - F.element_at(p, at) - (F.element_at(p, at + 1) - F.element_at(p, at)) * share
-    low = 1 - PROBS[0] * F.exp(z - F.element_at(table, 1))
-    high = (1 - PROBS[-1]) * F.exp(F.element_at(table, n) - z)
-    return F.when(k == 0, low).when(k >= n, high).otherwise(inside)
+def _spread_of(model: AmountModel | None, spread: str) -> Column:
+    return F.lit(model.sigma) if spread == "constant" else F.col("s")
 
 
-def exceedance(r: Column, model: AmountModel | None = None, spread: str | None = None, errors: str | None = None) -> Column:
+def _tables(model: AmountModel, spread: str, kind: str) -> errors.Tables:
+    return errors.Tables([], model.tables[spread][:1]) if kind == "table" else errors.Tables(model.edges, model.tables[spread][1:])
+
+
+def exceedance(r: Column, model: AmountModel | None = None, spread: str | None = None, kind: str | None = None) -> Column:
     """P(Y > r) from pi, m and s; with a model by its chosen spread and errors, or those named."""
-    spread, errors = spread or (model.spread if model else "varying"), errors or (model.errors if model else "normal")
-    z = (F.ln(F.greatest(r, F.lit(1e-9))) - F.col("m")) / (F.lit(model.sigma) if spread == "constant" else F.col("s"))
-    if errors == "normal":
-        over = 1 - C.normal_cdf(z)
-    elif errors == "table":
-        over = above(z, F.array(*map(F.lit, model.tables[spread][0])))
-    else:
-        tables = F.array(*(F.array(*map(F.lit, t)) for t in model.tables[spread][1:]))
-        over = above(z, F.element_at(tables, _class_of(F.col("m"), model.edges) + 1))
+    spread, kind = spread or (model.spread if model else "varying"), kind or (model.errors if model else "normal")
+    s = _spread_of(model, spread)
+    if kind != "normal":
+        return errors.over(_tables(model, spread, kind), F.col("pi"), F.col("m"), s, r)
+    over = 1 - C.normal_cdf((F.ln(F.greatest(r, F.lit(1e-9))) - F.col("m")) / s)
     return F.when(r <= 0, F.col("pi")).otherwise(F.col("pi") * over)
 
 
-def lattice_nll(y: Column, step: float, p_over) -> Column:
-    """-log of the probability that the forecast P(Y > r) = p_over(r) gives to the lattice cell of y; 0 is a cell of its own."""
-    cell = F.when(y > 0, p_over(F.greatest(y - step / 2, F.lit(step / 2))) - p_over(y + step / 2)).otherwise(1 - p_over(F.lit(step / 2)))
-    return -F.ln(F.greatest(cell, F.lit(1e-9)))
+def lattice_nll(over_low: Column, over_high: Column) -> Column:
+    """-log of the probability that a forecast gives to a cell of the lattice, from P(Y > edge) of its edges (1 below the cell of 0)."""
+    return -F.ln(F.greatest(over_low - over_high, F.lit(1e-9)))
+
+
+def _cell(y: Column, step: float, p_over) -> tuple[Column, Column]:
+    """P(Y > edge) of both edges of y's cell; the cell of 0 has everything below it."""
+    low, high = errors.lattice(step, y)
+    return F.when(low > 0, p_over(low)).otherwise(1.0), p_over(high)
+
+
+FORMS = [(a, b) for a in SPREADS for b in ERRORS]
 
 
 def select_errors(model: AmountModel, validation: DataFrame, y: str, step: float) -> tuple[AmountModel, DataFrame]:
     """(the model with the spread and error form of the lowest mean lattice NLL, the scores of all six): one pass over the rows."""
-    forms = [(a, b) for a in SPREADS for b in ERRORS]
-    each = F.array(*(F.struct(F.lit(a).alias("spread"), F.lit(b).alias("errors"), lattice_nll(F.col(y), step, lambda r, a=a, b=b: exceedance(r, model, a, b)).alias("nll")) for a, b in forms))
+    each = F.array(*(F.struct(F.lit(a).alias("spread"), F.lit(b).alias("errors"), lattice_nll(*_cell(F.col(y), step, lambda r, a=a, b=b: exceedance(r, model, a, b))).alias("nll")) for a, b in FORMS))
     table = score_amounts(model, validation).select(F.explode(each).alias("x")).groupBy("x.spread", "x.errors").agg(F.avg("x.nll").alias("nll"))
     best = min(table.collect(), key=lambda r: (r["nll"], r["spread"], r["errors"]))  # six rows
     return replace(model, spread=best["spread"], errors=best["errors"]), table
 
 
-def log_normal_scores(df: DataFrame, y: str, step: float) -> DataFrame:
-    """df (pi, m, s) with crps (closed form), nll_density, nll_lattice, and the bounds lo, hi of its PIT.
+def _normal_crps(at: Column, pi: Column, m: Column, s: Column) -> Column:
+    """E|X - y| - E|X - X'| / 2 of a point mass 1 - pi at zero and a log-normal: both have closed forms."""
+    z, mean = (F.ln(F.greatest(at, F.lit(1e-9))) - m) / s, F.exp(m + s * s / 2)
+    apart = F.when(at > 0, at * (2 * C.normal_cdf(z) - 1) - mean * (2 * C.normal_cdf(z - s) - 1)).otherwise(mean)
+    return (1 - pi) * at + pi * apart - pi * (1 - pi) * mean - pi * pi * mean * (2 * C.normal_cdf(s / math.sqrt(2)) - 1)
 
-    E|X - y| - E|X - X'| / 2 of a point mass 1 - pi at zero and a log-normal: both have closed forms."""
-    pi, m, s, at = F.col("pi"), F.col("m"), F.col("s"), F.col(y)
-    wet, ln = at > 0, F.ln(F.greatest(at, F.lit(1e-9)))
-    z, mean = (ln - m) / s, F.exp(m + s * s / 2)
-    apart = F.when(wet, at * (2 * C.normal_cdf(z) - 1) - mean * (2 * C.normal_cdf(z - s) - 1)).otherwise(mean)
-    crps = (1 - pi) * at + pi * apart - pi * (1 - pi) * mean - pi * pi * mean * (2 * C.normal_cdf(s / math.sqrt(2)) - 1)
-    density = F.when(wet, -F.ln(F.greatest(pi, F.lit(1e-9))) + z * z / 2 + F.ln(s * math.sqrt(2 * math.pi)) + ln).otherwise(-F.ln(F.greatest(1 - pi, F.lit(1e-9))))
-    below = 1 - pi * (1 - C.normal_cdf(z))
-    return df.withColumn("crps", crps).withColumn("nll_density", density).withColumn("nll_lattice", lattice_nll(at, step, exceedance)).withColumn("lo", F.when(wet, below).otherwise(0.0)).withColumn("hi", F.when(wet, below).otherwise(1 - pi))
+
+def amount_scores(df: DataFrame, y: str, step: float, model: AmountModel | None = None, spread: str = "varying", kind: str = "normal") -> DataFrame:
+    """df (pi, m, s) with crps, nll_density (normal errors only, else null), nll_lattice, and lo, hi: what the forecast has below the
+    lower and the upper edge of y's cell of the lattice, between which its PIT lies.
+
+    Normal errors, or the model's tables: the same distribution gives all of a row's scores."""
+    pi, m, at, s = F.col("pi"), F.col("m"), F.col(y), _spread_of(model, spread)
+    if kind == "normal":
+        z = (F.ln(F.greatest(at, F.lit(1e-9))) - m) / s
+        crps = _normal_crps(at, pi, m, s)
+        density = F.when(at > 0, -F.ln(F.greatest(pi, F.lit(1e-9))) + z * z / 2 + F.ln(s * math.sqrt(2 * math.pi)) + F.ln(at)).otherwise(-F.ln(F.greatest(1 - pi, F.lit(1e-9))))
+    else:
+        crps, density = errors.crps(_tables(model, spread, kind), pi, m, s, at), F.lit(None).cast("double")
+    low, high = _cell(at, step, lambda r: exceedance(r, model, spread, kind))
+    # the functions' columns first, so that each is computed once
+    named = df.select("*", crps.alias("crps"), density.alias("nll_density"), low.alias("_low"), high.alias("_high"))
+    return named.withColumn("nll_lattice", lattice_nll(F.col("_low"), F.col("_high"))).withColumn("lo", 1 - F.col("_low")).withColumn("hi", 1 - F.col("_high")).drop("_low", "_high")
 
 
 def hazard_rows(rows: DataFrame, edges: Sequence[float]) -> DataFrame:
@@ -256,13 +265,16 @@ def fit_classes(kind: str, train: DataFrame, numeric: Sequence[str], edges: Sequ
 
 
 def class_survival(model: ClassModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, survival: P(Y > edge) of a wet row for each edge, as an array."""
+    """keys, survival: P(Y > edge) of a wet row for each edge, as an array.
+
+    A hazard model is asked edge by edge with the edge as a constant column of the row, so no row is copied or moved."""
     n = len(model.edges)
     if model.kind == "hazard":
-        each = rows.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        p = model.model.transform(each).select(*keys, "j", (1 - positive()).alias("stay"))
-        a = p.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "stay"))), lambda x: x["stay"]).alias("stay"))  # one element per edge
-        return a.select(*keys, C.running_product(F.col("stay")).alias("survival"))
+        now = rows
+        for j in range(1, n + 1):
+            scored = model.model.transform(now.withColumn("j", F.lit(j)))
+            now = scored.select(*now.columns, (1 - positive()).alias(f"_stay_{j}"))
+        return now.select(*keys, C.running_product(F.array(*(f"_stay_{j}" for j in range(1, n + 1)))).alias("survival"))
     # classes that no training row had are missing at the end of the vector
     p = vector_to_array("probability")
     over = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.aggregate(F.slice(p, j + 1, F.lit(n + 1)), F.lit(0.0), lambda a, x: a + x))
@@ -299,3 +311,8 @@ def platt(scored: DataFrame, p: str, label: str) -> tuple[float, float]:
 
 def calibrated(p: Column, slope: float, intercept: float) -> Column:
     return 1 / (1 + F.exp(-(slope * C.logit(p) + intercept)))
+
+
+def equivalent_cutoff(cutoff: float, slope: float, intercept: float) -> float:
+    """The calibrated probability that a raw one becomes: who is called wet at one is called wet at the other."""
+    return 1 / (1 + math.exp(-(slope * math.log(cutoff / (1 - cutoff)) + intercept)))

@@ -137,9 +137,22 @@ def ver_label_flips(spark, sf):
     return e.groupBy("year", "r").agg(F.count_if(flipped).alias("flips"), F.count(F.lit(1)).alias("n"))
 
 
-@query("ver_survival_at", _sql("select station_id, slot, round(s[7] + (s[8] - s[7]) * 0.5, 6) as p15 from scored"))
+#: Amounts in all three regions: up to the first edge, between edges (and on one), beyond the last.
+AMOUNTS = (0.0, 0.1, 0.2, 0.3, 1.5, 5.0, 15.0, 50.0, 80.0)
+
+
+def _survival_sql() -> str:
+    g = ", ".join(map(str, GRID))
+    return f"""select station_id, slot, r, round(case when r <= 0 then s[1] when r <= {GRID[1]} then s[1] + (s[2] - s[1]) * r / {GRID[1]}
+  else exp(ln(greatest(s[k - 1], 1e-300)) + (ln(r) - ln(g[k - 1])) / (ln(g[k]) - ln(g[k - 1])) * (ln(greatest(s[k], 1e-300)) - ln(greatest(s[k - 1], 1e-300)))) end, 6) as p
+from (select *, least(len(list_filter(g, lambda e: e < r)) + 1, {len(GRID)}) as k from (select station_id, slot, s, [{g}] as g, unnest([{", ".join(map(str, AMOUNTS))}]) as r from forecast))"""
+
+
+@query("ver_survival_at", f"with {V.FORECAST} " + _survival_sql())
 def ver_survival_at(spark, sf):
-    return V.forecast(spark, sf).select("station_id", "slot", F.round(C.survival_at(GRID, F.col("s"), F.lit(15.0)), 6).alias("p15"))
+    rs = F.array(*map(F.lit, AMOUNTS))
+    p = V.forecast(spark, sf).select("station_id", "slot", F.explode(F.arrays_zip(rs.alias("r"), C.survivals_at(GRID, F.col("s"), rs).alias("p"))).alias("x"))
+    return p.select("station_id", "slot", "x.r", F.round("x.p", 6).alias("p"))
 
 
 @query("sel_best_model", _sql("select arg_min(name, b) as name, round(min(b), 6) as brier from (select 'grid' as name, avg(pow(p - cast(o as double), 2)) as b from scored union all select 'flat', avg(pow(0.3 - cast(o as double), 2)) from scored union all select 'pi', avg(pow(pi - cast(o as double), 2)) from scored)"))

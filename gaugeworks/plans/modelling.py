@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import models as M
@@ -127,13 +129,20 @@ def ml_amount_models(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: The cut-off before calibration.
+CUTOFF = 0.3
+
+
 @query("ml_platt")
 def ml_platt(spark, sf):
+    """Scores before and after calibration, and the cut-offs that call the same rows wet."""
     train, validation, test = _split(spark, sf)
     model = M.trees(_weighted(train), NUMERIC, "gbt", FIT)
     slope, intercept = M.platt(model.transform(validation).select(M.positive().alias("p"), "label"), "p", "label")
     t = model.transform(test).select(M.positive().alias("p"), (F.col("label") == 1).alias("o")).withColumn("q", M.calibrated(F.col("p"), slope, intercept))
-    return W.brier(t, F.col("p"), F.col("o")).withColumn("state", F.lit("before")).unionByName(W.brier(t, F.col("q"), F.col("o")).withColumn("state", F.lit("after")))
+    cuts = {"before": CUTOFF, "after": M.equivalent_cutoff(CUTOFF, slope, intercept)}
+    parts = [W.brier(t, F.col(c), F.col("o")).join(t.agg(F.count_if(F.col(c) >= cuts[state]).alias("n_over"))).select("*", F.lit(state).alias("state"), F.lit(cuts[state]).alias("cutoff")) for c, state in (("p", "before"), ("q", "after"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("ml_predict_batch")
@@ -168,8 +177,11 @@ def ml_persist(spark, sf):
 
 @query("ver_ziln_scores")
 def ver_ziln_scores(spark, sf):
+    """Of every test row by both spreads and all three forms of errors."""
     model, _, _, test = _amounts(spark, sf)
-    return M.log_normal_scores(M.score_amounts(model, test), "target", STEP).select("station_id", "slot", "crps", "nll_density", "nll_lattice", "lo", "hi")
+    s = scratch.table(M.score_amounts(model, test).select("station_id", "slot", "target", "pi", "m", "s"), "amounts")
+    each = [M.amount_scores(s, "target", STEP, model, a, b).select("station_id", "slot", F.lit(a).alias("spread"), F.lit(b).alias("errors"), "crps", "nll_density", "nll_lattice", "lo", "hi") for a, b in M.FORMS]
+    return functools.reduce(lambda a, b: a.unionByName(b), each)
 
 
 CSV = ["event_id", "timestamp", "update_timestamp", "station_id", "location_latitude", "location_longitude", "reading_value", "reading_unit"]

@@ -2,13 +2,18 @@
 
 import math
 import random
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from gaugeworks import plans
+from gaugeworks.functions import columns as C
+from gaugeworks.operators import errors as E
 from gaugeworks.operators import models as M
+from gaugeworks.operators import sketches as K
 from gaugeworks.operators import verification as W
 
 NUMERIC = ["a", "b"]
@@ -66,15 +71,96 @@ def test_error_tables(amounts):
         assert len(tables) == M.CLASSES + 1
         for t in tables:
             assert t == sorted(t) and len(t) == len(M.PROBS)
-        assert abs(tables[0][len(M.PROBS) // 2]) < 0.3 and tables[0][0] < -1.2 and tables[0][-1] > 1.2  # standardised
-
-
-def test_survival_by_table_follows_the_quantiles(spark):
-    table = F.array(*(F.lit(float(x)) for x in range(len(M.PROBS))))
-    zs = [-2.0, 0.0, 0.5, 7.25, 37.9, 38.0, 41.0]
-    got = [spark.range(1).select(M.above(F.lit(z), table).alias("p")).first().p for z in zs]
-    want = [1 - M.PROBS[0] * math.exp(-2.0), 1 - M.PROBS[0], 1 - 1.5 / 40, 1 - 8.25 / 40, 1 - 38.9 / 40, 1 - 39 / 40, (1 - 39 / 40) * math.exp(-3.0)]
-    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+        assert len(M.PROBS) > 1000 and abs(tables[0][len(M.PROBS) // 2]) < 0.3 and tables[0][0] < -1.2 and tables[0][-1] > 1.2  # standardised
+
+
+def test_tables_follow_their_quantiles():
+    q = np.array([NormalDist().inv_cdf(p) for p in E.PROBS])
+    t = E.Table(q)
+    assert np.allclose(t.below(q), E.PROBS, atol=1e-9) and np.allclose(t.below(t.q) + t.above(t.q), 1)
+    assert np.allclose(t.below((q[1:] + q[:-1]) / 2), (np.array(E.PROBS[1:]) + E.PROBS[:-1]) / 2, atol=1e-9)  # straight between
+    rate = math.log(10) / (q[3] - q[0])  # the table's own fall from one in a thousand to one in ten thousand
+    half = q[0] - math.log(2) / rate
+    assert abs(t.below(half) - E.PROBS[0] / 2) < 1e-9 and t.below(-1e6) == 0 == t.above(1e6)
+    ties = E.Table([0.0] * 500 + [1.0] * (len(E.PROBS) - 500))
+    assert ties.below(-1e-3) < 0.01 and abs(ties.below(0.5) - E.PROBS[499]) < 2e-3 and ties.above(1.1) < 0.01
+
+
+def quadrature(cdf, y, top=4000.0, n=400_000):
+    x = np.concatenate([[0.0], np.exp(np.linspace(-18, math.log(top), n))])
+    mid = (x[1:] + x[:-1]) / 2
+    return float(np.sum((cdf(mid) - (mid >= y)) ** 2 * np.diff(x)))
+
+
+def test_crps_of_tables_against_quadrature():
+    rnd = np.random.default_rng(4)
+    skewed = np.sort(np.concatenate([rnd.exponential(1, 505) - 1, rnd.normal(size=500)]))
+    tables = E.Tables([0.5], [skewed, [NormalDist().inv_cdf(p) for p in E.PROBS]])
+    rows = [(y, pi, m, s) for y in (0.0, 1e-5, 0.2, 3.0, 900.0) for pi in (0.0, 0.3, 1.0) for m in (-0.5, 1.0) for s in (0.05, 0.4, 1.1)]
+    y, pi, m, s = (np.array(c) for c in zip(*rows, strict=True))
+    got = tables.crps(pi, m, s, y)
+    for i, (y0, p0, m0, s0) in enumerate(rows):
+        t = tables.tables[int(m0 > 0.5)]
+        want = quadrature(lambda x, t=t, p0=p0, m0=m0, s0=s0: 1 - p0 * t.above((np.log(x) - m0) / s0), y0)
+        assert abs(got[i] - want) < 2e-4 * max(1, want), rows[i]
+
+
+def test_scores_of_all_forms(parts, amounts):
+    """Of all six forms: the CRPS is the quadrature of the form's own exceedance, its cell and PIT are that exceedance at the cell's edges."""
+    s = M.score_amounts(amounts, parts[2]).limit(40).cache()
+    for spread in M.SPREADS:
+        for kind in M.ERRORS:
+            scored = M.amount_scores(s, "target", 0.1, amounts, spread, kind)
+            low, high = (F.greatest((F.round(F.col("target") / 0.1) + d) * 0.1, F.lit(0.0)) for d in (-0.5, 0.5))
+            for r in scored.withColumn("a", F.when(low > 0, M.exceedance(low, amounts, spread, kind)).otherwise(1.0)).withColumn("b", M.exceedance(high, amounts, spread, kind)).collect():
+                assert abs(r.lo - (1 - r.a)) < 1e-9 and abs(r.hi - (1 - r.b)) < 1e-9 and 0 <= r.lo <= r.hi <= 1
+                assert abs(r.nll_lattice + math.log(max(r.a - r.b, 1e-9))) < 1e-6 and (r.nll_density is None) == (kind != "normal")
+                if kind == "normal":
+                    over = np.vectorize(lambda x, r=r: r.pi * (1 - NormalDist().cdf((math.log(x) - r.m) / (amounts.sigma if spread == "constant" else r.s))))
+                    n = 20_000
+                else:
+                    t = M._tables(amounts, spread, kind)
+                    over = lambda x, r=r, t=t: t.over(*(np.full(len(x), v) for v in (r.pi, r.m, amounts.sigma if spread == "constant" else r.s)), x)
+                    n = 100_000
+                assert abs(r.crps - quadrature(lambda x, over=over: 1 - over(x), r.target, 2000.0, n)) < 3e-3 * max(1, r.crps)
+
+
+def test_sketches_of_groups_merge(spark):
+    rnd = random.Random(8)
+    data = [(i % 3, i % 7, rnd.choice([rnd.gauss(0, 1), float(rnd.randint(0, 3))])) for i in range(60_000)] + [(9, 0, None), (8, 0, 5.0)]
+    df = spark.createDataFrame(data, "g int, h int, v double").repartition(9)
+    probs = [i / 1000 for i in range(1, 1000)]
+    fine = K.sketches(df, ["g", "h"], ["v"])
+    got = {r.g: r.q for r in K.merged(fine, ["g"], ["v"]).select("g", K.quantiles(F.col("v"), probs).alias("q")).collect()}
+    assert got[9] is None and set(got[8]) == {5.0}
+    for g in range(3):
+        values = np.sort([v for a, _, v in data if a == g])
+        n = len(values)
+        worst = max(max(np.searchsorted(values, q, "left") / n - p, p - np.searchsorted(values, q, "right") / n) for p, q in zip(probs, got[g], strict=True))
+        assert worst <= 1.5 * K.rank_error()
+    few = K.sketches(df.where("g = 0 and h = 0"), ["g"], ["v"]).select(K.quantiles(F.col("v"), probs).alias("q")).first().q
+    own = np.sort([v for a, b, v in data if a == 0 and b == 0])
+    assert few == [float(own[max(0, math.ceil(p * len(own) - 1e-9) - 1)]) for p in probs]  # exact up to the sketch's size
+
+
+def test_survival_between_edges(spark):
+    grid, s = (0.0, 0.5, 2.0, 8.0), [0.9, 0.6, 0.3, 0.0]
+    got = spark.createDataFrame([(s, [-1.0, 0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0])], "s array<double>, rs array<double>").select(C.survivals_at(grid, F.col("s"), F.col("rs")).alias("p")).first().p
+    assert got[:4] == [0.9, 0.9, 0.75, 0.6] and abs(got[4] - math.sqrt(0.6 * 0.3)) < 1e-12 and abs(got[5] - 0.3) < 1e-12
+    assert abs(got[6] - math.sqrt(0.3 * 1e-300)) < 1e-12 and got[7] < 1e-290 and got[8] < got[7]
+    straight = spark.createDataFrame([([1.0, 0.8, 0.4, 0.1], [16.0])], "s array<double>, rs array<double>").select(C.survivals_at(grid, F.col("s"), F.col("rs")).alias("p")).first().p
+    assert abs(straight[0] - 0.1 * (0.1 / 0.4) ** (math.log(2) / math.log(4))) < 1e-12  # Pareto beyond
+
+
+def test_hazard_is_scored_in_the_row(parts):
+    model = M.fit_classes("hazard", parts[0], NUMERIC, EDGES, M.SMALL)
+    wet = parts[2].where("target > 0")
+    got = M.class_survival(model, wet, ["station_id", "slot"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    each = wet.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(len(EDGES)))))
+    stay = {(r.slot, r.j): r.stay for r in model.model.transform(each).select("slot", "j", (1 - M.positive()).alias("stay")).collect()}
+    for r in got.collect():
+        assert np.allclose(r.survival, np.cumprod([stay[r.slot, j] for j in range(1, len(EDGES) + 1)]))
 
 
 def test_selection_takes_the_lowest_score(parts, amounts):
@@ -122,11 +208,14 @@ def test_calibration_undoes_a_distortion(spark):
     assert abs(slope - 0.5) < 0.08 and abs(intercept + 0.5) < 0.15
     before, after = (W.brier(df.withColumn("o", F.col("label") == 1).withColumn("q", c), F.col("q"), F.col("o")).first().brier for c in (F.col("p"), M.calibrated(F.col("p"), slope, intercept)))
     assert after < before
+    cut = M.equivalent_cutoff(0.3, slope, intercept)
+    assert abs(cut - spark.range(1).select(M.calibrated(F.lit(0.3), slope, intercept).alias("q")).first().q) < 1e-12
+    assert df.where((F.col("p") >= 0.3) != (M.calibrated(F.col("p"), slope, intercept) >= cut)).count() == 0
 
 
 def test_log_normal_scores_against_quadrature(spark):
     cases = [(0.0, 0.3, 0.5, 0.4), (2.0, 0.8, 0.5, 0.4), (0.1, 0.5, -1.0, 1.0), (9.0, 0.2, 1.5, 0.7)]
-    got = M.log_normal_scores(spark.createDataFrame(cases, "y double, pi double, m double, s double"), "y", 0.1).collect()
+    got = M.amount_scores(spark.createDataFrame(cases, "y double, pi double, m double, s double"), "y", 0.1).collect()
     for (y, pi, m, s), r in zip(cases, got, strict=True):
         phi = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
         cdf = lambda x, pi=pi, m=m, s=s: 1 - pi * (1 - phi((math.log(x) - m) / s)) if x > 0 else 1 - pi
@@ -137,7 +226,7 @@ def test_log_normal_scores_against_quadrature(spark):
         assert abs(r.crps - total) < 5e-3
         cell = cdf(y + 0.05) - cdf(max(y - 0.05, 0.05)) if y else cdf(0.05)
         assert abs(r.nll_lattice + math.log(max(cell, 1e-9))) < 1e-3
-        assert abs(r.hi - cdf(y)) < 1e-6 and abs(r.lo - (cdf(y) if y else 0)) < 1e-6
+        assert abs(r.hi - cdf(y + 0.05)) < 1e-6 and abs(r.lo - (cdf(max(y - 0.05, 0.05)) if y else 0)) < 1e-6
         density = pi * math.exp(-(((math.log(y) - m) / s) ** 2) / 2) / (y * s * math.sqrt(2 * math.pi)) if y else 1 - pi
         assert abs(r.nll_density + math.log(density)) < 1e-9
 
@@ -162,7 +251,7 @@ def test_tables_of_queries(spark):
     kinds = plans.QUERIES["ml_amount_models"](spark, SF).groupBy("kind").count().collect()
     assert sorted(r.kind for r in kinds) == sorted(M.KINDS) and len({r["count"] for r in kinds}) == 1
     scores = plans.QUERIES["ver_ziln_scores"](spark, SF)
-    assert scores.count() == plans.QUERIES["ml_ziln_score"](spark, SF).count() > 100
+    assert scores.count() == 6 * plans.QUERIES["ml_ziln_score"](spark, SF).count() > 600
     assert scores.where("crps < 0 or lo > hi or lo < 0 or hi > 1 or nll_lattice < 0").count() == 0
 
 
