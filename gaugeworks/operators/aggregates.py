@@ -23,19 +23,6 @@ def station_month(hours: DataFrame) -> DataFrame:
     return h.groupBy("station_id", "month").agg(F.sum("n").alias("n_slots"), F.round(F.sum("total"), 4).alias("total"), F.sum("n_wet").alias("n_wet"), F.count_if(F.col("total") > 0).alias("wet_hours"), F.max("peak").alias("peak"))
 
 
-def pair_correlation(slots: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
-    """Pearson correlation of each pair (station_id, nb) over the slots they share, from sums; null for constant series.
-
-    Every slot of a pair is one joined row, so the work is slots times neighbours within the radius, and
-    sums are combined before the shuffle."""
-    a = slots.select("slot", group, F.col("station_id").alias("a"), F.col("y").alias("ya")).join(pairs.select(F.col("station_id").alias("a"), F.col("nb").alias("b")), "a")
-    b = slots.select("slot", F.col("station_id").alias("b"), F.col("y").alias("yb"))
-    n, x, y = F.count(F.lit(1)), F.sum("ya"), F.sum("yb")
-    both = a.join(b, ["slot", "b"]).groupBy("a", "b", group)
-    out = both.agg(n.alias("n"), (n * F.sum(F.col("ya") * F.col("yb")) - x * y).alias("cov"), (n * F.sum(F.col("ya") * F.col("ya")) - x * x).alias("va"), (n * F.sum(F.col("yb") * F.col("yb")) - y * y).alias("vb"))
-    return out.select("a", "b", group, "n", F.round(F.try_divide(F.col("cov"), F.sqrt(F.when((F.col("va") > 1e-6) & (F.col("vb") > 1e-6), F.col("va") * F.col("vb")))), 4).alias("r"))
-
-
 def stratified(df: DataFrame, strata: list[str], *aggregates) -> DataFrame:
     """One row per value of each stratum and one over all, by grouping sets: a single shuffle."""
     sets = [[F.col(s)] for s in strata] + [[]]

@@ -24,12 +24,3 @@ def spearman(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Rank correlation of the rows that have both values."""
     both = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return both.join(ranks(both, x, "rx"), x).join(ranks(both, y, "ry"), y).agg(F.round(F.corr("rx", "ry"), 6).alias(name))
-
-
-def trend(series: DataFrame, at: str, value: str) -> DataFrame:
-    """Kendall's tau (a) and the Theil-Sen slope of one series of a point per day or year: all ordered pairs of its points.
-
-    The series grows with time, not with stations or readings: a century of years has 4,950 pairs."""
-    b = series.select(F.col(at).alias("tb"), F.col(value).alias("vb"))
-    pairs = series.join(b, F.col(at) < F.col("tb"))
-    return pairs.agg(F.round(F.avg(F.signum(F.col("vb") - F.col(value))), 6).alias("tau"), F.round(F.percentile((F.col("vb") - F.col(value)) / (F.col("tb") - F.col(at)), F.lit(0.5)), 6).alias("slope"))

@@ -1,7 +1,7 @@
 """Station geometry and joins in space and time.
 
 Neighbours are found by cells: a station meets only stations of its own and the adjoining cells, so
-the join is an equality join on the cell and never all stations against all."""
+the join is an equality join on the cell and never all stations against all.  Where stations are dense, cells are narrower."""
 
 from __future__ import annotations
 
@@ -40,27 +40,58 @@ def radius_pairs(stations: DataFrame, km: float) -> DataFrame:
     return within(stations, km).select("station_id", "nb", F.row_number().over(w).alias("nb_rank"), F.round("km", 6).alias("km"))
 
 
+#: Stations of a cell beyond which the search begins with cells of half the width, and how often they are halved at most (4 km: 1 m).
+CROWD, HALVINGS = 64, 12
+
+
+def _crowded(stations: DataFrame, km: float) -> DataFrame:
+    """The stations whose cell of `km` has more than CROWD of them: from counts alone."""
+    homes, _ = _celled(stations, stations, km)
+    full = homes.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    return homes.join(full, ["cy", "cx"], "left_semi").select("station_id", "lat", "lon")
+
+
+def _begun(stations: DataFrame, start_km: float) -> list[tuple[float, DataFrame]]:
+    """(width, stations that begin there), from the narrowest cells on: cells are split while they are crowded, like a quadtree's."""
+    levels, here, km = [], stations, start_km
+    for _ in range(HALVINGS):
+        crowded = scratch.table(_crowded(here, km), "crowded")
+        if crowded.isEmpty():
+            break
+        levels.append((km, here.join(crowded.select("station_id"), "station_id", "left_anti")))
+        here, km = crowded, km / 2
+    return [(km, here), *reversed(levels)]
+
+
 def nearest(stations: DataFrame, k: int, start_km: float = 4.0, widest_km: float = 1000.0) -> DataFrame:
     """The k nearest other stations of each, ties by id, with weights 1 / max(km, 0.05) and offsets in km.
 
-    The radius doubles for the stations that have fewer than k neighbours within it, and for these only;
-    fails where the network has fewer.  Stations farther than widest_km from others keep what they have."""
+    A station begins with the cells around it at a width at which its own cell isn't crowded, and the width doubles for
+    the stations that have fewer than k neighbours within it, and for these only.  So where stations are dense each
+    meets some multiple of CROWD and k others, however many there are.  Of stations at one place only the k + 1 of the smallest
+    ids are anyone's neighbours, as no others can be.  Fails where the network has fewer than k + 1.  Stations farther
+    than widest_km from others keep what they have."""
     stations = scratch.table(stations, "stations")  # a row per station; without it every radius would read the readings again
     n = stations.count()
     if n <= k:
         raise ValueError(f"{n} stations can't have {k} neighbours each")
     east, north = C.offset_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
     w = Window.partitionBy("station_id").orderBy("km", "nb")
-    km, rest, found = start_km, stations, None
+    place = Window.partitionBy("lat", "lon").orderBy("station_id")
+    homes = scratch.table(stations.withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= k + 1).drop("_at"), "places")
+    levels = _begun(stations, start_km)
+    rest, found = None, None
     while True:
-        near = scratch.table(within(stations, km, rest).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k), "near")
+        km, begun = levels.pop(0) if levels else (2 * km, None)
+        rest = begun if rest is None else rest if begun is None else rest.unionByName(begun)
+        near = scratch.table(within(homes, km, rest).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k), "near")
         full = near.where(F.col("k") == k).select("station_id")
-        last = km > widest_km
+        last = km > widest_km and not levels
         part = near if last else near.join(full, "station_id", "left_semi")
         found = part if found is None else found.unionByName(part)
-        if last or full.count() == rest.count():
+        rest = scratch.table(rest.join(full, "station_id", "left_anti"), "far-stations").select("station_id", "lat", "lon")
+        if last or (not levels and rest.isEmpty()):
             break
-        rest, km = scratch.table(rest.join(full, "station_id", "left_anti"), "far-stations"), 2 * km
     return found.select("station_id", "nb", "k", F.round("km", 6).alias("km"), (1 / F.greatest("km", F.lit(0.05))).alias("weight"), F.round(east, 6).alias("dx"), F.round(north, 6).alias("dy"))
 
 

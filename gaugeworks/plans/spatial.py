@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import series as S
+from ..operators import pairs
 from ..operators import spatial as P
 from ..sources import scratch
 from . import series as Q
@@ -236,11 +237,19 @@ def agg_mode_coords(spark, sf):
     return V.table(spark, sf, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("event_type"))
 
 
-@query("agg_pair_corr", _sql("""select a, b, day_half, n, round(case when va > 1e-6 and vb > 1e-6 then cov / sqrt(va * vb) end, 4) as r from (
+ALL_PAIRS = """select a, b, day_half, n, case when va > 1e-6 and vb > 1e-6 then cov / sqrt(va * vb) end as r from (
 select a.station_id as a, b.station_id as b, a.slot // 43200 % 2 as day_half, count(*) as n, count(*) * sum(a.y * b.y) - sum(a.y) * sum(b.y) as cov, count(*) * sum(a.y * a.y) - sum(a.y) * sum(a.y) as va, count(*) * sum(b.y * b.y) - sum(b.y) * sum(b.y) as vb
-from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id """ + PAIRED + " group by 1, 2, 3)", PAIRS))
+from slots a join slots b on a.slot = b.slot and a.station_id < b.station_id group by 1, 2, 3)"""
+
+
+def pair_correlations(spark, sf):
+    return pairs.correlations(V.slots(spark, sf).withColumn("day_half", F.floor(F.col("slot") / 43200) % 2), "day_half", SLOT)
+
+
+@query("agg_pair_corr", f"with {V.SLOTS} select a, b, day_half, n, round(r, 4) + 0.0 as r from ({ALL_PAIRS})")
 def agg_pair_corr(spark, sf):
-    return A.pair_correlation(V.slots_once(spark, sf).withColumn("day_half", F.floor(F.col("slot") / 43200) % 2), _paired(spark, sf), "day_half")
+    """Of all pairs of stations, by halves of the day."""
+    return pair_correlations(spark, sf).withColumn("r", F.round("r", 4) + 0.0)
 
 
 @query("agg_events_by_class", _sql("select strftime(make_timestamp(begin * 1000000), '%Y-%m') as month, case when duration <= 21600 then 1 when duration <= 43200 then 2 else 3 end as class, complete, count(*) as n, round(sum(depth), 4) as rain, cast(sum(duration) as bigint) as seconds, round(sum(peak), 4) as peaks from spells group by 1, 2, 3", ", " + Q.SPELLS))
