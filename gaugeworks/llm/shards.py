@@ -13,6 +13,8 @@ conditional put here).  A job that dies leaves files that no version names.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ SMALLEST = 64 << 10
 LEAST_RUN = 4
 #: Arrivals of a table that is sharded as a whole.
 WAVES = 8
+#: Files that a task keeps open when it writes in waves; of more waves it sorts its rows.
+MOST_WAVES = 64
+SPLITS = "spark.sql.files.maxPartitionBytes"
+#: A shard in the path of one of its files: the folder, or one of the folders that a write in waves made, and the file.
+_NAME = r"([^/]+(?:/[^/=]+=[^/]+)?/[^/]+)$"
 #: folder and in_folder: where a shard was written, and how many were written there; level: how many merges made it.
 MANIFEST = "shard string, folder string, in_folder long, level int, bytes long, rows long"
 
@@ -82,19 +89,40 @@ class ShardStore:
             self._fs.delete(aside, False)
         return version
 
-    def _write(self, rows: DataFrame, kind: str, level: int) -> DataFrame:
-        """Write rows as shards: their rows of a manifest, from the files' own metadata; only footers are read."""
+    def _write(self, rows: DataFrame, kind: str, level: int, wave: str | None = None) -> DataFrame:
+        """Write rows as shards: their rows of a manifest.  Sizes come from the file system and counts from footers.
+
+        With wave, a column of rows, each of its values gets a folder of its own and isn't stored."""
         name = f"{kind}-{common.uuid.uuid4().hex[:12]}"
-        rows.write.option("compression", "zstd").parquet(f"{self.path}/data/{name}")
-        files = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}")
-        shards = files.select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).groupBy("shard").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        return shards.select("shard", F.lit(name).alias("folder"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(name))).alias("in_folder"), F.lit(level).alias("level"), "bytes", "rows")
+        w = rows.write.option("compression", "zstd")
+        if wave:
+            with self._set("spark.sql.maxConcurrentOutputFileWriters", str(MOST_WAVES)):  # else each task would sort its texts by wave
+                w.partitionBy(wave).parquet(f"{self.path}/data/{name}")
+        else:
+            w.parquet(f"{self.path}/data/{name}")
+        held = rows.drop(wave) if wave else rows
+        own = lambda path: F.regexp_extract(path, _NAME, 1)
+        files = self.spark.read.schema(held.schema).option("recursiveFileLookup", True).parquet(f"{self.path}/data/{name}")
+        counts = files.select(own(F.input_file_name()).alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+        sizes = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{self.path}/data/{name}").select(own(F.col("path")).alias("shard"), F.col("length").alias("bytes"))
+        folder = F.regexp_extract("shard", "^(.*)/[^/]+$", 1)
+        shards = counts.join(sizes, "shard").withColumn("folder", folder)
+        return shards.select("shard", "folder", F.count(F.lit(1)).over(Window.partitionBy("folder")).alias("in_folder"), F.lit(level).alias("level"), "bytes", "rows")
 
     def append(self, rows: DataFrame) -> int:
         """Write rows as new small shards and commit them."""
         based_on = self.version()
         return self.commit(self.manifest(based_on).unionByName(self._write(rows, "arrived", 0)), based_on)
 
+    def append_waves(self, rows: DataFrame, wave: str) -> int:
+        """Write rows once, commit the shards of each value of the column `wave` as a version of its own, in their order, and compact after each."""
+        shards = common.write_table(self._write(rows, "arrived", 0, wave), "arrived")
+        version = self.version()
+        for r in shards.select("folder").distinct().orderBy(F.regexp_extract("folder", "=(.*)$", 1).cast("long")).collect():  # a row per wave
+            version = self.commit(self.manifest(version).unionByName(shards.where(F.col("folder") == r["folder"])), version)
+            version = self.compact_all()
+        return version
+
     def plan(self, shards: DataFrame) -> DataFrame:
         """shards with `merge`: the tier in which each is merged (null: it stays), over manifest rows only."""
         tier = F.floor(F.log(F.greatest(F.col("bytes") / SMALLEST, F.lit(1.0))) / F.log(F.lit(float(TIER_FACTOR)))).cast("int")
@@ -112,9 +140,23 @@ class ShardStore:
         kept = now.where("merge is null").drop("merge")
         for t in tiers:
             rows = self._scan(now.where(F.col("merge") == t["merge"]))
-            kept = kept.unionByName(self._write(rows.coalesce(max(1, -(-t["bytes"] // self.target))), "merged", t["level"] + 1))
+            # a merge can't write more files than it has splits
+            with self._set(SPLITS, str(min(self.target, self._bytes(self.spark.conf.get(SPLITS))))):
+                kept = kept.unionByName(self._write(rows.coalesce(max(1, -(-t["bytes"] // self.target))), "merged", t["level"] + 1))
         return self.commit(kept, based_on)
 
+    @contextlib.contextmanager
+    def _set(self, name: str, value: str):
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, value)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _bytes(self, text: str) -> int:
+        return int(self._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+
     def compact_all(self) -> int:
         """Compact until no tier is worth it."""
         version = self.version()
@@ -123,22 +165,18 @@ class ShardStore:
         return version
 
     def _scan(self, shards: DataFrame, named: bool = False) -> DataFrame:
-        """The rows of the shards (with named, as columns row and shard).  The driver sees folders, one for each write, not files.
+        """The rows of the shards (with named, as columns row and shard).
 
-        A folder of which some shards are merged by now is read whole, and the others' rows are dropped."""
+        Folders of which all shards are asked for are read as folders, others by their shards' files: the driver sees a row for
+        each write, and one for each shard of a write that is merged in part."""
         folders = shards.groupBy("folder").agg((F.count(F.lit(1)) == F.first("in_folder")).alias("whole")).collect()
         if not folders:
             raise ValueError("the store has no shards")
-        read = lambda whole: [f"{self.path}/data/{f['folder']}" for f in folders if f["whole"] == whole]
+        whole, cut = ([f["folder"] for f in folders if f["whole"] == w] for w in (True, False))
+        paths = [*whole, *(r["shard"] for r in shards.where(F.col("folder").isin(cut)).select("shard").collect())] if cut else whole
         schema = self.spark.read.parquet(f"{self.path}/data/{folders[0]['folder']}").schema
-        parts = []
-        for whole in (True, False):
-            if read(whole):
-                rows = self.spark.read.schema(schema).parquet(*read(whole))
-                rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col("_metadata.file_path").alias("shard"))
-                parts.append(rows if whole else rows.join(shards.select("shard"), "shard", "left_semi").select("row", "shard"))
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return both if named else both.select("row.*")
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/data/{p}" for p in paths))
+        return rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.regexp_extract(F.input_file_name(), _NAME, 1).alias("shard")) if named else rows
 
     def read(self, version: int | None = None, named: bool = False) -> DataFrame:
         """The rows of a version; with named, as columns row (a struct) and shard."""
@@ -149,14 +187,14 @@ class ShardStore:
         live = self.manifest(keep)
         for v in range(keep + 1, self.version() + 1):
             live = live.unionByName(self.manifest(v))
-        names = {r["folder"] for r in live.select("folder").distinct().collect()}  # a row for each write
+        names = {r["folder"].split("/")[0] for r in live.select("folder").distinct().collect()}  # a row for each write
         for s in self._fs.listStatus(self._path(f"{self.path}/data")):
             if s.getPath().getName() not in names:
                 self._fs.delete(s.getPath(), True)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended in waves, a version each, compacted after each wave until nothing is worth merging, and read through
+    """All documents written once and appended in waves, a version each, compacted after each wave until nothing is worth merging, and read through
     the newest version: doc_id, source, n_chars, text_sha256, shard_bytes, shard_rows, level, version.
 
     Null texts give a null digest; repeated rows stay repeated; an empty table gives no rows."""
@@ -166,10 +204,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharded(docs: DataFrame, store: ShardStore, waves: int = WAVES) -> DataFrame:
-    wave = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(waves))
-    for w in range(waves):
-        store.append(docs.where(wave == w))
-        version = store.compact_all()
+    wave = f"wave_{common.uuid.uuid4().hex[:12]}"
+    version = store.append_waves(docs.withColumn(wave, F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(waves))), wave)
     none = docs.limit(0).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lit(None).cast("string").alias("shard"))
     rows = (none if store.manifest(version).isEmpty() else store.read(version, named=True)).select("row.doc_id", "row.source", "row.n_chars", F.sha2("row.text", 256).alias("text_sha256"), "shard")
     named = store.manifest(version).select("shard", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "level")

@@ -31,7 +31,7 @@ RADIUS = 3
 SEED = 42
 #: Distinct fingerprints that the trees are built from: one of SAMPLE_SHARE, within these bounds.
 SAMPLE, MOST_SAMPLE, SAMPLE_SHARE = 20_000, 400_000, 50
-#: Fingerprints that a leaf should hold, and that one task compares at most.
+#: Fingerprints that a leaf should hold, and of a part of a larger leaf: a task compares two parts at a time.
 LEAF_GOAL = 1_000
 LEAF_ROWS = 8_000
 
@@ -146,17 +146,18 @@ def _placed(trees: tuple[Tree, Tree]):
     return run
 
 
-def _close(fp: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of pairs within RADIUS; i below `own`, j > i: a spanning forest of the rows that all such pairs make.
+def _close(fp: np.ndarray, own: int, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of pairs within RADIUS; i below `own`, j > i (not inside: j from `own` on): a spanning forest of the rows that all such pairs make.
 
     Of pairs between parts that aren't joined yet, each part takes one to a part of a smaller row, and parts are
     joined, until none is left."""
     root, out = np.arange(len(fp)), [np.zeros((2, 0), np.int64)]
     step = max(1, (1 << 22) // max(1, len(fp)))
     for at in range(0, own, step):
-        rows = np.arange(at, min(at + step, own))
-        i, j = np.nonzero((bits(fp[rows, None] ^ fp[None, at:]) <= RADIUS) & (root[rows, None] != root[None, at:]))
-        i, j = np.minimum(i, j) + at, np.maximum(i, j) + at
+        rows, to = np.arange(at, min(at + step, own)), at if inside else own
+        i, j = np.nonzero((bits(fp[rows, None] ^ fp[None, to:]) <= RADIUS) & (root[rows, None] != root[None, to:]))
+        i, j = i + at, j + to
+        i, j = np.minimum(i, j), np.maximum(i, j)
         while len(i):
             p, q = root[i], root[j]
             high, first = np.unique(np.maximum(p, q), return_index=True)
@@ -169,10 +170,10 @@ def _close(fp: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
-    """Links between a leaf's rows of part one (all at home) and all others."""
+    """Links between two parts of a leaf, or inside one part and from it to the leaf's queries."""
     t = table.sort_by([("side", "ascending"), ("fp", "ascending")])
     fp, side = t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy()
-    i, j = _close(fp, int((side == 0).sum()))
+    i, j = _close(fp, int((side == 0).sum()), key[1].as_py() == key[2].as_py())
     return pa.table([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"])
 
 
@@ -186,16 +187,19 @@ def links(distinct: DataFrame, leaf_goal: int = LEAF_GOAL, leaf_rows: int = LEAF
     trees = tuple(Tree(x, depth) for x in _halves(drawn))
     placed = common.write_table(distinct.select("fp").mapInArrow(_placed(trees), "leaf int, fp long, home boolean"), "leaves")
 
-    # parts: rows at home are dealt to n parts; part p meets itself, the parts after it, and the queries
-    large = placed.where("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).collect()  # at most a row per leaf of the trees
-    parts = F.lit(1)
-    if large:
-        dealt = F.map_from_arrays(F.array(*(F.lit(r["leaf"]) for r in large)), F.array(*(F.lit(-(-r["n"] // leaf_rows)) for r in large)))
-        parts = F.coalesce(F.try_element_at(dealt, F.col("leaf")), parts)
-    own = placed.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    to = F.when(F.col("home"), F.sequence(F.lit(0), F.col("part"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = own.withColumn("at", F.explode(to)).select("leaf", "at", "fp", F.when(F.col("home") & (F.col("at") == F.col("part")), 0).otherwise(1).alias("side"))
-    return met.groupBy("leaf", "at").applyInArrow(_leaf, "a long, b long")
+    # a leaf of more rows, or queries, than leaf_rows is dealt in parts: each part meets itself, every other one and every part of the queries
+    size = lambda rows: F.greatest(F.ceil(F.count_if(rows) / leaf_rows), F.lit(1)).cast("int")
+    sizes = placed.groupBy("leaf").agg(size(F.col("home")).alias("parts"), size(~F.col("home")).alias("asked")).where("parts > 1 or asked > 1")
+    sizes = common.write_table(sizes, "large-leaves")  # the trees have MOST_SAMPLE leaves each at most, so this may go to all tasks
+    own = placed.join(F.broadcast(sizes), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("parts")).otherwise(F.col("asked"))).cast("int"))
+    pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = F.concat(F.transform(every("parts"), lambda x: pair(F.least(x, F.col("part")), F.greatest(x, F.col("part")))), F.transform(every("asked"), lambda x: pair(F.col("part"), F.col("parts") + x)))
+    asking = F.transform(every("parts"), lambda x: pair(x, F.col("parts") + F.col("part")))
+    alone = F.array(pair(F.lit(0), F.lit(0)))
+    met = own.select("leaf", "fp", "home", "part", F.explode(F.when(F.col("parts").isNull(), alone).when(F.col("home"), at_home).otherwise(asking)).alias("at"))
+    first = F.col("home") & (F.col("part").isNull() | (F.col("part") == F.col("at.low")))
+    return met.select("leaf", "at.low", "at.high", "fp", F.when(first, 0).otherwise(1).alias("side")).groupBy("leaf", "low", "high").applyInArrow(_leaf, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

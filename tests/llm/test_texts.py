@@ -431,3 +431,33 @@ def test_merges_over_more_than_one_tier(spark, tmp_path):
     assert len(left) < 4 * 6
     empty = shards.sharded(frame(spark, []), shards.ShardStore(spark, f"file://{tmp_path}/none"), waves=2)
     assert empty.count() == 0 and empty.columns == [c for c in got[0].asDict()]
+
+
+def test_sharding_with_hidden_names_reads_once(spark, tmp_path):
+    """Columns named like Spark's own; documents are scanned by one job's tasks only."""
+    rows = documents()
+    df = frame(spark, rows).selectExpr("*", "1 as _metadata", "2 as wave", "3 as `_gw=1`")
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    got = shards.sharded(df.mapInArrow(counted, df.schema), store).collect()
+    assert len(got) == len(rows) == reads.value
+    assert rows_of(store.read(), df.columns) == rows_of(df, df.columns)
+
+
+def test_links_over_thousands_of_large_leaves(spark):
+    """Nearly every leaf holds more rows than a part: parts and queries are dealt, and nothing is lost."""
+    from gaugeworks.llm import common
+
+    common.ship(spark)
+    rnd = random.Random(21)
+    near = [(x, x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 3)))) for x in (rnd.getrandbits(64) for _ in range(400))]
+    fps = sorted({rnd.getrandbits(64) for _ in range(12_000)} | {x for p in near for x in p})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(8), 8, 4, 20_000).collect()}
+    assert {frozenset(p) for p in near} <= links and all((min(p) ^ max(p)).bit_count() <= 3 for p in links)
