@@ -53,9 +53,10 @@ UNIT_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 #: Text whose anchors, or whose windows, one task of the sorting rounds takes; at most a fifth of the windows are usual.
 ROUND_BYTES = 8 << 20
-#: Hash ranges of grams, at most: what a unit sends is so many rows at most, whatever the corpus.  Over RANGES times ROUND_BYTES
-#: (128 GB) of text ranges grow instead, by 20 bytes for each byte of it; raise RANGES and unit_bytes from some 10 TB on.
-RANGES = 1 << 14
+#: Hash ranges of grams up to which a range is ROUND_BYTES of text (128 GB in all).  Beyond, ranges grow with the square root of the
+#: text, and their number with it too, up to MOST_ROUND_BYTES, from where on only their number grows.  So a task has its bound (some 20
+#: bytes for each byte of a range), and what grows in turn is how many small rows a unit of text sends.
+RANGES, MOST_ROUND_BYTES = 1 << 14, 64 << 20
 #: Windows for which hashes are computed, or suffixes sorted, at a time.
 SLAB = 1 << 19
 #: Windows of one anchor gram, of all units together, over which its windows are sent one by one.
@@ -446,6 +447,12 @@ def _results(with_text: bool, n_buckets: int):
     return run
 
 
+def ranges(total: int) -> int:
+    """Hash ranges for so many bytes of text."""
+    times = max(1.0, (total / (RANGES * ROUND_BYTES)) ** 0.5)
+    return max(1, -(-total // min(MOST_ROUND_BYTES, int(ROUND_BYTES * times))))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = UNIT_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """One row per row of docs: row (a struct of all its columns but text, of any names), n_bytes, n_removed, n_spans, kept.
 
@@ -459,7 +466,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_bytes: int = U
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     total = common.text_bytes(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    rounds = min(RANGES, max(1, -(-total // ROUND_BYTES)))
+    rounds = ranges(total)
     units, _ = common.bucketed(rows.mapInArrow(_units(unit_bytes), "unit long, doc_ids array<long>, ends array<long>, bytes binary, rest binary"), "unit", buckets=buckets)
 
     narrow = units.drop("rest")

@@ -49,3 +49,22 @@ def test_no_bucket_takes_a_whole_gram():
     # a phrase of 30 bytes gives each document windows of their own with one gram: they are spread over the buckets
     assert len(sent) == n and max(sent.values()) < sum(sent.values()) / 4
     assert max(most.values()) <= len(units)
+
+
+def test_ranges_by_the_size_of_the_text():
+    from gaugeworks.llm import suffixes
+
+    assert suffixes.ranges(0) == 1 and suffixes.ranges(100 << 20) == 13
+    for total in (10**9, 10**11, 10**13, 10**14, 10**17):
+        n = suffixes.ranges(total)
+        assert total / n <= suffixes.MOST_ROUND_BYTES
+        assert n <= suffixes.RANGES or total > suffixes.RANGES * suffixes.ROUND_BYTES
+
+
+def test_more_ranges_than_the_usual(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGES", 2)
+    monkeypatch.setattr(suffixes, "ROUND_BYTES", 500)
+    monkeypatch.setattr(suffixes, "MOST_ROUND_BYTES", 2000)
+    rows = documents() + around(20)
+    got = suffixes.remove_repeats(frame(spark, rows).repartition(3), unit_bytes=400).collect()
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == Counter(brute_repeats(rows))
