@@ -34,3 +34,8 @@ def quantiles(sketch: Column, probabilities: Sequence[float]) -> Column:
     """The smallest values that at least these shares of the rows don't exceed; null of no rows."""
     asked = F.array(*(F.lit(float(p)) for p in probabilities))
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, asked))
+
+
+def quantile_tables(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], size: int = SIZE) -> DataFrame:
+    """keys, and the quantiles of each group as an array named as the value."""
+    return sketches(df, keys, [value], size).select(*keys, quantiles(F.col(value), probabilities).alias(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import series as S
-from ..operators import pairs
+from ..operators import pairs, sketches
 from ..operators import spatial as P
 from ..sources import scratch
 from . import series as Q
@@ -290,9 +290,14 @@ def agg_value_counts(spark, sf):
     return A.value_counts(V.slots(spark, sf), "y")
 
 
-@query("agg_quantiles", _sql("select station_id, [round(quantile_cont(y, q), 4) for q in [0.1, 0.5, 0.9]] as q from slots group by 1".replace("[round(quantile_cont(y, q), 4) for q in [0.1, 0.5, 0.9]]", "[round(quantile_cont(y, 0.1), 4), round(quantile_cont(y, 0.5), 4), round(quantile_cont(y, 0.9), 4)]")))
+#: Probabilities of a station's table.
+THOUSANDTHS = [i / 1000 for i in range(1, 1000)]
+
+
+@query("agg_quantiles", _sql("select station_id, list_transform(range(1, 1000), lambda i: ys[greatest(1, (i * len(ys) + 999) // 1000)]) as q from (select station_id, list(y order by y) as ys from slots group by 1)"))
 def agg_quantiles(spark, sf):
-    return V.slots(spark, sf).groupBy("station_id").agg(F.transform(F.percentile("y", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))), lambda x: F.round(x, 4)).alias("q"))
+    """999 quantiles of each station's values from its sketch, which is exact up to some thousand values."""
+    return sketches.quantile_tables(V.slots(spark, sf), ["station_id"], "y", THOUSANDTHS).withColumnRenamed("y", "q")
 
 
 @query("agg_stratified", _sql("select cast(slot // 3600 % 24 as bigint) as hour, y > 0 as wet, count(*) as n, round(sum(y), 4) as total from slots group by grouping sets ((1), (2), ())"))
