@@ -78,7 +78,8 @@ def climatology_crps(train: DataFrame, test: DataFrame) -> DataFrame:
 def block_bootstrap(daily: DataFrame, reps: int) -> DataFrame:
     """Mean and 5-95 % range of sum(value) / sum(n) over resampled days; daily: day, value, n.
 
-    Draw d of replicate r takes a day by arithmetic, so runs agree; only daily sums are joined."""
+    Draw d of replicate r takes a day by arithmetic, so runs agree; only daily sums are joined.  Days are numbered by one window,
+    a row per day, and a replicate is as many rows as there are days."""
     days = daily.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     count = days.agg(F.count(F.lit(1)).alias("days"))
     spark = daily.sparkSession

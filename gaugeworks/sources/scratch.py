@@ -31,12 +31,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded():
+    """Collects what is written inside the block; give it to release() once what reads it is written."""
+    held: list[tuple[SparkSession, str]] = []
+    before = len(_folders)
+    yield held
+    held += _folders[before:]
+
+
+def release(held: list[tuple[SparkSession, str]]) -> None:
+    """Delete these folders now."""
+    while held:
+        entry = held.pop()
+        if entry in _folders:
+            _folders.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clean() -> None:
     """Delete what was written so far; call it once what reads it is written."""
     while _folders:
-        spark, path = _folders.pop()
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(*_folders.pop())
 
 
 def _at_exit() -> None:

@@ -97,6 +97,21 @@ def test_sources_and_manifest(spark, tmp_path):
     assert made == [1]
 
 
+def test_scratch_tables_of_a_block_can_go(spark, tmp_path):
+    import pathlib
+
+    from gaugeworks.sources import scratch
+
+    kept = scratch.table(spark.range(3), "kept")
+    with scratch.recorded() as held:
+        gone = scratch.table(spark.range(4), "gone")
+        assert gone.count() == 4
+    path = pathlib.Path(gone.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and len(held) == 1
+    scratch.release(held)
+    assert not path.exists() and kept.count() == 3
+
+
 def test_import_without_training_data_operators():
     import ast
     import pathlib
