@@ -25,10 +25,9 @@ Where this departs from a textbook deep-shallow sort of all suffixes, and why th
 same.  Only LENGTH-byte prefixes are ordered, as nothing longer decides; only suffixes whose anchor two
 documents have, as no other has a copy elsewhere.  Equal stretches inside a unit are found by a table
 of their bytes, not by the sort: the first has the smallest doc_id of the unit, so later ones of another
-doc_id are hits whatever other units hold, and the sort decides about the first.  In the shallow phase
-the rows that still agree are ordered by their next 8-byte character by numpy's sort instead of a
-partition about a pivot; groups of equal characters are the quicksort's middle parts, and go on one
-character deeper.
+doc_id are hits whatever other units hold, and the sort decides about the first.  Characters of the
+quicksort are 8 bytes; groups of at most SMALL_GROUP rows are ordered by numpy's sort, as others end their
+quicksorts with an insertion sort.
 """
 
 from __future__ import annotations
@@ -63,6 +62,8 @@ SLAB = 1 << 19
 HOT_WINDOWS = SLAB
 #: 8-byte characters that the multikey quicksort looks at.
 SHALLOW = 2
+#: Rows of a group that the quicksort doesn't partition further.
+SMALL_GROUP = 1 << 12
 _SPAN = LENGTH - GRAM + 1
 _POSITION = np.uint64((1 << 20) - 1)
 
@@ -344,10 +345,42 @@ def _tied(group: np.ndarray) -> np.ndarray:
 
 
 def _part(rows: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.lexsort((c, group)) if len(group) and group[0] != group[-1] else np.argsort(c)
+    """rows and group by the character c inside groups."""
+    by = quicksorted(c, np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group)
     return rows[by], group[by]
 
 
+def quicksorted(c: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of characters c inside groups (numbers that rise along c): all large groups are partitioned at once about a pivot of
+    their own, into smaller, equal and larger characters, until none is large; the equal ones are in their places by then."""
+    at, done = np.arange(len(c)), np.zeros(len(c), bool)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(c) else np.zeros(0, np.int64)
+    while True:
+        size = np.diff(np.append(first, len(c)))
+        large = (size > SMALL_GROUP) & ~done[first]
+        if not large.any():
+            break
+        begin, n = first[large], size[large]
+        own = np.repeat(np.arange(len(n)), n)
+        places = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rows = at[places]
+        pivot = np.sort(c[at[begin[:, None] + (n[:, None] - 1) * np.arange(9) // 8]], axis=1)[:, 4]
+        x = c[rows]
+        side = np.where(x < pivot[own], 0, np.where(x == pivot[own], 1, 2))
+        count = np.bincount(own * 3 + side, minlength=3 * len(n)).reshape(-1, 3)
+        offset = begin[:, None] + np.cumsum(count, axis=1) - count
+        for k in range(3):
+            some = np.flatnonzero(side == k)
+            mine = own[some]
+            to = offset[mine, k] + np.arange(len(some)) - np.searchsorted(mine, np.arange(len(n)))[mine]
+            at[to], done[to] = rows[some], k == 1
+        first = np.union1d(first, offset[count > 0])
+    group_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c)))) if len(c) else group
+    rest = np.flatnonzero(~done)
+    at[rest] = at[rest][np.lexsort((c[at[rest]], group_of[rest]))]
+    return at
+
+
 def _renumber(group: np.ndarray, tied: np.ndarray, order: np.ndarray, at: np.ndarray, char, offset: int) -> np.ndarray:
     """Groups named by the place of their first member; those that now differ in the character at offset are parted."""
     c = char(order[tied], offset)

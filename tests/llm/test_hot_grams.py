@@ -68,3 +68,27 @@ def test_more_ranges_than_the_usual(spark, monkeypatch):
     rows = documents() + around(20)
     got = suffixes.remove_repeats(frame(spark, rows).repartition(3), unit_bytes=400).collect()
     assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == Counter(brute_repeats(rows))
+
+
+def test_quicksort_by_characters(monkeypatch):
+    monkeypatch.setattr(suffixes, "SMALL_GROUP", 4)
+    rnd = np.random.default_rng(7)
+    for n in (0, 1, 5, 40, 700):
+        for values in (1, 3, 1 << 60):
+            group = np.sort(rnd.integers(0, 4, n))
+            c = rnd.integers(0, values, n).astype(np.uint64)
+            by = suffixes.quicksorted(c, group)
+            assert sorted(by.tolist()) == list(range(n)) and (group[by] == group).all()
+            assert [(g, x) for g, x in zip(group, c[by], strict=True)] == sorted(zip(group, c, strict=True))
+
+
+def test_windows_in_order(monkeypatch):
+    monkeypatch.setattr(suffixes, "SMALL_GROUP", 8)
+    rnd = random.Random(3)
+    text = np.frombuffer("".join(rnd.choice(["abab" * 12, "abab" * 13 + "c", "xyz", "q" * 60]) for _ in range(120)).encode(), np.uint8)
+    at = np.arange(len(text) - suffixes.LENGTH)
+    order, first = suffixes.equal_windows(text, at)
+    raw = text.tobytes()
+    windows = [raw[i : i + suffixes.LENGTH] for i in at[order].tolist()]
+    assert windows == sorted(windows)
+    assert first.tolist() == [i for i in range(len(windows)) if not i or windows[i] != windows[i - 1]]
