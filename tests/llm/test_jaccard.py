@@ -97,6 +97,62 @@ def test_similar_against_all_pairs():
         assert jaccard.similar(sets).tolist() == [least[w] for w in want.tolist()]
 
 
+def test_rarest_shingles_of_similar_sets_meet():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 62, 50)
+    sets = []
+    for _ in range(60):
+        now = base.copy()
+        at = rnd.integers(0, 50, rnd.integers(0, 9))
+        now[at] = rnd.integers(0, 1 << 62, len(at))
+        sets.append(np.unique(now).astype(np.uint64))
+    for first in ([], sets[:7]):
+        rare = [set(r.tolist()) for r in jaccard.rarest(sets, first)]
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j], True))
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    assert rare[i] & rare[j]
+
+
+def templates(edits, n=160, seed=11):
+    """One large cluster: near copies of a text, chains of steps away from it, texts too far from all others."""
+    rnd = random.Random(seed)
+    text = words(rnd, 120).split()
+    rows, chain = [], list(text)
+    for k in range(n):
+        now = list(text)
+        for at in rnd.sample(range(120), rnd.choice(edits)):
+            now[at] = f"edit{k}x{at}"
+        rows.append((k + 1, " ".join(now), "en", "s1", 0))
+        if k % 12 == 0:
+            chain[k // 12 * 5] = f"step{k}"
+            rows.append((1000 + k, " ".join(chain), "en", "s1", 0))
+    return rows
+
+
+def test_large_cluster_is_narrowed_not_paired(spark, monkeypatch):
+    rows, sent, deal = templates((0, 1, 1, 1, 1, 1, 12)), [], jaccard._dealt
+
+    def dealt(members, piece, turn):
+        out = deal(members, piece, turn)
+        sent.append(tuple(out.selectExpr("count(*)", "coalesce(sum(if(piece = 0 and pieces > 1, pieces - 1, 1)), 0)", "coalesce(max(pieces), 0)").first()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", dealt)
+    got = jaccard.representatives(frame(spark, rows), 1000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == least_of_components(rows)
+    print(sent)
+    assert sent[0][2] > 12 and sum(out for _, out, _ in sent) < 5 * sent[0][0], "linear, where pieces by pieces are over 12 times the cluster"
+
+
+def test_large_cluster_held_together_by_one_text(spark, monkeypatch):
+    rows = templates((0, 1, 2, 2, 2, 3, 12), 100)
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    got = jaccard.representatives(frame(spark, rows), 1000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == least_of_components(rows)
+
+
 def test_components_of_chains_and_hubs(spark):
     rnd = random.Random(7)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(200)] + [(5000 + rnd.randrange(80), 5000 + rnd.randrange(80)) for _ in range(60)] + [(7, 7)]
