@@ -127,3 +127,55 @@ def test_nearest_of_clustered_stations(spark, monkeypatch):
         if order[4][0] == 0:  # of one place the smallest ids
             assert [nb for _, nb, _ in own] == [nb for _, nb in order[:5]]
     assert sum(met) < 120 * len(pts)  # all pairs would be 910 rows a station
+
+
+def _drawn(spark):
+    rnd = random.Random(12)
+    shared = [rnd.random() for _ in range(40)]
+    rows = [(f"S{i}", t * 600, t % 2, round(10 * (shared[t] * math.exp(-i / 5) + rnd.random())) / 10) for i in range(23) for t in range(40) if rnd.random() < 0.8]
+    return spark.createDataFrame(rows, "station_id string, slot long, half int, y double")
+
+
+def test_sums_of_pairs_are_not_moved(spark, monkeypatch):
+    """Whatever the tiles are, all pairs come, and what a product gives is final: nothing as large as the pairs is shuffled."""
+    df = _drawn(spark)
+    whole = sorted(map(tuple, pairs.correlations(df, "half", 600, digits=4).collect()))
+    for name, n in (("CELLS", 60), ("NARROW", 3), ("WIDE", 5)):
+        monkeypatch.setattr(pairs, name, n)
+    got = pairs.correlations(df, "half", 600, 2, 7, digits=4)
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) == 23 * 22
+    plan = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(plan) > 1 and "Exchange" not in plan[0].split("Final Plan")[-1]
+
+
+def test_correlations_by_distance(spark):
+    """Bins and fit of the sums are those of a row for each pair."""
+    df = _drawn(spark)
+    places = spark.createDataFrame([(f"S{i}", 1.2 + i * i * 0.0003, 103.6 + (i % 4) * 0.01) for i in range(23)], "station_id string, lat double, lon double")
+    bins, nodes = pairs.by_distance(df, "half", 600, places, 2.5)
+    at = {r.station_id: np.array([[r.lat], [r.lon]]) for r in places.collect()}
+    rows = [(r.half, float(pairs.kilometres(at[r.a], at[r.b])[0, 0]), r.r) for r in pairs.correlations(df, "half", 600).collect()]
+    assert min(r[1] for r in rows) < 3 and max(r[1] for r in rows) > 15
+    want = {}
+    for half, km, r in rows:
+        want.setdefault((half, int(km // 2.5)), []).append(r)
+    got = {(r.half, r.bin): (r.n, r.r) for r in bins.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(abs(v[1] - np.mean(want[k])) < 1e-12 for k, v in got.items())
+    raw = {r.half: r for r in curves.e_folding(spark.createDataFrame(rows, "half int, km double, r double"), "half", "km", "r").collect()}
+    for r in curves.e_folding(nodes, "half", "x", "y", summed=True).collect():
+        assert r.n == raw[r.half].n and abs(r.c0 - raw[r.half].c0) < 1e-6 and abs(r.efold_km / raw[r.half].efold_km - 1) < 1e-5
+
+
+def test_nodes_have_the_sums_of_their_rows(spark):
+    rnd = np.random.default_rng(8)
+    x, y = np.concatenate([[0.0, 1e-4, 20_015.0], 10 ** rnd.uniform(-4, 4, 5000)]), rnd.normal(size=5003)
+    m = curves.moments(x, y)
+    cells = [(0, int(c), *map(float, m[:, c])) for c in np.flatnonzero(m[0])]
+    found = np.array([tuple(r) for r in curves.nodes(spark.createDataFrame(cells, "g long, at long, " + ", ".join(f"s{i} double" for i in range(len(m))))).select("x", "n", "y", "yy").collect()]).T
+    assert abs(found[3].sum() - (y * y).sum()) < 1e-9
+    for length in (0.1, 3.0, 77.0, 1000.0):
+        for f in (lambda v, l=length: np.exp(-v / l), lambda v, l=length: np.exp(-2 * v / l) * v * v / l**2):
+            assert abs((f(found[0]) * found[1]).sum() - f(x).sum()) < 1e-9 and abs((f(found[0]) * found[2]).sum() - (f(x) * y).sum()) < 1e-9
+    with pytest.raises(ValueError):
+        curves.moments(np.array([30_000.0]), np.array([1.0]))
