@@ -10,15 +10,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import errors, sketches
+from . import errors, nets, sketches
 
 SEED = 7
 
@@ -49,17 +49,12 @@ def temporal_split(df: DataFrame, at: str, first: int, second: int) -> tuple[Dat
     return df.where(F.col(at) < first), df.where((F.col(at) >= first) & (F.col(at) < second)), df.where(F.col(at) >= second)
 
 
-def _station_vector(numeric: Sequence[str], scaled: bool) -> list:
-    stages = [StringIndexer(inputCol="station_id", outputCol="station_index", handleInvalid="keep"), OneHotEncoder(inputCols=["station_index"], outputCols=["station_vec"], handleInvalid="keep"), VectorAssembler(inputCols=list(numeric), outputCol="numeric", handleInvalid="keep")]
-    last = "numeric"
-    if scaled:
-        stages.append(StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True))
-        last = "scaled"
-    return [*stages, VectorAssembler(inputCols=[last, "station_vec"], outputCol="features")]
+def _station_vector(numeric: Sequence[str]) -> list:
+    return [StringIndexer(inputCol="station_id", outputCol="station_index", handleInvalid="keep"), OneHotEncoder(inputCols=["station_index"], outputCols=["station_vec"], handleInvalid="keep"), VectorAssembler(inputCols=list(numeric), outputCol="numeric", handleInvalid="keep"), VectorAssembler(inputCols=["numeric", "station_vec"], outputCol="features")]
 
 
 def logistic(train: DataFrame, numeric: Sequence[str], fit: Settings = Settings()) -> PipelineModel:
-    return Pipeline(stages=[*_station_vector(numeric, False), LogisticRegression(labelCol="label", weightCol="weight", maxIter=fit.linear_rounds)]).fit(train)
+    return Pipeline(stages=[*_station_vector(numeric), LogisticRegression(labelCol="label", weightCol="weight", maxIter=fit.linear_rounds)]).fit(train)
 
 
 def trees(train: DataFrame, numeric: Sequence[str], kind: str, fit: Settings = Settings()) -> PipelineModel:
@@ -71,13 +66,9 @@ def trees(train: DataFrame, numeric: Sequence[str], kind: str, fit: Settings = S
     return Pipeline(stages=[VectorAssembler(inputCols=list(numeric), outputCol="features"), model]).fit(train)
 
 
-def perceptron(train: DataFrame, numeric: Sequence[str], fit: Settings = Settings(), classes: int = 2) -> PipelineModel:
-    """The input width is read from the assembled column, not assumed."""
-    prepared = Pipeline(stages=_station_vector(numeric, True)).fit(train)
-    rows = prepared.transform(train)
-    width = rows.select("features").first()["features"].size
-    net = MultilayerPerceptronClassifier(labelCol="label", layers=[width, *fit.hidden, classes], maxIter=fit.net_rounds, seed=SEED).fit(rows)
-    return PipelineModel(stages=[*prepared.stages, net])
+def perceptron(train: DataFrame, numeric: Sequence[str], fit: Settings = Settings(), classes: int = 2) -> nets.Perceptron:
+    """Of scaled numbers and the station; a station takes a row of the first layer's weights, not a place in each row."""
+    return nets.fit(train, numeric, fit.hidden, classes, fit.net_rounds, SEED)
 
 
 # amounts: a point mass at zero and log-normal amounts, or amounts with their own error tables
@@ -244,7 +235,7 @@ class ClassModel:
     """Amounts of wet rows by classes between edges: a model of stopping at an edge, or of the class itself."""
 
     kind: str
-    model: PipelineModel
+    model: PipelineModel | nets.Perceptron
     edges: list[float]
     features: list[str]
 

@@ -13,6 +13,7 @@ from gaugeworks import plans
 from gaugeworks.functions import columns as C
 from gaugeworks.operators import errors as E
 from gaugeworks.operators import models as M
+from gaugeworks.operators import nets
 from gaugeworks.operators import sketches as K
 from gaugeworks.operators import verification as W
 
@@ -262,3 +263,34 @@ def test_requests_with_gaps(spark):
     assert asked.where("not missing and not (p between 0 and 1 and p_hazard between 0 and 1)").count() == 0
     assert asked.groupBy("station_id", "t").count().where("count <> 3").count() == 0
     asked.unpersist()
+
+
+def test_gradient_of_the_net():
+    rnd = np.random.default_rng(3)
+    sizes = [2, 3, 4, 3]
+    x, at, label = rnd.normal(size=(30, 2)), rnd.integers(0, 5, 30), rnd.integers(0, 3, 30)
+    flat, own = rnd.normal(size=2 * 3 + 3 + 3 * 4 + 4 + 4 * 3 + 3), rnd.normal(size=(5, 3))
+    _, g, h = nets.gradient(x, at, label, flat, own, sizes)
+    for v, d in ((flat, g), (own, h)):
+        for i in np.ndindex(v.shape):
+            e = np.zeros(v.shape)
+            e[i] = 1e-6
+            one, two = (nets.gradient(x, at, label, flat + k * e if v is flat else flat, own + k * e if v is own else own, sizes)[0] for k in (1, -1))
+            assert abs((one - two) / 2e-6 - d[i]) < 1e-5
+
+
+def test_net_over_very_many_stations(spark):
+    """200,000 stations: as one-hot vectors, made dense, the rows would be 640 GB."""
+    n = 200_000
+    rows = spark.range(2 * n, numPartitions=8).select(F.concat(F.lit("S"), (F.col("id") % n).cast("string")).alias("station_id"), ((F.col("id") * 7919 % 1000) / 1000).alias("a"))
+    rows = rows.withColumn("label", (F.col("a") > 0.3).cast("int"))
+    model = M.perceptron(rows, ["a"], M.SMALL)
+    got = model.transform(rows.unionByName(spark.createDataFrame([("new", 0.9, 1), (None, 0.9, 1)], "station_id string, a double, label int"))).select(M.positive().alias("p"), (F.col("label") == 1).alias("o"))
+    assert skill(got).skill > 0.5 and skill(got).n == 2 * n + 2
+
+
+def test_net_knows_stations(spark):
+    """Only its name tells a station's label."""
+    rows = spark.createDataFrame([(f"S{i % 6}", (i * 7919 % 1000) / 1000, i % 6 % 2) for i in range(600)], "station_id string, a double, label int")
+    got = M.perceptron(rows, ["a"], M.SMALL).transform(rows).select("label", M.positive().alias("p")).collect()
+    assert len(got) == 600 and all((r.p > 0.5) == (r.label == 1) for r in got)
