@@ -294,3 +294,11 @@ def test_net_knows_stations(spark):
     rows = spark.createDataFrame([(f"S{i % 6}", (i * 7919 % 1000) / 1000, i % 6 % 2) for i in range(600)], "station_id string, a double, label int")
     got = M.perceptron(rows, ["a"], M.SMALL).transform(rows).select("label", M.positive().alias("p")).collect()
     assert len(got) == 600 and all((r.p > 0.5) == (r.label == 1) for r in got)
+
+
+def test_class_net_over_very_many_stations(spark):
+    """Survival from a net whose one-hot vectors would be 200,000 numbers in each row."""
+    rows = spark.range(200_000, numPartitions=8).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id"), F.col("id").alias("slot"), ((F.col("id") * 7919 % 1000) / 1000).alias("a")).withColumn("target", 1 + 8 * F.col("a"))
+    got = M.class_survival(M.fit_classes("net", rows, ["a"], EDGES, M.SMALL), rows.where("slot < 2000"), ["station_id", "slot"]).join(rows, ["station_id", "slot"])
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.element_at("survival", 3) - (F.col("target") > 5).cast("double"))).alias("off")).first()
+    assert r.n == 2000 and r.off < 0.3
