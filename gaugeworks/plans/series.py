@@ -61,8 +61,9 @@ def win_dedup_latest(spark, sf):
     return S.ranked_latest(r, ["station_id", "slot"], _newest()).select("station_id", "slot", "event_id", (F.col("rn") == 1).alias("kept"))
 
 
-@query("win_slot_latest", _sql("select * from slots"))
+@query("win_slot_latest", _sql("select station_id, slot, y from (select *, row_number() over (partition by station_id, slot order by epoch desc nulls last, update_epoch desc nulls last, event_id desc nulls last) as rn from slotted) where rn = 1"))
 def win_slot_latest(spark, sf):
+    """The reading that win_dedup_latest keeps: of the latest the one updated last, then the largest event_id."""
     r = S.with_slot(V.readings(spark, sf), SLOT)
     return S.latest(r, ["station_id", "slot"], _newest()).select("station_id", "slot", "y")
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks import plans
 from gaugeworks.functions import columns as C
 from gaugeworks.operators import audit as A
 from gaugeworks.operators import quality as R
@@ -122,3 +123,17 @@ def test_import_without_training_data_operators():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), p
+
+
+def test_slot_latest_of_equal_times_is_the_one_updated_last(spark, tmp_path):
+    """event_id % 3 seconds pass until an update: of events at one second 2 is updated after 3."""
+    import duckdb
+    from conftest import same
+
+    at = "timestamp'2024-01-01 00:00:11'"
+    spark.sql(f"select * from values (2l, {at}, 7l, 'purchase', 50.0d), (3l, {at}, 7l, 'purchase', 90.0d), (9l, {at} - interval 1 second, 7l, 'error', 10.0d) as t(event_id, ts, user_id, event_type, value)").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["win_slot_latest"](spark, str(tmp_path))
+    assert [r.y for r in got.collect()] == [5.0]
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    same(got, c.sql(plans.ORACLE_SQL["win_slot_latest"]))
