@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8 or more) stays, that of the smallest doc_id.
 
-    Operator 5's tree search reaches 3 bits of a fingerprint, and such pairs differ by some ten, so candidates
-    come from minima of shingle hashes here and every link is an exact similarity (see README)."""
+    Operator 5's fingerprints and vantage-point trees give candidates within 3 bits; most such pairs differ by some ten bits, so
+    minima of shingle hashes give candidates too, and every link is an exact similarity (see README)."""
     return jaccard.representatives(docs)
 
 

@@ -1,9 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles (the pipeline's near-duplicate stage).
 
-Fingerprints of 64 bits of such pairs differ in some ten bits, more than a search by bits can reach.
-Candidates come from bands of minima instead: BANDS times ROWS minima of a text's shingle hashes; a
-pair of similarity 0.8 shares no band with a probability of 6 in a million, of 0.85 and more below 1e-8.
-Texts that share a band over any number of steps make a cluster.  Within clusters similarity is exact,
+Candidates come from operator 5's search: texts whose fingerprints its vantage-point trees link.  Fingerprints of
+64 bits of pairs of similarity 0.8 differ in some ten bits, more than a search by bits can reach, so texts that share a
+band of minima are candidates too: BANDS times ROWS minima of a text's shingle hashes; a pair of similarity 0.8 shares
+no band with a probability of 6 in a million, of 0.85 and more below 1e-8.
+Texts that are candidates over any number of steps make a cluster.  Within clusters similarity is exact,
 on sets of 64-bit shingle hashes.  A task gives a link per text, not all its pairs, and finds the pairs
 by their rarest shingles.  A cluster of one piece is one task.  A larger one is narrowed in turns:
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, simhash
 from .simhash import _LOWER, SEED
 
 SHINGLE = 5
@@ -75,10 +76,11 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        sets, prints = [shingles(t) for t in texts], np.array([simhash.fingerprint(t) for t in texts], np.uint64)
         keys = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
         packed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "part", "row", "key")), pa.array([len(s) for s in sets], pa.int64()), packed], names=["doc_id", "part", "row", "key", "n", "bands"])
+        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "part", "row", "key")), pa.array([len(s) for s in sets], pa.int64()), packed, pa.array(prints.view(np.int64))], names=["doc_id", "part", "row", "key", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +203,27 @@ def _open(met: DataFrame, dealt: DataFrame, links: DataFrame) -> DataFrame:
     return roots.join(components.components(ties).withColumnRenamed("root", "cluster"), "node")
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: links of nodes (node, fp, bands) that operator 5's trees find between fingerprints, and of those that share a fingerprint or a band."""
+    prints = common.write_table(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.max("node").alias("last")), "prints")
+    ends = [prints.select(F.col("fp").alias(x), F.col("lead").alias(n)) for x, n in (("a", "one"), ("b", "two"))]
+    close = simhash.links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    equal = nodes.select("node", "fp").hint("shuffle_merge").join(prints.where("lead < last"), "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    met = nodes.select("node", F.explode("bands").alias("band"))
+    leads = met.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
+    loose = met.hint("shuffle_merge").join(leads, "band").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return close.unionByName(equal).unionByName(loose)
+
+
 def near_duplicates(rows: DataFrame, scan: DataFrame, piece: int = PIECE) -> DataFrame:
     """part, row, doc_id, component, component_id for each different text of numbered rows (common.numbered gives both arguments): the first row
     that has it, and the smallest doc_id of all texts linked to it over any number of steps.  Rows without a doc_id link nothing."""
     text = F.col("doc.text")
     key = F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
-    found = scan.where("doc_id is not null").select("doc_id", "part", "row", key.alias("key"), text.alias("text")).mapInArrow(_signatures, "doc_id long, part int, row long, key binary, n long, bands array<long>")
-    texts = found.groupBy("key").agg(F.min(F.struct("doc_id", "part", "row")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = common.write_table(texts.select(F.monotonically_increasing_id().alias("node"), "first.*", "n", "bands"), "minima")
-
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    leads = met.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
-    loose = met.hint("shuffle_merge").join(leads, "band").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = components.components(loose).withColumnRenamed("root", "cluster")
+    found = scan.where("doc_id is not null").select("doc_id", "part", "row", key.alias("key"), text.alias("text")).mapInArrow(_signatures, "doc_id long, part int, row long, key binary, n long, bands array<long>, fp long")
+    texts = found.groupBy("key").agg(F.min(F.struct("doc_id", "part", "row")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    nodes = common.write_table(texts.select(F.monotonically_increasing_id().alias("node"), "first.*", "n", "bands", "fp"), "minima")
+    clusters = components.components(candidates(nodes)).withColumnRenamed("root", "cluster")
 
     left, links = nodes.select("node", "part", "row", "n", F.lit(None).cast("long").alias("root")).join(clusters, "node"), None
     for turn in range(TURNS + 1):

@@ -173,3 +173,11 @@ def test_components_of_chains_and_hubs(spark):
     got = components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
     assert len(got) == len(want) and dict(map(tuple, got)) == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_trees_give_candidates(spark):
+    """Fingerprints within 3 bits link texts that share no band; more bits don't, and a band still does."""
+    base = 0x0123456789ABCDEF
+    nodes = spark.createDataFrame([(1, base, [1]), (2, base ^ 0b1011, [2]), (3, base ^ (0b1111 << 20), [3]), (4, base ^ (0x1FF << 30), [3]), (5, base, [5])], "node long, fp long, bands array<long>")
+    roots = {r.node: r.root for r in jaccard.components.components(jaccard.candidates(nodes)).collect()}
+    assert roots == {1: 1, 2: 1, 5: 1, 3: 3, 4: 3}
