@@ -1,9 +1,10 @@
 """A multilayer perceptron over numbers and a station, fitted by Spark without one-hot vectors.
 
 Spark's own classifier makes its inputs dense, so a row takes as many numbers as there are stations.  Here the first layer adds the
-station's row of weights to what the numbers give, which is the same net.  Training rows lie packed in the order of the stations; a
-step of L-BFGS is one pass over them, whose tasks give the loss, the gradient of the shared weights, and that of the stations
-they have.  The driver holds the model and MEMORY steps of it: `hidden` numbers per station each."""
+station's row of weights to what the numbers give, which is the same net.  Training rows lie in the order of the stations, one by one,
+as readers hold some thousand rows at a time, however large those are; a step of L-BFGS is one pass over them, whose tasks give the
+loss, the gradient of the shared weights, and that of the stations they have.  The driver holds the model and MEMORY steps of it:
+`hidden` numbers per station each."""
 
 from __future__ import annotations
 
@@ -61,28 +62,18 @@ def gradient(x: np.ndarray, at: np.ndarray, label: np.ndarray, flat: np.ndarray,
     return loss, np.concatenate(parts[::-1]), np.stack([np.bincount(at, d[:, k], len(own)) for k in range(d.shape[1])], axis=1)
 
 
-def _pack(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch["x"].flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
-                yield pa.record_batch([[x.tobytes()], [batch["number"].to_numpy().astype(np.int64).tobytes()], [batch["label"].to_numpy().astype(np.int64).tobytes()]], names=["x", "number", "label"])
-
-    return run
-
-
 def _pass(model, sizes: Sequence[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, every = model.value
         loss, shared = 0.0, np.zeros(len(flat))
         for batch in batches:
-            for r in batch.to_pylist():
-                number, label = (np.frombuffer(r[c], np.int64) for c in ("number", "label"))
-                low = int(number.min())
-                one, g, own = gradient(np.frombuffer(r["x"]).reshape(len(label), sizes[0]), number - low, label, flat, every[low : int(number.max()) + 1], sizes)
+            if batch.num_rows:
+                x = np.asarray(batch["x"].flatten().to_numpy(zero_copy_only=False)).reshape(-1, sizes[0])
+                stations, at = np.unique(batch["number"].to_numpy(), return_inverse=True)
+                one, g, own = gradient(x, at, batch["label"].to_numpy(), flat, every[stations], sizes)
                 loss, shared = loss + one, shared + g
-                yield pa.record_batch([pa.array([0.0]), pa.array([low], pa.int64()), pa.array([own.tobytes()])], names=["loss", "low", "g"])
-        yield pa.record_batch([pa.array([loss]), pa.array([-1], pa.int64()), pa.array([shared.tobytes()])], names=["loss", "low", "g"])
+                yield pa.record_batch([pa.array([0.0]), pa.array([stations.tobytes()]), pa.array([own.tobytes()])], names=["loss", "stations", "g"])
+        yield pa.record_batch([pa.array([loss]), pa.array([None], pa.binary()), pa.array([shared.tobytes()])], names=["loss", "stations", "g"])
 
     return run
 
@@ -160,7 +151,7 @@ def fit(train: DataFrame, numeric: Sequence[str], hidden: Sequence[int], classes
     scaled = F.array(*((F.col("x")[i] - float(mean[i])) * float(scale[i]) for i in range(len(numeric)))).alias("x")
     # in the order of the stations, so that a batch has few of them; a station of very many rows may be in several
     rows = known.join(numbers, "station_id").select("number", "label", scaled).repartitionByRange("number", "label", "x").sortWithinPartitions("number")
-    packed = scratch.table(rows.mapInArrow(_pack(len(numeric)), "x binary, number binary, label binary"), "net-packed")
+    ordered_rows = scratch.table(rows, "net-in-order")
     draw = np.random.default_rng(seed)
     flat = np.concatenate([np.concatenate([draw.uniform(-1, 1, a * b) * 2.4 / a, np.zeros(b)]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)])
     shared = len(flat)
@@ -169,14 +160,13 @@ def fit(train: DataFrame, numeric: Sequence[str], hidden: Sequence[int], classes
         model = spark.sparkContext.broadcast((at[:shared], at[shared:].reshape(stations, sizes[1])))
         loss, g = 0.0, np.zeros(len(at))
         own = g[shared:].reshape(stations, sizes[1])
-        for r in packed.mapInArrow(_pass(model, sizes), "loss double, low long, g binary").collect():  # the gradient, a slice per batch
+        for r in ordered_rows.mapInArrow(_pass(model, sizes), "loss double, stations binary, g binary").collect():  # the gradient, a slice per batch
             part = np.frombuffer(r["g"])
             loss += r["loss"]
-            if r["low"] < 0:
+            if r["stations"] is None:
                 g[:shared] += part
             else:
-                part = part.reshape(-1, sizes[1])
-                own[r["low"] : r["low"] + len(part)] += part
+                own[np.frombuffer(r["stations"], np.int64)] += part.reshape(-1, sizes[1])  # each station once
         model.destroy()
         return loss / max(1, stats["n"]), g / max(1, stats["n"])
 

@@ -289,6 +289,16 @@ def test_net_over_very_many_stations(spark):
     assert skill(got).skill > 0.5 and skill(got).n == 2 * n + 2
 
 
+def test_rows_of_the_net_stay_small(spark, monkeypatch):
+    """Readers hold 4,096 rows at a time, so no table of a fit may have rows that stand for thousands."""
+    tables, table = [], nets.scratch.table
+    monkeypatch.setattr(nets.scratch, "table", lambda df, name: tables.append(table(df, name)) or tables[-1])
+    rows = spark.range(20_000, numPartitions=1).select(F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("station_id"), ((F.col("id") * 7919 % 1000) / 1000).alias("a"))
+    M.perceptron(rows.withColumn("label", (F.col("a") > 0.3).cast("int")), ["a"], M.replace(M.SMALL, net_rounds=1))
+    for t in tables:
+        assert t.agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 1000
+
+
 def test_net_knows_stations(spark):
     """Only its name tells a station's label."""
     rows = spark.createDataFrame([(f"S{i % 6}", (i * 7919 % 1000) / 1000, i % 6 % 2) for i in range(600)], "station_id string, a double, label int")
