@@ -19,6 +19,8 @@ NUMERIC = ["y", "sum_2", "sum_4", "sum_12", "peak_12", "count_12"]
 R = 10.0
 #: Small fits: a query reads the given tables at any size, and a full fit is a matter of hours there.
 FIT = M.SMALL
+#: Full fits, of the reference's sizes.
+FULL = M.Settings()
 #: Readings stand on tenths.
 STEP = 0.1
 #: Days of the given month: train, validation, test.
@@ -125,7 +127,7 @@ def ml_hazard_rows(spark, sf):
 def ml_amount_models(spark, sf):
     """Survival over the edges by each kind of model."""
     train, _, test = _split(spark, sf)
-    parts = [M.class_survival(M.fit_classes(k, train, NUMERIC, EDGES, FIT), test, ["station_id", "slot"]).withColumn("kind", F.lit(k)) for k in M.KINDS]
+    parts = [M.class_survival(M.fit_classes(k, train, NUMERIC, EDGES, FULL), test, ["station_id", "slot"]).withColumn("kind", F.lit(k)) for k in M.KINDS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -312,3 +312,56 @@ def test_class_net_over_very_many_stations(spark):
     got = M.class_survival(M.fit_classes("net", rows, ["a"], EDGES, M.SMALL), rows.where("slot < 2000"), ["station_id", "slot"]).join(rows, ["station_id", "slot"])
     r = got.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.element_at("survival", 3) - (F.col("target") > 5).cast("double"))).alias("off")).first()
     assert r.n == 2000 and r.off < 0.3
+
+
+def asked_fits(monkeypatch, spark, name, at):
+    """The settings that a query asks for; small ones are fitted."""
+    asked, fitted = [], getattr(M, at)
+
+    def small(*given):
+        asked.extend(g for g in given if isinstance(g, M.Settings))
+        return fitted(*(M.SMALL if isinstance(g, M.Settings) else g for g in given))
+
+    monkeypatch.setattr(M, at, small)
+    assert plans.QUERIES[name](spark, f"{DATA}/sf0.001").count() > 0
+    return asked
+
+
+def test_amount_models_are_fitted_in_full(spark, monkeypatch):
+    """As many rounds, trees and layers as the reference's: 100 of depth 6, 60 of depth 12 and 200 rows, 300 of 64 and 64."""
+    assert asked_fits(monkeypatch, spark, "ml_amount_models", "fit_classes") == 3 * [M.Settings(rounds=100, depth=6, forest=60, forest_depth=12, least_leaf=200, hidden=(64, 64), net_rounds=300)]
+
+
+def test_direction_from_products():
+    """The same as the two loops over the vectors themselves."""
+    rnd = np.random.default_rng(6)
+    curved = np.diag(rnd.uniform(0.5, 3, 40))
+    for k in (0, 1, 4):
+        s = [rnd.normal(size=40) for _ in range(k)]
+        y, g = [curved @ v for v in s], rnd.normal(size=40)
+        d, sums = -g, []
+        for a, b in zip(s[::-1], y[::-1], strict=True):
+            sums.append(a @ d / (a @ b))
+            d = d - sums[-1] * b
+        d = d * (s[-1] @ y[-1] / (y[-1] @ y[-1]) if k else 1 / np.linalg.norm(g))
+        for a, b, c in zip(s, y, sums[::-1], strict=True):
+            d = d + (c - b @ d / (a @ b)) * a
+        kept = np.stack([*s, *y, g])
+        assert np.allclose(nets.direction(kept @ kept.T) @ kept, d, atol=1e-10)
+
+
+def test_net_of_many_parts(spark, monkeypatch):
+    """Parts, stations of very many rows in several of them and passes written in between don't change the net, and nothing is left behind."""
+    rows = spark.createDataFrame([(f"S{i % 40 if i % 3 else 0}", (i * 7919 % 1000) / 1000, int((i * 7919 % 1000) / 1000 + i % 40 / 80 > 0.7)) for i in range(2400)], "station_id string, a double, label int")
+    fit = M.replace(M.SMALL, net_rounds=9)
+    asked = lambda: [r.p for r in M.perceptron(rows, ["a"], fit).transform(rows).orderBy("station_id", "a").select(M.positive().alias("p")).collect()]
+    whole, ended, close = asked(), [], nets.Descent.close
+    for name, value in (("PART", 3000), ("PARTITION", 3000), ("MANY", 100), ("CUT", 3)):
+        monkeypatch.setattr(nets, name, value)
+    monkeypatch.setattr(nets.Descent, "close", lambda self: (ended.append((len(self.now[0]), self.parts.map(lambda p: len(p[0].stations)).collect())), close(self)))
+    deleted, delete = [], nets.scratch.delete
+    monkeypatch.setattr(nets.scratch, "delete", lambda spark, path: (deleted.append(path), delete(spark, path)))
+    assert np.allclose(asked(), whole, atol=1e-6)
+    ((shared, stations),) = ended
+    assert len(stations) > 10 and sum(stations) == 39 and 0 in stations and max(stations) < 20  # S0 has 800 rows of its own and more
+    assert shared == 1 * 8 + 8 + 8 * 2 + 2 + 8 and len(deleted) >= 3 and len(set(deleted)) == len(deleted)
