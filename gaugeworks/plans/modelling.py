@@ -19,8 +19,9 @@ NUMERIC = ["y", "sum_2", "sum_4", "sum_12", "peak_12", "count_12"]
 R = 10.0
 #: Small fits: a query reads the given tables at any size, and a full fit is a matter of hours there.
 FIT = M.SMALL
-#: Full fits, of the reference's sizes.
+#: Full fits, of the reference's sizes; its occurrence net is wider than its net of amounts.
 FULL = M.Settings()
+WIDE = M.replace(FULL, hidden=(128, 64))
 #: Readings stand on tenths.
 STEP = 0.1
 #: Days of the given month: train, validation, test.
@@ -72,7 +73,7 @@ def ml_tree(spark, sf):
 @query("ml_mlp")
 def ml_mlp(spark, sf):
     train, _, test = _split(spark, sf)
-    return _score(test, M.perceptron(train, NUMERIC, FIT))
+    return _score(test, M.perceptron(train, NUMERIC, WIDE))
 
 
 def _amounts(spark, sf):

@@ -332,6 +332,12 @@ def test_amount_models_are_fitted_in_full(spark, monkeypatch):
     assert asked_fits(monkeypatch, spark, "ml_amount_models", "fit_classes") == 3 * [M.Settings(rounds=100, depth=6, forest=60, forest_depth=12, least_leaf=200, hidden=(64, 64), net_rounds=300)]
 
 
+def test_occurrence_net_is_fitted_in_full(spark, monkeypatch):
+    """Layers of 128 and 64, as the reference's, and no fewer rounds than its 120."""
+    (asked,) = asked_fits(monkeypatch, spark, "ml_mlp", "perceptron")
+    assert asked.hidden == (128, 64) and asked.net_rounds == 300
+
+
 def test_direction_from_products():
     """The same as the two loops over the vectors themselves."""
     rnd = np.random.default_rng(6)
